@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .line_rules import line_rules
 from .mixing import mix_plan
 from .packing import pack
 
@@ -22,7 +23,11 @@ def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_pack_tiers)}
+def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_pack_tiers, op7_line_frequency)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -45,5 +50,35 @@ WITH sized AS (
   FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target, ((floor(rate)::BIGINT + (draw < rate - floor(rate))::BIGINT) * size)::BIGINT AS taken FROM rated
+""",
+    "op7_line_frequency": r"""
+WITH doc AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), line AS (
+  SELECT doc_id, host, t.line, len(regexp_extract_all(t.line, '[^\x20\x09-\x0D]+')) AS n,
+    trim(regexp_replace(lower(t.line), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS plain
+  FROM doc, unnest(string_split(text, chr(10))) AS t(line) WHERE regexp_matches(t.line, '[^\x20\x09-\x0D]')
+), dup AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM line GROUP BY doc_id
+), win AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(range(1, len(w) - 3)) AS t(i)
+), again AS (
+  SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, unnest(range(0, 5)) AS t(k) GROUP BY doc_id
+), often AS (
+  SELECT host, plain FROM line GROUP BY host, plain
+  HAVING count(DISTINCT doc_id) > 50 AND count(DISTINCT doc_id) > 0.02 * (SELECT count(*) FROM doc WHERE doc.host IS NOT DISTINCT FROM line.host)
+), gone AS (
+  SELECT doc_id, sum(n) AS removed FROM line JOIN often ON line.host IS NOT DISTINCT FROM often.host AND line.plain = often.plain GROUP BY doc_id
+), base AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, (len(w) - coalesce(removed, 0))::BIGINT AS words_left
+  FROM doc LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND words_left >= 0.5 * n_words AS kept
+FROM base
 """,
 }
