@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import documents
+from . import quality, toxicity
+from .common import documents, fold
 from .line_rules import line_rules
 from .mixing import mix_plan
 from .packing import pack
@@ -23,11 +25,28 @@ def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), path("word_bpe_49k.json"))
 
 
+def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _held_out(quality.classify(documents(spark, sf_dir), labels, fold("doc_id", 5) != 0), 0.3)
+
+
+def op9_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _held_out(toxicity.score(docs, toxicity.fit(docs, labels, "toxic", fold("doc_id", 5) != 0)), 0.5)
+
+
+def _held_out(scores: DataFrame, at: float) -> DataFrame:
+    return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
+
+
 def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mix_sources, op2_pack_tiers, op7_line_frequency)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_mix_sources, op2_pack_tiers, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
