@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, toxicity
+from . import langid, quality, toxicity
 from .common import documents, fold
 from .line_rules import line_rules
 from .mixing import mix_plan
@@ -35,6 +35,12 @@ def op9_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, toxicity.fit(docs, labels, "toxic", fold("doc_id", 5) != 0)), 0.5)
 
 
+def op10_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2))
+    return found.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def _held_out(scores: DataFrame, at: float) -> DataFrame:
     return scores.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"))
 
@@ -45,7 +51,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pack_tiers, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams)
+    for f in (op1_mix_sources, op2_pack_tiers, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
 }
 
 ORACLE_SQL: dict[str, str] = {
