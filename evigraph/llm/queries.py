@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality, toxicity
+from . import langid, pii, quality, toxicity
 from .common import documents, fold
 from .line_rules import line_rules
 from .mixing import mix_plan
 from .packing import pack
 
+#: Stands in for the secret that a deployment keeps elsewhere and passes to the operator.
+PII_KEY = b"key of the example queries"
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(documents(spark, sf_dir))
@@ -25,6 +28,10 @@ def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), path("word_bpe_49k.json"))
 
 
+def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonyms_and_counts(documents(spark, sf_dir), PII_KEY)
+
+
 def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return _held_out(quality.classify(documents(spark, sf_dir), labels, fold("doc_id", 5) != 0), 0.3)
@@ -51,7 +58,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pack_tiers, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
+    for f in (op1_mix_sources, op2_pack_tiers, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
 }
 
 ORACLE_SQL: dict[str, str] = {
