@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid, pii, quality, toxicity
+from .ann import nearest
 from .common import documents, fold
 from .line_rules import line_rules
 from .mixing import mix_plan
@@ -28,6 +29,10 @@ def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), path("word_bpe_49k.json"))
 
 
+def op4_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms_and_counts(documents(spark, sf_dir), PII_KEY)
 
@@ -58,7 +63,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pack_tiers, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
+    for f in (op1_mix_sources, op2_pack_tiers, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
 }
 
 ORACLE_SQL: dict[str, str] = {
