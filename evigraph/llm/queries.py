@@ -12,6 +12,7 @@ from .ann import nearest
 from .common import documents, fold
 from .line_rules import line_rules
 from .mixing import mix_plan
+from .near_dedup import near_classes
 from .packing import pack
 
 #: Stands in for the secret that a deployment keeps elsewhere and passes to the operator.
@@ -29,6 +30,10 @@ def op2_pack_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), path("word_bpe_49k.json"))
 
 
+def op3_near_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(documents(spark, sf_dir), words=4, percent=80)
+
+
 def op4_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -63,7 +68,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pack_tiers, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
+    for f in (op1_mix_sources, op2_pack_tiers, op3_near_setsketch, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
 }
 
 ORACLE_SQL: dict[str, str] = {
