@@ -1,10 +1,51 @@
-"""The training-data pipeline: documents in, packed sequences out."""
+"""The training-data pipeline: documents in, packed sequences out.
+
+Toxic documents go, one document of each near-duplicate class stays, personal data gets pseudonyms, sources are mixed
+to their weights, and the mix is packed. Every stage but the last returns the columns of its documents; clean documents
+stay. Empty tables, null texts and null ids pass through as the operators define.
+"""
 
 from __future__ import annotations
 
+from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evigraph.llm import mixing, near_dedup, packing, pii, queries, toxicity
+
+#: Documents with at least this probability of label 1 are rejected.
+TOXIC = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects what the classifier, learnt from all labelled documents at hand, calls toxic."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", F.lit(True))
+    return toxicity.scored(docs, model, name="__toxicity", drop_text=False).filter(F.col("__toxicity") < TOXIC).drop("__toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.one_of_each(docs, words=5, percent=80)
+
+
+def permute_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(docs, queries.PII_KEY)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("pii", permute_personal_data),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 #: Model scores, sketches and tokens can't be expressed in SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
