@@ -14,6 +14,7 @@ from .line_rules import line_rules
 from .mixing import mix_plan
 from .near_dedup import near_classes
 from .packing import pack
+from .suffix import removed_digest
 
 #: Stands in for the secret that a deployment keeps elsewhere and passes to the operator.
 PII_KEY = b"key of the example queries"
@@ -52,6 +53,10 @@ def op9_toxicity_nb_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(toxicity.score(docs, toxicity.fit(docs, labels, "toxic", fold("doc_id", 5) != 0)), 0.5)
 
 
+def op8_suffix_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_digest(documents(spark, sf_dir))
+
+
 def op10_language_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = langid.identify(docs, langid.fit(docs, fold("doc_id", 4) != 2))
@@ -68,7 +73,7 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pack_tiers, op3_near_setsketch, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op9_toxicity_nb_ngrams, op10_language_viterbi)
+    for f in (op1_mix_sources, op2_pack_tiers, op3_near_setsketch, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op8_suffix_columns, op9_toxicity_nb_ngrams, op10_language_viterbi)
 }
 
 ORACLE_SQL: dict[str, str] = {
