@@ -1,0 +1 @@
+"""Evidence-graph analytics on Spark DataFrames."""
