@@ -48,7 +48,10 @@ _ACCESS = re.compile(r"AKIA([0-9A-Z]{16})(?!\w)")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\w|\.\d)")
 _DATE = re.compile(r"(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?!\w|[-/.]\d)")
 _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?!\w|-\d)")
-_PHONE = re.compile(r"(?:\+(\d{1,3})[ .-]?(\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})|(\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}))(?!\w|[-.]\d)")
+#: North American numbers have ten digits; others two to five groups after the country code; without a code only the first form counts.
+_PHONE = re.compile(
+    r"(?:\+(?P<c1>1)[ .-]?(?P<b1>\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4})|\+(?P<c2>[2-9]\d{0,2})[ .-]?(?P<b2>\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})|(?P<b3>\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4}))(?!\w|[-.]\d)"
+)
 _CARD = re.compile(r"\d(?:[ -]?\d){12,18}(?!\w|-\d)")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 
@@ -180,18 +183,21 @@ class Pseudonyms:
             return at, m.end(), "date", found
         if (m := _SSN.match(text, at)) and 0 < int(m[1]) < 900 and m[1] != "666" and int(m[2]) and int(m[3]):
             return at, m.end(), "ssn", self.ssn(*m.groups())
-        if (m := _CARD.match(text, at)) and luhn(digits := re.sub(r"\D", "", m[0])) and len(set(digits)) > 1:
-            return at, m.end(), "card", self.card(m[0])
+        value = m[0] if (m := _CARD.match(text, at)) else ""
+        while len(digits := re.sub(r"\D", "", value)) >= 13:
+            if luhn(digits) and len(set(digits)) > 1:
+                return at, at + len(value), "card", self.card(value)
+            value = value[: max(value.rfind(" "), value.rfind("-"), 0)]  # the last group may be another number
         return self._phone(text, at)
 
     def _phone(self, text: str, at: int) -> tuple[int, int, str, str] | None:
         if not (m := _PHONE.match(text, at)):
             return None
-        body = m[2] or m[3]
+        body, code = m["b1"] or m["b2"] or m["b3"], m["c1"] or m["c2"] or ""
         digits = re.sub(r"\D", "", body)
-        if not 7 <= len(digits) + len(m[1] or "") <= 15 or body.count("(") != body.count(")"):
+        if not 7 <= len(digits) + len(code) <= 15 or body.count("(") != body.count(")"):
             return None
-        made = self._refill(body, self.chars(digits, f"phone {m[1]}"))
+        made = self._refill(body, self.chars(digits, f"phone {code}"))
         return at, m.end(), "phone", text[at : m.end() - len(body)] + made
 
     def _date(self, m: re.Match) -> str | None:
