@@ -113,6 +113,14 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorts in place."""
+    x.sort()
+    fresh = np.ones(len(x), dtype=bool)
+    np.not_equal(x[1:], x[:-1], out=fresh[1:])
+    return x[fresh]
+
+
 def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 

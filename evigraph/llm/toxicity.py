@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WS, column_bytes, joined, lowered, mix64, text_steps
+from .common import _WS, column_bytes, distinct, joined, lowered, text_steps
 from .labelled import MAX_LABELS, training_labels, unit_hash
 
 BITS = 20
@@ -29,33 +29,36 @@ ALPHA = 1.0
 #: Standard errors by which a bucket's log ratio must differ from 0.
 SIGNIFICANT = 4.0
 #: Labelled rows of each class that the regression takes, by a hash of the id.
-MAX_FIT = 20_000
+MAX_FIT = 5_000
 RIDGE = 1e-3
+MOST_STEPS = 200
+_SPACE = np.array([32], dtype=np.uint8)
+_ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def text_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, bucket) of every distinct n-gram, sorted."""
+def text_grams(texts: list[bytes], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(document, bucket) of every distinct n-gram, sorted; only of ``wanted`` buckets, if given."""
     data, starts = joined(texts)
     data = lowered(data)
-    space = _WS[data]
-    data = np.where(space, np.uint8(32), data).astype(np.uint64)
-    data, space = np.concatenate([[np.uint64(32)], data]), np.concatenate([[True], space])
-    document = np.zeros(len(data), dtype=np.uint64)
-    document[1:] = np.repeat(np.arange(len(texts), dtype=np.uint64), np.diff(starts))
-    found = []
-    for n in ORDERS:
+    data = np.concatenate([_SPACE, np.where(_WS[data], np.uint8(32), data)])
+    space, codes = data == 32, data.astype(np.uint64)
+    found, packed, inner = [], codes, np.zeros(len(data), dtype=bool)
+    for n in range(2, max(ORDERS) + 1):
         size = len(data) - n + 1
         if size <= 0:
+            break
+        packed = packed[:size] << np.uint64(8) | codes[n - 1 :]
+        if n > 2:
+            inner = inner[:size] | space[n - 2 : n - 2 + size]
+        if n not in ORDERS:
             continue
-        inner = np.zeros(size, dtype=bool)
-        packed = np.full(size, np.uint64(n))
-        for k in range(n):
-            packed = packed << np.uint64(8) | data[k : size + k]
-            if 0 < k < n - 1:
-                inner |= space[k : size + k]
-        at = np.flatnonzero(~inner & ~(space[:size] & space[n - 1 :]))
-        found.append(document[at + 1] << np.uint64(BITS) | mix64(packed[at]) >> np.uint64(64 - BITS))
-    keys = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
+        at = np.flatnonzero(~inner)
+        bucket = ((packed[at] + np.uint64(n)) * _ODD[n % len(_ODD)]) >> np.uint64(64 - BITS)
+        if wanted is not None:
+            held = wanted[bucket]
+            at, bucket = at[held], bucket[held]
+        found.append((np.searchsorted(starts, at, side="right") - 1).clip(0).astype(np.uint64) << np.uint64(BITS) | bucket)
+    keys = distinct(np.concatenate(found)) if found else np.zeros(0, dtype=np.uint64)
     return (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
@@ -68,7 +71,7 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if not self.weights.any():
             return np.full(len(texts), self.prior)
-        document, bucket = text_grams(texts)
+        document, bucket = text_grams(texts, self.weights != 0)
         z = self.intercept + np.bincount(document, weights=self.weights[bucket].astype(float), minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
@@ -106,23 +109,34 @@ def _bucket_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
 
 def _regression(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
     """Ridge logistic regression on presence times scale, by accelerated gradient steps."""
-    of = np.repeat(np.arange(len(indices)), [len(i) for i in indices])
-    column = np.concatenate(indices).astype(np.int64) if indices else np.zeros(0, np.int64)
-    value = scale[column]
-    row_square = np.bincount(of, weights=value**2, minlength=len(y))
+    sizes = np.array([len(i) for i in indices])
+    some = np.flatnonzero(sizes)
+    begins = (np.cumsum(sizes) - sizes)[some]
+    column = np.concatenate(indices) if indices else np.zeros(0, np.int32)
+    value = scale[column].astype(np.float32)
+
+    def by_row(entries: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(y))
+        if len(some):
+            out[some] = np.add.reduceat(entries, begins)
+        return out
+
+    row_square = by_row(value**2)
     step = 1 / (0.25 * (np.quantile(row_square, 0.99) + 1) / 4 + RIDGE)
     w, b = np.zeros(len(scale)), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     at_w, at_b, momentum = w, b, 1.0
     loss_before = np.inf
-    for _ in range(600):
-        z = at_b + np.bincount(of, weights=value * at_w[column], minlength=len(y))
+    for turn in range(MOST_STEPS):
+        z = at_b + by_row(value * at_w.astype(np.float32)[column])
         loss = np.mean(np.logaddexp(0, z) - y * z) + RIDGE / 2 * (at_w @ at_w)
         if loss > loss_before + 1e-9:
             step, momentum, at_w, at_b, loss_before = step / 2, 1.0, w, b, np.inf
             continue
+        if turn > 20 and loss_before - loss < 1e-5 * loss:
+            break
         loss_before = loss
         rest = (1 / (1 + np.exp(-np.clip(z, -500, 500))) - y) / len(y)
-        new_w = at_w - step * (np.bincount(column, weights=value * rest[of], minlength=len(scale)) + RIDGE * at_w)
+        new_w = at_w - step * (np.bincount(column, weights=value * np.repeat(rest.astype(np.float32), sizes), minlength=len(scale)) + RIDGE * at_w)
         new_b = at_b - step * rest.sum()
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         at_w, at_b = new_w + (momentum - 1) / grown * (new_w - w), new_b + (momentum - 1) / grown * (new_b - b)
@@ -151,15 +165,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: st
         where = sent.value
         for batch in batches:
             for part, texts in text_steps(batch.column(1).to_pylist(), column_bytes(batch.column(0))):
-                document, bucket = text_grams(texts)
-                known_ = where[bucket] >= 0
-                index, ends = where[bucket[known_]], np.searchsorted(document[known_], np.arange(len(texts) + 1))
+                document, bucket = text_grams(texts, where >= 0)
+                index, ends = where[bucket], np.searchsorted(document, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([index[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "held"])
 
     share = F.when(F.col("label") == 1, min(1.0, max_fit / d1)).otherwise(min(1.0, max_fit / d0))
     table = rows.filter(unit_hash(F.col("doc_id"), "fit") < share).mapInArrow(run, "label int, held binary").toArrow()
     y = table.column("label").to_numpy().astype(float)
     held = [np.frombuffer(x, dtype="<i4") for x in table.column("held").to_pylist()]
+    del table
     w, b = _regression(held, y, ratio[chosen])
     for c, (total, used) in enumerate(((d0, (y == 0).sum()), (d1, (y == 1).sum()))):  # classes were drawn at different rates
         b += (1 if c else -1) * float(np.log(total / max(1, used)))
