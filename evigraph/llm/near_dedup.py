@@ -38,9 +38,13 @@ B, OFFSET = 1.001, 8000
 #: Points beyond (ln REGISTERS + TAIL) / set size are drawn only where a register is still open.
 TAIL = 12.0
 #: A pair is ruled out if its log likelihood at or above the threshold is so much below the best.
-EXCLUDED = 10.0
+EXCLUDED = 8.0
+#: Fewer equal registers than at the threshold less this are excluded without the likelihood (over 8 standard errors).
+LEAST = 0.3
 #: Pairs of one head in a part; queries and members in a block of a mixed bucket; partners tried first.
 PART, QUERIES, MEMBERS, FIRST = 256, 256, 4096, 4
+#: Pairs of sketches compared in one step, and rows of a batch of groups.
+PAIRS, ROWS = 100_000, 20_000
 _U = np.uint64
 
 
@@ -114,6 +118,15 @@ def may_reach(threshold: float, n_u: np.ndarray, n_v: np.ndarray, more: np.ndarr
 
     ``more`` and ``less`` count the registers in which U's value is larger or smaller than V's; set sizes are exact.
     """
+    equal = REGISTERS - more - less
+    possible = (equal >= REGISTERS * (threshold - LEAST)) & (np.minimum(n_u, n_v) >= threshold * np.maximum(n_u, n_v) - 1e-9)
+    ok, likeliest = np.zeros(len(equal), dtype=bool), np.zeros(len(equal))
+    at = np.flatnonzero(possible)
+    ok[at], likeliest[at] = _likelihood(threshold, n_u[at], n_v[at], more[at], less[at])
+    return ok, likeliest
+
+
+def _likelihood(threshold: float, n_u: np.ndarray, n_v: np.ndarray, more: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n_u, n_v = n_u.astype(float), n_v.astype(float)
     u, v = n_u / (n_u + n_v), n_v / (n_u + n_v)
     top = np.minimum(n_u, n_v) / np.maximum(n_u, n_v)
@@ -218,24 +231,63 @@ def _apart(members: DataFrame, labels: DataFrame, nodes: DataFrame, tried: DataF
     others = sized.withColumn("j", F.pmod(F.xxhash64("id"), ms).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), qs - 1))).withColumn("turn", F.lit(1))
     cells = asked.select("key", "i", "j", "turn", "id", "component", "n", "sketch").unionByName(others.select("key", "i", "j", "turn", "id", "component", "n", "sketch"))
 
-    def compare(table: pa.Table) -> pa.Table:
-        turn, ids, of, n = (table.column(c).to_numpy() for c in ("turn", "id", "component", "n"))
+    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(rows)
+        key, i, j, turn, ids, of, n = (table.column(c).to_numpy() for c in ("key", "i", "j", "turn", "id", "component", "n"))
         registers = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+        band = (bands(registers) == key[:, None]).argmax(axis=1)
+        group = np.cumsum(np.concatenate([[0], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
+        queries = np.flatnonzero(turn == 0)
         rest = np.flatnonzero(turn == 1)
-        a, b = [], []
-        for q in np.flatnonzero(turn == 0):
-            at = rest[of[rest] != of[q]]
-            if not len(at):
+        low, high = np.searchsorted(group[rest], group[queries]), np.searchsorted(group[rest], group[queries], side="right")
+        left, right, near = [], [], []
+        begin, counts = 0, np.cumsum(high - low)
+        while begin < len(queries):  # so many queries that their pairs fit a step
+            end = max(begin + 1, int(np.searchsorted(counts, (counts[begin - 1] if begin else 0) + PAIRS, side="right")))
+            sizes = (high - low)[begin:end]
+            q = np.repeat(queries[begin:end], sizes)
+            r = rest[np.repeat(low[begin:end], sizes) + np.arange(len(q)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+            keep = (of[q] != of[r]) & (np.minimum(n[q], n[r]) >= threshold * np.maximum(n[q], n[r]) - 1e-9)
+            q, r = q[keep], r[keep]
+            for at in range(0, len(q), PAIRS):
+                x, y = q[at : at + PAIRS], r[at : at + PAIRS]
+                shared = (registers[x] == registers[y]).reshape(len(x), BANDS, -1).all(axis=2)
+                here = shared.argmax(axis=1) == band[x]  # a pair is compared in the first band that it shares
+                x, y = x[here], y[here]
+                more, less = (registers[x] > registers[y]).sum(1), (registers[x] < registers[y]).sum(1)
+                ok, best = may_reach(threshold, n[x], n[y], more, less)
+                left.append(x[ok])
+                right.append(y[ok])
+                near.append(best[ok])
+            begin = end
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (left, right))
+        if first is not None and len(x):
+            order = np.lexsort((ids[y], -np.concatenate(near), x))
+            x, y = x[order], y[order]
+            place = np.arange(len(x)) - np.searchsorted(x, x)
+            x, y = x[place < first], y[place < first]
+        return pa.RecordBatch.from_arrays([pa.array(f(ids[x], ids[y]), pa.int64()) for f in (np.minimum, np.maximum)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            ok, near = may_reach(threshold, np.full(len(at), n[q]), n[at], (registers[q] > registers[at]).sum(1), (registers[q] < registers[at]).sum(1))
-            at, near = at[ok], near[ok]
-            if first is not None and len(at) > first:
-                at = at[np.lexsort((ids[at], -near))[:first]]
-            a += np.minimum(ids[at], ids[q]).tolist()
-            b += np.maximum(ids[at], ids[q]).tolist()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    found = cells.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+            at = np.column_stack([batch.column(k).to_numpy() for k in range(3)])
+            if sum(b.num_rows for b in held) >= ROWS:
+                # groups go on over batches: what belongs to the last group held comes before the step
+                last = np.array([held[-1].column(k)[-1].as_py() for k in range(3)])
+                same = (at == last).all(axis=1)
+                cut_at = len(at) if same.all() else int(np.argmin(same))
+                if cut_at < len(at):
+                    yield compare([*held, batch.slice(0, cut_at)] if cut_at else held)
+                    held, batch = [], batch.slice(cut_at)
+            held.append(batch)
+        if held:
+            yield compare(held)
+
+    ordered = cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "turn")
+    found = ordered.mapInArrow(run, "a long, b long").distinct()
     return cut(found.join(tried, ["a", "b"], "left_anti"))
 
 
@@ -253,8 +305,6 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     tried = cut(_likely(stars, nodes, threshold))
     edges = cut(_verified(tried, plain, words, percent))
     for first in (FIRST, None):
-        if not edges.limit(1).count() and first is None:
-            break
         more = _apart(members.select("key", "id"), components(edges), nodes, tried, threshold, first)
         if not more.limit(1).count():
             break
