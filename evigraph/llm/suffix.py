@@ -38,7 +38,7 @@ WINDOW = LENGTH - GRAM + 1
 #: Most classes of one anchor that one task gathers.
 HOT = 50_000
 #: Classes that are sorted together, and bytes of a text that are hashed together.
-BATCH, CHUNK = 40_000, 2_000_000
+BATCH, CHUNK = 12_000, 1_000_000
 WIDTH = WINDOW - 1 + LENGTH
 _U = np.uint64
 
@@ -77,9 +77,9 @@ def _occurrences(docs: DataFrame, whole: bool) -> DataFrame:
 
         for batch in batches:
             keys, marks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2))
-            for begin in range(0, len(texts), 1000):
+            for begin in range(0, len(texts), 500):
                 hs, ss, ids, ts, firsts, lasts, anchors = [], [], [], [], [], [], []
-                for key, mark, text in zip(keys[begin : begin + 1000], marks[begin : begin + 1000], texts[begin : begin + 1000], strict=True):
+                for key, mark, text in zip(keys[begin : begin + 500], marks[begin : begin + 500], texts[begin : begin + 500], strict=True):
                     first, last, anchor, h = ranges(text)
                     hs.append(h)
                     if whole:
@@ -105,7 +105,7 @@ def column_sort(segments: list[bytes], before: np.ndarray, group: np.ndarray) ->
     segment and a column for each window start, WINDOW - 1 bytes in front of the anchor up to the anchor itself.
     """
     count = len(segments)
-    symbols = np.full((count, WIDTH), 256, dtype=np.int32)
+    symbols = np.full((count, WIDTH), 256, dtype=np.int16)
     sizes = np.array([len(s) for s in segments])
     row = np.repeat(np.arange(count), sizes)
     within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
