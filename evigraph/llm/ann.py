@@ -46,11 +46,16 @@ def _rotated(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def axes_for(count: int, size: int) -> list[int]:
-    """How many of a vector's ``size`` axes each hash keeps: powers of two whose signed axes make about count / CELL cells."""
+    """How many of a vector's ``size`` axes each hash keeps: powers of two whose signed axes make about count / CELL cells.
+
+    A further hash needs more cells than a query probes of it, else it would split cells without leaving any out.
+    """
     full = 1 << max(0, (size - 1).bit_length())
     out, cells = [], max(4, count // CELL)
     while cells > 1 and len(out) < 4:
         axes = min(full, 1 << max(0, (cells // 2).bit_length() - 1))
+        if out and 2 * axes <= PROBES:
+            break
         out.append(axes)
         cells //= 2 * axes
     return out or [1]
