@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
@@ -67,8 +67,10 @@ def narrowest_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     bins = intervals.select("*", F.explode(F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))).alias("__bin"))
     placed = points.withColumn("__bin", F.floor(F.col(at) / size))
     met = placed.join(bins, [*keys, "__bin"]).filter(F.col(at).between(F.col(begin), F.col(end)))
-    first = Window.partitionBy(*points.columns).orderBy(F.col(end) - F.col(begin), *order)
-    return met.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n", "__bin")
+    held = [c for c in intervals.columns if c not in keys]
+    rank = F.struct((F.col(end) - F.col(begin)).alias("__width"), *order, *[c for c in held if c not in order])
+    best = met.groupBy(*points.columns).agg(F.min(rank).alias("__best"))  # a point lies in one bin, so this is done before the shuffle
+    return best.select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in held])
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

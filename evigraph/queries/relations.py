@@ -120,7 +120,7 @@ def catalog_diff_rules(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unique_match_join(spark: SparkSession, d: str) -> DataFrame:
-    refs = table(spark, d, "part").filter("p_partkey % 3 = 0").select(
+    refs = table(spark, d, "part").select(
         F.col("p_partkey").alias("ref"), F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("p_brand"), F.when(F.col("p_partkey") % 5 < 3, F.col("p_type")).alias("p_type")
     )
     return joins.wildcard_match(refs, table(spark, d, "part"), "ref", ["p_size"], ["p_brand", "p_type"], "p_partkey").withColumnRenamed("object", "p_partkey")
@@ -135,9 +135,9 @@ def owning_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 def point_in_interval(spark: SparkSession, d: str) -> DataFrame:
     day = F.datediff(F.col("l_shipdate"), F.lit("1992-01-01").cast("date"))
-    points = table(spark, d, "lineitem").filter("l_orderkey % 11 = 0").select("l_orderkey", "l_linenumber", F.col("l_suppkey"), day.alias("at"))
+    points = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey"), day.alias("at"))
     opened = F.datediff(F.col("l_shipdate"), F.lit("1992-01-01").cast("date"))
-    spans = table(spark, d, "lineitem").filter("l_orderkey % 7 = 0").select("l_suppkey", F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("owner_line"), opened.alias("begin"), (opened + F.col("l_quantity").cast("int") * 4).alias("end"))
+    spans = table(spark, d, "lineitem").select("l_suppkey", F.col("l_orderkey").alias("owner"), F.col("l_linenumber").alias("owner_line"), opened.alias("begin"), (opened + F.col("l_quantity").cast("int") * 4).alias("end"))
     found = joins.narrowest_interval(points, spans, ["l_suppkey"], "at", "begin", "end", 100, ["owner", "owner_line"])
     return found.select("l_orderkey", "l_linenumber", "owner", "owner_line")
 
@@ -190,7 +190,7 @@ def exception_asof(spark: SparkSession, d: str) -> DataFrame:
     results = table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("result"), (F.col("s_suppkey") % 7).alias("constraint"), F.lit(2).alias("version"), F.col("s_nationkey").alias("scope"), F.when(F.col("s_acctbal") < 4000, "error").otherwise("advisory").alias("severity")
     )
-    rules = table(spark, d, "part").filter("p_partkey % 2 = 0").select(
+    rules = table(spark, d, "part").select(
         F.col("p_partkey").alias("exception"), (F.col("p_partkey") % 7).alias("constraint"), F.when(F.col("p_size") > 10, 2).otherwise(1).alias("version"), (F.col("p_partkey") % 25).cast("int").alias("scope"),
         (F.col("p_partkey") % 13 != 0).alias("approved"), F.when(F.col("p_partkey") % 8 == 0, "2024-01-01T00:00:00Z").otherwise("2026-01-01T00:00:00Z").alias("expires"),
     )
