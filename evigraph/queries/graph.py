@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import derive, ids
 from ..derive import SQL, table
+from ..functions import text
 from ..operators import findings, graph, windows
 from ..plans.iterate import cut
 
@@ -88,7 +89,7 @@ def khop_induced_edges(spark: SparkSession, d: str) -> DataFrame:
 
 def _transitions(spark: SparkSession, d: str) -> DataFrame:
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    pairs = table(spark, d, "events").filter("user_id % 7 = 3").select(F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst"))
+    pairs = table(spark, d, "events").select(F.col("event_type").alias("src"), F.lead("event_type").over(order).alias("dst"))
     return pairs.filter("dst IS NOT NULL").distinct()
 
 
@@ -107,8 +108,9 @@ def conversation_chain_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def components_shared_terms(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").filter("p_partkey % 20 < 2").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("src"), F.col("p_brand"), F.col("p_size"))
-    links = parts.select("src", F.concat_ws("/", F.lit("term"), "p_brand", "p_size").alias("dst"))
+    terms = F.explode(F.array_distinct(text.tokens(F.col("p_name")))).alias("term")
+    parts = table(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("src"), terms)
+    links = parts.select("src", F.concat_ws("/", F.lit("term"), "term").alias("dst"))
     return graph.connected(links).groupBy("component").agg(F.count("*").alias("n_nodes"))
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph import catalog
+from evigraph.queries import graph as graph_queries
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -63,3 +64,32 @@ def test_exception_asof_over_all_rules(spark, rows):
                 taken.add(result)
             want.append((result, k, state))
     assert got(spark, "exception_asof", "result", "exception", "state") == Counter(want)
+
+
+def events(spark, folder, sequences):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("event_id"))
+    flat = [(user, kind) for user, kinds in sequences.items() for kind in kinds]
+    made = spark.createDataFrame([(i, user, kind) for i, (user, kind) in enumerate(flat)], "event_id long, user_id long, event_type string")
+    made.withColumn("ts", at).write.parquet(f"{folder}/events.parquet")
+
+
+def test_event_cycle_closure_over_all_users(spark, tmp_path):
+    sequences = {3: "ab", 4: "bca", 5: "cd", 6: "ef"}  # the cycle a, b, c is made by users 3 and 4 together
+    events(spark, tmp_path, sequences)
+    steps = {pair for kinds in sequences.values() for pair in zip(kinds, kinds[1:])}
+    want, hops, level = {}, 1, set(steps)
+    while level:
+        want |= {pair: hops for pair in level}
+        level, hops = {(a, d) for a, b in level for c, d in steps if b == c} - want.keys(), hops + 1
+    assert {(r.src, r.dst): r.hops for r in graph_queries.event_cycle_closure(spark, str(tmp_path)).collect()} == want
+    assert want["a", "a"] == 3 and want["e", "f"] == 1
+
+
+def test_components_over_shared_name_terms(spark, tmp_path):
+    names = ["small ring", "ring bolt", "blue bolt", "red widget", "Red-Cog", "plain", "", None]
+    names += ["blue"] * 20
+    made = spark.createDataFrame(list(enumerate(names, 100)), "p_partkey long, p_name string")
+    made.write.parquet(f"{tmp_path}/part.parquet")
+    # parts 100 and 102 share no term and meet over 101; the least node names the component
+    want = {("part/100", 23 + 4), ("part/103", 2 + 3), ("part/105", 1 + 1)}
+    assert {tuple(r) for r in graph_queries.components_shared_terms(spark, str(tmp_path)).collect()} == want
