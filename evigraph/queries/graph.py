@@ -125,8 +125,7 @@ def quotient_region_deps(spark: SparkSession, d: str) -> DataFrame:
 
 def shortest_path_regions(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "region").select(F.concat(F.lit("region/"), F.col("r_regionkey").cast("string")).alias("node"))
-    small_edges = derive.edges(spark, d).filter("kind IN ('module_dependency', 're_export', 'contains')")
-    found = graph.shortest_paths(small_edges, sources)
+    found = graph.shortest_paths(derive.edges(spark, d), sources)
     return found.select("source", "node", F.col("hops").cast("long").alias("hops"), F.array_join("path", " ").alias("path"))
 
 

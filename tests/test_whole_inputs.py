@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from evigraph import catalog
+from evigraph import catalog, derive
 from evigraph.queries import graph as graph_queries
 
 FOLDER = "/root/testdata/sf0.001"
@@ -93,3 +93,23 @@ def test_components_over_shared_name_terms(spark, tmp_path):
     # parts 100 and 102 share no term and meet over 101; the least node names the component
     want = {("part/100", 23 + 4), ("part/103", 2 + 3), ("part/105", 1 + 1)}
     assert {tuple(r) for r in graph_queries.components_shared_terms(spark, str(tmp_path)).collect()} == want
+
+
+def test_shortest_paths_over_all_edges(spark):
+    steps = defaultdict(set)
+    for src, dst, _ in derive.edges(spark, FOLDER).collect():
+        steps[src].add(dst)
+    want = {}
+    for source in (f"region/{k}" for k in range(5)):
+        seen, level = {source}, {source: (source,)}
+        while level:
+            reached = defaultdict(list)
+            for node, path in level.items():
+                for dst in steps[node] - seen:
+                    reached[dst].append((*path, dst))
+            level = {node: min(paths) for node, paths in reached.items()}
+            seen |= level.keys()
+            want |= {(source, node): (len(path) - 1, " ".join(path)) for node, path in level.items()}
+    found = {(r.source, r.node): (r.hops, r.path) for r in graph_queries.shortest_path_regions(spark, FOLDER).collect()}
+    assert found == want
+    assert {"customer", "order", "part", "supplier"} <= {node.split("/")[0] for _, node in found}
