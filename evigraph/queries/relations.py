@@ -170,7 +170,7 @@ def witness_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 def duplicate_scripts(spark: SparkSession, d: str) -> DataFrame:
-    return impact.duplicate_scripts(table(spark, d, "documents").select(F.substring("text", 1, 40).alias("command")), "command")
+    return impact.duplicate_scripts(table(spark, d, "documents").select(F.col("text").alias("command")), "command")
 
 
 def constraint_exactly_one(spark: SparkSession, d: str) -> DataFrame:

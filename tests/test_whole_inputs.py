@@ -1,5 +1,6 @@
 """Queries over all of their tables, against brute force: no subset of ids, no prefix of a text."""
 
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from evigraph import catalog, derive
 from evigraph.queries import graph as graph_queries
+from evigraph.queries import relations
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -113,3 +115,13 @@ def test_shortest_paths_over_all_edges(spark):
     found = {(r.source, r.node): (r.hops, r.path) for r in graph_queries.shortest_path_regions(spark, FOLDER).collect()}
     assert found == want
     assert {"customer", "order", "part", "supplier"} <= {node.split("/")[0] for _, node in found}
+
+
+def test_duplicate_scripts_compare_whole_texts(spark, rows, tmp_path):
+    opening = "The same opening of forty letters and more"
+    texts = [opening + " one", opening + " two", opening + " \n two", opening, "a  b", " a b\t", "", " "]
+    spark.createDataFrame([(t,) for t in texts], "text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = relations.duplicate_scripts(spark, str(tmp_path)).select("command", "n_scripts").collect()
+    assert {tuple(r) for r in found} == {(opening + " two", 2), ("a b", 2), ("", 2)}
+    plain = Counter(re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ") for (t,) in rows("documents", "text"))
+    assert got(spark, "duplicate_scripts", "command", "n_scripts") == Counter((t, n) for t, n in plain.items() if n > 1)
