@@ -1,10 +1,11 @@
 """Hierarchical multi-length packing of token sequences.
 
 Each document's tokens are routed to tiers of context size: every full window goes out on its own, the rest
-to the smallest tier that holds it. Windows are then filled from the longest tier down: a long rest opens a window
-and its gap takes the largest rests that fit, tier by tier; a gap that no whole rest fits takes a piece of the next
-one. The last window is closed at powers of two, so nothing is padded there either. Windows of equal length are
-dealt to step groups of equal token counts.
+to the smallest tier that holds it. Each tier is packed into windows of its own length, the longest tier first: its
+longest rest opens a window and the gap takes the largest rests that fit, of its tier and then of shorter ones; a gap
+that no whole rest fits takes a piece of the shortest. What fills no window of its tier any more is closed at powers of
+two, so nothing is padded there either. A step group holds a task's windows of one length, and every group of
+every tier but the last as many tokens.
 
 All of it runs inside the scan: a task packs the documents it reads, so nothing is shuffled and memory is
 bounded by a batch and one document. Sequence ids are the task's number and a counter, the same in a rerun over the
@@ -213,19 +214,21 @@ class Windows:
 
     def __init__(self, task: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, pool: int = POOL):
         self.window, self.tiers, self.most = window, sorted(tiers), pool
-        self.next = task << 32
-        self.groups: dict[int, list[int]] = {}
-        self.rests: list[tuple[int, int, object, int, bytes]] = []  # by length: (length, order, doc_id, start, ids)
+        self.next, self.task = task << 32, task
+        self.sequences: dict[int, int] = {}  # by length
+        self.rests: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # by tier and length: (length, order, doc_id, start, ids, total)
+        self.waiting, self.held = 0, 0  # rests and their tokens
         self.order, self.out = 0, []
 
     def _sequence(self, pieces: list, length: int) -> None:
         tier = next(t for t in self.tiers if t >= length)
-        group = self.groups.setdefault(length, [len(self.groups), 0])
-        step, group[1] = group[1] * length // STEP_TOKENS, group[1] + 1
+        before = self.sequences.get(length, 0)
+        self.sequences[length] = before + 1
+        group = (self.task << 32) + (length.bit_length() << 24) + before * length // STEP_TOKENS
         at = 0
         for doc_id, start, ids, total in pieces:
             n = len(ids) // 4
-            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.next, at, length, tier, (group[0] << 32) + step))
+            self.out.append((doc_id, start, n, zlib.crc32(ids), total, self.next, at, length, tier, group))
             at += n
         self.next += 1
 
@@ -236,40 +239,45 @@ class Windows:
             self._sequence([(doc_id, k * self.window, ids[k * size : (k + 1) * size], total)], self.window)
         if len(ids) % size:
             self._rest(doc_id, full * self.window, ids[full * size :], total)
-        if len(self.rests) > self.most:
+        if self.waiting > self.most:
             self._pack(self.most // 2)
 
     def _rest(self, doc_id: object, start: int, ids: bytes, total: int) -> None:
-        bisect.insort(self.rests, (len(ids) // 4, self.order, doc_id, start, ids, total), key=lambda r: r[:2])
-        self.order += 1
+        n = len(ids) // 4
+        tier = next(t for t in self.tiers if t >= n)
+        bisect.insort(self.rests[tier], (n, self.order, doc_id, start, ids, total), key=lambda r: r[:2])
+        self.order, self.waiting, self.held = self.order + 1, self.waiting + 1, self.held + n
+
+    def _take(self, tier: int, place: int) -> tuple:
+        rest = self.rests[tier].pop(place)
+        self.waiting, self.held = self.waiting - 1, self.held - rest[0]
+        return rest
 
     def _pack(self, left: int) -> None:
-        """Closes full windows, opened by the longest rest, until so many rests are left."""
-        while len(self.rests) > left and self._held() >= self.window:
-            first = self.rests.pop()
-            pieces, room = [first], self.window - first[0]
-            for tier in reversed(self.tiers):  # longer rests first, each as large as still fits
-                while room and self.rests and (k := bisect.bisect_right(self.rests, min(room, tier), key=lambda r: r[0])):
-                    pieces.append(self.rests.pop(k - 1))
-                    room -= pieces[-1][0]
-            if room:  # every rest is longer than the gap: a piece of the shortest closes it
-                n, _, doc_id, start, ids, total = self.rests.pop(0)
-                pieces.append((room, 0, doc_id, start, ids[: room * 4], total))
-                self._rest(doc_id, start + room, ids[room * 4 :], total)
-            self._sequence([(d, s, i, t) for _, _, d, s, i, t in pieces], self.window)
-
-    def _held(self) -> int:
-        total = 0
-        for r in reversed(self.rests):
-            total += r[0]
-            if total >= self.window:
-                break
-        return total
+        """Closes full windows of each tier, the longest first, until so many rests are left."""
+        for tier in reversed(self.tiers):
+            while self.waiting > left and self.rests[tier] and self.held >= tier:
+                self._window(tier)
+
+    def _window(self, tier: int) -> None:
+        """One full window of the tier, opened by its longest rest."""
+        first = self._take(tier, -1)
+        pieces, room = [first], tier - first[0]
+        for t in reversed(self.tiers):  # longer rests first, each as large as still fits
+            while t <= tier and room and (k := bisect.bisect_right(self.rests[t], room, key=lambda r: r[0])):
+                pieces.append(self._take(t, k - 1))
+                room -= pieces[-1][0]
+        if room:  # every rest is longer than the gap: a piece of the shortest closes it
+            _, _, doc_id, start, ids, total = self._take(next(t for t in self.tiers if self.rests[t]), 0)
+            pieces.append((room, 0, doc_id, start, ids[: room * 4], total))
+            self._rest(doc_id, start + room, ids[room * 4 :], total)
+        self._sequence([(d, s, i, t) for _, _, d, s, i, t in pieces], tier)
 
     def close(self) -> None:
         self._pack(0)
-        pieces = [[d, s, i, t] for _, _, d, s, i, t in reversed(self.rests)]
-        self.rests = []
+        pieces = [[d, s, i, t] for tier in reversed(self.tiers) for _, _, d, s, i, t in reversed(self.rests[tier])]
+        self.rests = {t: [] for t in self.tiers}
+        self.waiting = self.held = 0
         left = sum(len(p[2]) // 4 for p in pieces)
         while left:
             length = 1 << (left.bit_length() - 1)

@@ -55,3 +55,40 @@ def test_pack_against_tokenizer(spark: SparkSession):
             at += r.length
         assert at == pieces[0].sequence_length <= 2048 and at & (at - 1) == 0
     assert pack(frame.limit(0), P.path("word_bpe_49k.json")).count() == 0
+
+
+def test_tiers_are_packed_into_windows_of_their_own():
+    from evigraph.llm.packing import STEP_TOKENS, Windows
+
+    windows, random = Windows(3), np.random.default_rng(1)
+    sizes = [100] * 2000 + [300] * 3000 + [700] * 3000 + [1500] * 500 + [5000] * 20 + random.integers(1, 2049, 3000).tolist() + [60] * 9000
+    for k, n in enumerate(sizes):
+        windows.add(k, np.arange(n, dtype="<u4").tobytes())
+    windows.close()
+    by_sequence, tokens, covered = defaultdict(list), defaultdict(int), defaultdict(list)
+    for doc, start, n, _, total, sequence, offset, length, tier, group in windows.out:
+        by_sequence[sequence].append((offset, n, total, length, tier, group))
+        covered[doc].append((start, n))
+    assert all([s for s, _ in sorted(p)] == [0, *np.cumsum([n for _, n in sorted(p)])[:-1]] and sum(n for _, n in p) == sizes[d] for d, p in covered.items()) and len(covered) == len(sizes)
+    made, groups = defaultdict(int), defaultdict(set)
+    for pieces in by_sequence.values():
+        _, _, _, length, tier, group = pieces[0]
+        assert sum(p[1] for p in pieces) == length <= tier
+        made[tier] += length == tier
+        tokens[group] += length
+        groups[length].add(group)
+    assert set(made) == {2048, 1024, 512, 256} and all(n > 10 for n in made.values())
+    assert not any(a & b for x, a in groups.items() for y, b in groups.items() if x != y)
+    assert all(tokens[g] == STEP_TOKENS for x in groups.values() for g in sorted(x)[:-1])
+
+
+@pytest.mark.parametrize("n, tier", [(100, 256), (300, 512), (700, 1024), (1500, 2048)])
+def test_documents_of_one_tier_make_its_windows(n, tier):
+    from evigraph.llm.packing import Windows
+
+    windows = Windows(0)
+    for k in range(200):
+        windows.add(k, np.arange(n, dtype="<u4").tobytes())
+    windows.close()
+    lengths = {r[5]: r[7] for r in windows.out}
+    assert lengths[0] == tier and sum(v == tier for v in lengths.values()) * tier > 0.5 * 200 * n
