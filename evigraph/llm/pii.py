@@ -26,6 +26,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 KINDS = ("email", "phone", "card", "ip", "ssn", "iban", "date", "secret")
 ROUNDS = 8
+#: Characters of a secret that are permuted together.
+SECRET_BLOCK = 512
 #: Days that dates are permuted within: each year block keeps its number of digits.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
@@ -43,10 +45,11 @@ _TRIGGER = re.compile(r"[@=:+(]|\d+|AKIA")
 _LOCAL = re.compile(r"[\w%+-][\w.%+-]{0,63}$")
 _DOMAIN = re.compile(r"[\w-]{1,63}(?:\.[\w-]{1,63}){0,8}\.[A-Za-z]{2,24}(?!\w)")
 _SECRET_NAME = re.compile(r"(?:password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth)[\"']?\s{0,3}$", re.IGNORECASE)
-_SECRET_VALUE = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{6,512})")
+_SECRET_VALUE = re.compile(r"\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{6,})")
 _ACCESS = re.compile(r"AKIA([0-9A-Z]{16})(?!\w)")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})(?!\w|\.\d)")
-_DATE = re.compile(r"(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?!\w|[-/.]\d)")
+#: A time may follow a date with its year first.
+_DATE = re.compile(r"(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:(?=T\d\d:?\d\d)|(?!\w|[-/.]\d))|(\d{1,2})([-/.])(\d{1,2})\6(\d{4})(?!\w|[-/.]\d))")
 _SSN = re.compile(r"(\d{3})-(\d{2})-(\d{4})(?!\w|-\d)")
 #: North American numbers have ten digits; others two to five groups after the country code; without a code only the first form counts.
 _PHONE = re.compile(
@@ -164,8 +167,12 @@ class Pseudonyms:
         return datetime.date.fromordinal(FIRST_DAY + self.permutation(LAST_DAY - FIRST_DAY + 1, b"date")(day - FIRST_DAY))
 
     def secret(self, value: str) -> str:
+        """Of long values, a block at a time: each block's permutation depends on what the one before became."""
         alphabet = _HEX if len(value) >= 16 and all(c in _HEX for c in value) else ""
-        return self.chars(value, "secret", alphabet)
+        made = self.chars(value[:SECRET_BLOCK], "secret", alphabet)
+        for at in range(SECRET_BLOCK, len(value), SECRET_BLOCK):
+            made += self._chars(value[at : at + SECRET_BLOCK], f"secret {made[-SECRET_BLOCK:]}", alphabet)
+        return made
 
     def _number(self, text: str, at: int, last: int) -> tuple[int, int, str, str] | None:
         before = text[at - 1] if at else " "

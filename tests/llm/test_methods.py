@@ -125,6 +125,23 @@ def test_permutations_and_formats():
     assert made.replace("see 10.0.0.255!")[0][4:-1] == out.split()[5]  # equal values stay linked
 
 
+def test_long_secrets_and_timestamps():
+    made = pii.Pseudonyms(b"key")
+    rng = np.random.default_rng(3)
+    long = "".join(rng.choice([*"abcXYZ0189_-."], 1300))
+    out, kinds = made.replace(f"token={long} end")
+    assert kinds == ["secret"] and out.startswith("token=") and out.endswith(" end") and len(out) == len(long) + 10
+    blocks = [(long[i : i + 512], out[6:-4][i : i + 512]) for i in (0, 512, 1024)]
+    assert all(a != b for a, b in blocks) and out[6:-4][:512] == made.replace(f"token={long[:512]}")[0][6:]
+    other = made.replace(f"token=A{long[1:]}")[0][6:]
+    assert all(other[i : i + 512] != b for i, (_, b) in zip((0, 512, 1024), blocks))  # blocks are linked
+    for stamp in ("2024-01-05T10:00:00Z", "2024-01-05T1000"):
+        out, kinds = made.replace(stamp)
+        assert kinds == ["date"] and out[10:] == stamp[10:] and out[:10] == made.replace("2024-01-05")[0] != stamp[:10]
+    clean = "2024-01-05x 2024-01-05Tx 2024-01-05T1 31-12-1999T10:00"
+    assert made.replace(clean) == (clean, [])
+
+
 def test_mix_comes_near_its_targets(spark):
     rows = [(i, "w " * (20 + i % 30), f"s{i % 4}" if i % 2 else "s0") for i in range(20_000)]
     plan = mixing.mix_plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
