@@ -306,10 +306,9 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     edges = cut(_verified(tried, plain, words, percent))
     for first in (FIRST, None):
         more = _apart(members.select("key", "id"), components(edges), nodes, tried, threshold, first)
-        if not more.limit(1).count():
-            break
-        edges = cut(edges.union(_verified(more, plain, words, percent)).distinct())
-        tried = cut(tried.union(more))
+        if more.limit(1).count():  # without new pairs among the likeliest, there may still be some among all
+            edges = cut(edges.union(_verified(more, plain, words, percent)).distinct())
+            tried = cut(tried.union(more))
     # ids that stand in several classes (rows with equal ids) join them
     named = sketched.filter((F.col("n") > 0) & F.col("doc_id").isNotNull()).join(classes, "digest").select("doc_id", "id")
     ties = named.filter(F.col("doc_id") != F.col("id")).groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter(F.col("low") != F.col("high")).select(F.col("low").alias("a"), F.col("high").alias("b"))

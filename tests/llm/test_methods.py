@@ -70,6 +70,23 @@ def test_near_classes_against_brute_force(spark):
     assert got == near_brute(texts, 4)
 
 
+def test_all_pairs_are_tried_where_the_likeliest_are_done(spark, monkeypatch):
+    """The likeliest partners of all stragglers may have been tried before; the pass over all partners comes nonetheless."""
+    apart, likely, passes = near_dedup._apart, near_dedup._likely, []
+
+    def none_left(members, labels, nodes, tried, threshold, first):
+        passes.append(first)
+        found = apart(members, labels, nodes, tried, threshold, first)
+        return found.limit(0) if first else found
+
+    monkeypatch.setattr(near_dedup, "_apart", none_left)
+    monkeypatch.setattr(near_dedup, "_likely", lambda *a: likely(*a).limit(0))  # no link is known before
+    same = " ".join(f"w{i}" for i in range(200))
+    frame = spark.createDataFrame([(1, same), (2, same + " end")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_classes(frame, words=4).collect()}
+    assert passes == [near_dedup.FIRST, None] and got == {1: 1, 2: 1}
+
+
 def test_likelihood_finds_the_similarity():
     rng = np.random.default_rng(0)
     found = []
