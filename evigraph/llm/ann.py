@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, seeded, small
 
-TABLES = 10
+TABLES = 10  # for each hash that a cell takes
 #: Axes that a query probes in each hash.
 PROBES = 8
 #: Classes that a cell is meant to hold; a part of a split cell holds at most about CELL_PART.
@@ -67,7 +67,7 @@ def cells(x: np.ndarray, axes: list[int], probes: int) -> np.ndarray:
     padded = np.zeros((len(x), full), dtype=np.float32)
     padded[:, : x.shape[1]] = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     out = []
-    for table in range(TABLES):
+    for table in range(TABLES * len(axes)):
         found = np.full((len(x), 1), table, dtype=np.int64)
         for k, kept in enumerate(axes):
             y = _rotated(padded, seeded(SEED, full, table, k))[:, :kept]

@@ -126,6 +126,17 @@ def test_neighbour_recall(spark):
     assert [v for v, _ in got[1100]] == list(range(1000, 1010))
 
 
+def test_tables_grow_with_the_hashes():
+    x = np.random.default_rng(7).normal(size=(2000, 64)).astype(np.float32)
+    one, two = ann.axes_for(10_000, 64), ann.axes_for(2_200_000, 64)
+    assert len(one) == 1 and ann.cells(x[:5], one, 1).shape[1] == ann.TABLES
+    held, asked = ann.cells(x, two, 1), ann.cells(x[:50], two, ann.PROBES).reshape(50, 2 * ann.TABLES, -1)
+    assert len(two) == 2 and held.shape[1] == 2 * ann.TABLES
+    near = x + np.random.default_rng(8).normal(size=x.shape).astype(np.float32) * 0.5
+    met = ann.cells(near[:50], two, 1)
+    assert sum((asked[i] == met[i][:, None]).any() for i in range(50)) >= 45
+
+
 def test_permutations_and_formats():
     for n in (2, 3, 10, 26, 1000):
         p = pii.Permutation(b"k" * 32, n, b"t")
