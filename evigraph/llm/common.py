@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.iterate import cut as cut
+
 #: Words everywhere in this package: runs of anything but space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Most rows of a side that is broadcast; beyond it the join shuffles.
@@ -30,23 +29,19 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints in the folder of spark.checkpoint.dir; only where that is unset (tests, notebooks), in a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="evigraph-checkpoint-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a checkpointed side for broadcast if it has at most so many rows; else Spark shuffles both sides."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def id_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))
 
@@ -142,6 +137,25 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return column.fill_null("").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, rows: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, runs of equal integers in the first ``keys`` columns; of so many rows at least but for the last."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if sum(b.num_rows for b in held) >= rows:
+            same = np.ones(batch.num_rows, dtype=bool)
+            for k in range(keys):
+                same &= batch.column(k).to_numpy() == held[-1].column(k)[-1].as_py()
+            goes_on = batch.num_rows if same.all() else int(np.argmin(same))
+            if goes_on < batch.num_rows:
+                yield pa.Table.from_batches([*held, batch.slice(0, goes_on)] if goes_on else held)
+                held, batch = [], batch.slice(goes_on)
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def seeded(*parts: object) -> int:
     """A 64-bit seed that is the same on every machine."""
     import hashlib

@@ -30,63 +30,6 @@ def test_against_sql(spark, name):
     assert got == want
 
 
-def near_brute(texts, size):
-    def of(t):
-        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
-        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
-
-    sets = {k: of(t) for k, t in texts.items()}
-    parent = {k: k for k in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    keys = sorted(sets)
-    for i, a in enumerate(keys):
-        for b in keys[i + 1 :]:
-            both = len(sets[a] & sets[b])
-            if sets[a] and sets[b] and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {k: (len(s), find(k), find(k) == k) for k, s in sets.items()}
-
-
-def test_near_classes_against_brute_force(spark):
-    rng = np.random.default_rng(5)
-    words = [f"w{i}" for i in range(500)]
-    base = [list(rng.choice(words, 120)) for _ in range(6)]
-    texts = {}
-    for b in base:
-        for _ in range(25):  # near copies around the threshold, and exact ones
-            t = list(b)
-            for at in rng.choice(len(t), rng.integers(0, 7), replace=False):
-                t[at] = rng.choice(words)
-            texts[len(texts)] = " ".join(t)
-    texts |= {len(texts): None, len(texts) + 1: "", len(texts) + 2: "A b", len(texts) + 3: "a B", len(texts) + 4: "a b c"}
-    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_classes(frame, words=4).collect()}
-    assert got == near_brute(texts, 4)
-
-
-def test_all_pairs_are_tried_where_the_likeliest_are_done(spark, monkeypatch):
-    """The likeliest partners of all stragglers may have been tried before; the pass over all partners comes nonetheless."""
-    apart, likely, passes = near_dedup._apart, near_dedup._likely, []
-
-    def none_left(members, labels, nodes, tried, threshold, first):
-        passes.append(first)
-        found = apart(members, labels, nodes, tried, threshold, first)
-        return found.limit(0) if first else found
-
-    monkeypatch.setattr(near_dedup, "_apart", none_left)
-    monkeypatch.setattr(near_dedup, "_likely", lambda *a: likely(*a).limit(0))  # no link is known before
-    same = " ".join(f"w{i}" for i in range(200))
-    frame = spark.createDataFrame([(1, same), (2, same + " end")], "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in near_dedup.near_classes(frame, words=4).collect()}
-    assert passes == [near_dedup.FIRST, None] and got == {1: 1, 2: 1}
-
-
 def test_likelihood_finds_the_similarity():
     rng = np.random.default_rng(0)
     found = []
