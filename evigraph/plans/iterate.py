@@ -1,18 +1,23 @@
-"""Iteration with bounded lineage: every round ends in a checkpoint that all executors can read."""
+"""Iteration with bounded lineage: every round ends in a table that all executors can read."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoints in the folder of spark.checkpoint.dir. Only a local master may leave it unset: then a temporary folder does."""
+#: Bytes that a writing task holds before it writes them out.
+ROW_GROUP = 16 << 20
+
+
+def shared_folder(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master may leave it unset: then a temporary folder does."""
     context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local"):
@@ -20,7 +25,18 @@ def cut(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="evigraph-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table written to the shared folder: no lineage, and what is lost is read again.
+
+    A checkpoint would keep the size that Spark expects of the plan it cuts. Over the rounds of a loop that number is
+    multiplied by itself until planning takes longer than the work; a written table is as large as its files.
+    """
+    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def any_rows(df: DataFrame) -> bool:
