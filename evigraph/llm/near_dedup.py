@@ -47,6 +47,8 @@ EXCLUDED = 12.5
 LEAST = 0.3
 #: Bytes of sketches or sets that one task compares with each other, and nodes that all parts of a larger group share.
 PART_BYTES, SHARED = 24_000_000, 16
+#: Bands whose buckets are compared first.
+FIRST_BANDS = 2
 #: Groups up to this many nodes are compared in bulk; pairs compared in one step; rows read before a step.
 BULK, PAIRS, ROWS = 24, 100_000, 20_000
 _U = np.uint64
@@ -173,17 +175,19 @@ def document_sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text:
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, kinds)
 
 
-def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, node, total) for every bucket with several nodes; ``total`` counts its bytes of sketches."""
+def _buckets(labelled: DataFrame, first: int, last: int) -> DataFrame:
+    """(key, node, label, total) for every bucket of bands ``first`` to ``last - 1`` whose nodes differ in label; ``total``
+    counts its bytes of sketches. ``labelled``: (node, label, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
-            yield pa.RecordBatch.from_arrays([pa.array(bands(registers).ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], names=["key", "node"])
+            registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+            node, label = (np.repeat(batch.column(i).to_numpy(), last - first) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(bands(registers)[:, first:last].ravel()), pa.array(node), pa.array(label)], names=["key", "node", "label"])
 
-    single = nodes.select("node", "sketch").mapInArrow(run, "key long, node long").repartition("key")
-    several = single.groupBy("key").agg((F.count("*") * 2 * REGISTERS).alias("total")).filter(F.col("total") > 2 * REGISTERS)
-    return single.join(several, "key")
+    single = labelled.select("node", "label", "sketch").mapInArrow(run, "key long, node long, label long").repartition("key")
+    mixed = single.groupBy("key").agg((F.count("*") * 2 * REGISTERS).alias("total"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key", "total")
+    return single.join(mixed, "key")
 
 
 def _joins(label: np.ndarray, asks: np.ndarray, others: np.ndarray, similar: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -338,12 +342,12 @@ ASK, OTHER, BOTH = 0, 1, 2
 def _spanning(groups: DataFrame, links_of: Callable[[DataFrame], DataFrame], most: int) -> DataFrame:
     """Links (a, b) that join all nodes of a group which are similar, by way of others or not.
 
-    ``groups``: (key, node, total), ``total`` being the bytes of the group; ``links_of`` gives the joining links of
+    ``groups``: (key, node, label, total), equal labels being joined already and ``total`` the bytes of the group; ``links_of`` gives the joining links of
     rows (key, i, j, turn, label, node), comparing those with equal (key, i, j).
     """
     parts = F.ceil(F.col("total") / most).cast("int")
-    dealt = groups.select("key", "node", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("i"))
-    row = [F.lit(0).alias("j"), F.lit(BOTH).alias("turn"), F.col("node").alias("label"), "node"]
+    dealt = groups.select("key", "node", "label", parts.alias("parts"), F.pmod(F.xxhash64("node"), parts).cast("int").alias("i"))
+    row = [F.lit(0).alias("j"), F.lit(BOTH).alias("turn"), "label", "node"]
     rows = dealt.select("key", "i", *row)
     large = cut(dealt.filter("parts > 1"))
     if not large.limit(1).count():
@@ -351,7 +355,8 @@ def _spanning(groups: DataFrame, links_of: Callable[[DataFrame], DataFrame], mos
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node"), "node"))
     common = large.withColumn("place", place).filter(F.col("place") <= SHARED).withColumn("own", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).filter("i <> own")
     links = cut(links_of(rows.unionByName(common.select("key", "i", *row))))
-    named = cut(large.join(components(links), large["node"] == F.col("id"), "left").select("key", "parts", "i", "node", F.coalesce("component", "node").alias("label")))
+    known = large.filter("label <> node").select(F.col("label").alias("a"), F.col("node").alias("b"))
+    named = cut(large.drop("label").join(components(links.unionByName(known)), large["node"] == F.col("id"), "left").select("key", "parts", "i", "node", F.coalesce("component", "node").alias("label")))
     pieces = named.groupBy("key", "label").agg(F.count("*").alias("n"))
     mixed = cut(pieces.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most"), F.count("*").alias("pieces")).filter("pieces > 1"))
     held = named.join(mixed, "key")
@@ -391,7 +396,11 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
 
         return rows.join(nodes.select("node", "n", "sketch"), "node").select("key", "i", "j", "turn", "label", "node", "n", "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
 
-    families = components(_spanning(cut(_buckets(nodes)), likely, part_bytes)).select(F.col("component").alias("key"), F.col("id").alias("node"))
+    # a few bands join most families, so few nodes have to meet again in the buckets of the other bands
+    links = _spanning(cut(_buckets(nodes.withColumn("label", F.col("node")), 0, FIRST_BANDS)), likely, part_bytes)
+    joined_ = nodes.select("node", "sketch").join(components(links), F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("label"), "sketch")
+    links = links.unionByName(_spanning(cut(_buckets(joined_, FIRST_BANDS, BANDS)), likely, part_bytes))
+    families = components(links).select(F.col("component").alias("key"), F.col("id").alias("node"))
     sized = cut(families.join(nodes.select("node", (F.col("n") * 8).alias("bytes")), "node"))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     where = nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
@@ -404,7 +413,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
         return texts.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "turn", "node").mapInArrow(run, "a long, b long")
 
     totals = sized.groupBy("key").agg(F.sum("bytes").alias("total"))
-    edges = _spanning(sized.join(totals, "key").select("key", "node", "total"), verified, part_bytes)
+    edges = _spanning(sized.join(totals, "key").select("key", "node", F.col("node").alias("label"), "total"), verified, part_bytes)
     # rows with equal ids are one: what they hold is joined
     named = cut(sketched.join(nodes.select("digest", "node", F.col("at.doc_id").alias("least")), "digest", "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node"), "least"))
     by_id = named.filter(F.col("node").isNotNull()).groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("doc_id", "low")
