@@ -39,21 +39,23 @@ TEMPER = 0.5
 SCRIPTS = (
     (0x0041, 0x024F, 0), (0x1E00, 0x1EFF, 0), (0x0370, 0x03FF, 1), (0x1F00, 0x1FFF, 1), (0x0400, 0x052F, 2), (0x0530, 0x058F, 3),
     (0x0590, 0x05FF, 4), (0x0600, 0x077F, 5), (0x0900, 0x097F, 6), (0x0980, 0x09FF, 7), (0x0B80, 0x0BFF, 8), (0x0E00, 0x0E7F, 9),
-    (0x10A0, 0x10FF, 10), (0x3040, 0x309F, 11), (0x30A0, 0x30FF, 12), (0x3400, 0x9FFF, 13), (0xAC00, 0xD7AF, 14), (0x1100, 0x11FF, 14),
+    (0x10A0, 0x10FF, 10), (0x3040, 0x309F, 11), (0x30A0, 0x30FF, 12), (0x3400, 0x9FFF, 13), (0xAC00, 0xD7AF, 14), (0x1100, 0x11FF, 14), (0x20000, 0x323AF, 13),
 )
 OTHER = 15
+#: No code point from here on is a letter.
+POINTS = 0x32400
 N_SCRIPTS = 16
-#: Words that Viterbi steps through together: texts are taken a batch at a time, the longest first.
-STEP_DOCS = 4000
+#: Bytes of texts that Viterbi steps through together, the longest first; a longer text is a step of its own.
+VITERBI_BYTES = 12_000_000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Of each code point of the first two planes: its script, -1 if it is no letter; and its lower case."""
+    """Of each code point up to the last letter: its script, -1 if it is no letter; and its lower case."""
     import unicodedata
 
-    script = np.full(0x20000, -1, dtype=np.int8)
-    lower = np.arange(0x20000, dtype=np.uint32)
-    for point in range(0x20000):
+    script = np.full(POINTS, -1, dtype=np.int8)
+    lower = np.arange(POINTS, dtype=np.uint32)
+    for point in range(POINTS):
         if 0xD800 <= point < 0xE000:
             continue
         char = chr(point)
@@ -95,8 +97,8 @@ def read_words(texts: list[bytes]) -> Words:
     if int(lead.sum()) != len(points):  # not UTF-8: taken byte by byte
         points, lead = data.astype(np.uint32), np.ones(len(data), dtype=bool)
     scripts, lowers = _letters()
-    low = np.minimum(points, 0x1FFFF)
-    script, points = scripts[low], np.where(points < 0x20000, lowers[low], points)
+    low = np.minimum(points, POINTS - 1)
+    script, points = scripts[low], np.where(points < POINTS, lowers[low], points)
     place = np.cumsum(lead) - 1  # of each byte: its code point
     starts, ends = word_spans(data)
     begin, end = place[starts], np.append(place, len(points))[ends]
@@ -266,9 +268,10 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_DOCS):
-                part = batch.slice(at, STEP_DOCS)
-                names, scores = sent.value.label(column_bytes(part.column(1)))
+            whole = column_bytes(batch.column(1))
+            for at, texts in text_steps(range(len(whole)), whole, VITERBI_BYTES):
+                part = batch.slice(at.start, len(at))
+                names, scores = sent.value.label(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -280,9 +283,10 @@ def language_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, STEP_DOCS):
-                part = batch.slice(at, STEP_DOCS)
-                document, letters, path, _ = sent.value.spans(column_bytes(part.column(1)))
+            whole = column_bytes(batch.column(1))
+            for at, texts in text_steps(range(len(whole)), whole, VITERBI_BYTES):
+                part = batch.slice(at.start, len(at))
+                document, letters, path, _ = sent.value.spans(texts)
                 new = np.ones(len(path), dtype=bool)
                 new[1:] = (document[1:] != document[:-1]) | (path[1:] != path[:-1])
                 head = np.flatnonzero(new)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, id_text, small
+from .common import WORD, cut, fresh, id_text, small
 
 #: No source is repeated more often than this.
 MOST_REPEATS = 3.0
@@ -75,7 +75,8 @@ def mixed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: s
     """The mix itself: every row of ``docs`` as often as it is taken, with its own columns."""
     sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")))
     targets = small(cut(source_targets(sized)))
-    side = targets.select(F.struct("source", "source_size", "target").alias("__mix"))
-    rate = F.when(F.col("__mix.source_size") > 0, F.col("__mix.target") / F.col("__mix.source_size")).otherwise(F.lit(0.0))
+    mix, copy = fresh(docs, "mix"), fresh(docs, "copy")
+    side = targets.select(F.struct("source", "source_size", "target").alias(mix))
+    rate = F.when(F.col(f"{mix}.source_size") > 0, F.col(f"{mix}.target") / F.col(f"{mix}.source_size")).otherwise(F.lit(0.0))
     copies = (F.floor(rate) + (draw(doc_id, seed) < rate - F.floor(rate)).cast("long")).cast("int")
-    return docs.join(side, F.col(source).eqNullSafe(F.col("__mix.source"))).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).drop("__copy")
+    return docs.join(side, F.col(source).eqNullSafe(F.col(f"{mix}.source"))).select(*[docs[c] for c in docs.columns], F.explode(F.array_repeat(F.lit(1), copies)).alias(copy)).drop(copy)

@@ -61,7 +61,6 @@ class WordTokens:
 
         worker_threads()
         self.whole = Tokenizer.from_file(file)
-        self.whole.encode_special_tokens = True
         model = json.load(open(file, encoding="utf-8"))["model"]
         vocabulary, merges = model["vocab"], model["merges"]
         self.split = regex.compile(_SPLIT).findall
@@ -213,7 +212,7 @@ class Windows:
     """Packs rests of documents into windows and numbers the sequences."""
 
     def __init__(self, task: int, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, pool: int = POOL):
-        self.window, self.tiers, self.most = window, sorted(tiers), pool
+        self.window, self.tiers, self.most = window, sorted({*(t for t in tiers if t < window), window}), pool
         self.next, self.task = task << 32, task
         self.sequences: dict[int, int] = {}  # by length
         self.rests: dict[int, list[tuple]] = {t: [] for t in self.tiers}  # by tier and length: (length, order, doc_id, start, ids, total)

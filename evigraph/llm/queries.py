@@ -16,8 +16,13 @@ from .near_dedup import near_classes
 from .packing import pack
 from .suffix import removed_digest
 
-#: Stands in for the secret that a deployment keeps elsewhere and passes to the operator.
-PII_KEY = b"key of the example queries"
+#: Names the session setting with the secret of a deployment.
+PII_KEY_SETTING = "spark.evigraph.pii.key"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of pseudonyms. Without the setting it is a public example key: whoever has it can undo the pseudonyms."""
+    return spark.conf.get(PII_KEY_SETTING, "key of the example queries").encode()
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ def op4_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonyms_and_counts(documents(spark, sf_dir), PII_KEY)
+    return pii.pseudonyms_and_counts(documents(spark, sf_dir), pii_key(spark))
 
 
 def op6_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:

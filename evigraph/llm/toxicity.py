@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _WS, column_bytes, distinct, joined, lowered, text_steps
+from .common import _WS, column_bytes, cut, distinct, joined, lowered, text_steps
 from .labelled import MAX_LABELS, training_labels, unit_hash
 
 BITS = 20
@@ -76,8 +76,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def _bucket_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
-    """Documents of each label that hold each bucket, and documents of each label."""
+def _bucket_counts(rows: DataFrame) -> DataFrame:
+    """(bucket, n0, n1): documents of each label that hold each bucket, and in bucket 1 << BITS documents of each label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[int, np.ndarray] = {}
@@ -96,15 +96,7 @@ def _bucket_counts(rows: DataFrame) -> dict[int, tuple[np.ndarray, int]]:
                 i = at[k : k + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), label), pa.int32()), pa.array(i, pa.int32()), pa.array(held[i], pa.int64())], names=["label", "bucket", "n"])
 
-    out: dict[int, tuple[np.ndarray, int]] = {}
-    summed = rows.mapInArrow(run, "label int, bucket int, n long").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
-    table = summed.filter(F.col("n") > 1).toArrow()  # at most two rows a bucket
-    label, bucket, n = (table.column(c).to_numpy() for c in ("label", "bucket", "n"))
-    for value in np.unique(label):
-        held = np.zeros((1 << BITS) + 1)
-        held[bucket[label == value]] = n[label == value]
-        out[int(value)] = (held[:-1], int(held[-1]))
-    return out
+    return cut(rows.mapInArrow(run, "label int, bucket int, n long").groupBy("bucket").agg(*(F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in (0, 1))))
 
 
 def _regression(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
@@ -148,13 +140,15 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: st
     known = training_labels(labels, label, keep, max_labels, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("text", "label", "doc_id")
     counts = _bucket_counts(rows)
-    (n0, d0), (n1, d1) = (counts.get(c, (np.zeros(1 << BITS), 0)) for c in (0, 1))
+    totals = counts.filter(F.col("bucket") == 1 << BITS).first()
+    d0, d1 = (int(totals.n0), int(totals.n1)) if totals else (0, 0)
     prior = d1 / max(1, d0 + d1)
     if not d0 or not d1:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, prior)
-    ratio = np.log((n1 + ALPHA) / (d1 + 2 * ALPHA)) - np.log((n0 + ALPHA) / (d0 + 2 * ALPHA))
-    error = np.sqrt(1 / (n1 + ALPHA) + 1 / (n0 + ALPHA))
-    chosen = np.flatnonzero(np.abs(ratio) >= SIGNIFICANT * error)
+    n0, n1 = F.col("n0") + ALPHA, F.col("n1") + ALPHA
+    rated = counts.filter(F.col("bucket") < 1 << BITS).select("bucket", (F.log(n1 / (d1 + 2 * ALPHA)) - F.log(n0 / (d0 + 2 * ALPHA))).alias("ratio"), F.sqrt(1 / n1 + 1 / n0).alias("error"))
+    table = rated.filter(F.abs("ratio") >= SIGNIFICANT * F.col("error")).orderBy("bucket").toArrow()  # at most 1 << BITS rows
+    chosen, ratio = table.column("bucket").to_numpy(), table.column("ratio").to_numpy()
     if not len(chosen):
         return Model(np.zeros(1 << BITS, np.float32), 0.0, prior)
     place = np.full(1 << BITS, -1, dtype=np.int32)
@@ -174,11 +168,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: st
     y = table.column("label").to_numpy().astype(float)
     held = [np.frombuffer(x, dtype="<i4") for x in table.column("held").to_pylist()]
     del table
-    w, b = _regression(held, y, ratio[chosen])
+    w, b = _regression(held, y, ratio)
     for c, (total, used) in enumerate(((d0, (y == 0).sum()), (d1, (y == 1).sum()))):  # classes were drawn at different rates
         b += (1 if c else -1) * float(np.log(total / max(1, used)))
     weights = np.zeros(1 << BITS, dtype=np.float32)
-    weights[chosen] = w * ratio[chosen]
+    weights[chosen] = w * ratio
     return Model(weights, b, prior)
 
 

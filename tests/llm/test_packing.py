@@ -14,14 +14,13 @@ def direct(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return [[*e.ids, 1] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
 def test_words_are_tokenised_as_whole_texts_are():
     from evigraph.llm.packing import WordTokens
 
-    texts = ["Hello,  world!! don't I'll \n\tÉtre ñandú", "naïve ﬁ <|endoftext|> x", "中文 2024a b ΑΣ Σ", "", "áé İstanbul ㏒", "a" * 5000, "\x1c\x85 - — …", "ö´s 'S 'T're²½ Ⅷ"]
+    texts = ["Hello,  world!! don't I'll \n\tÉtre ñandú", "naïve ﬁ <|endoftext|> x", "a<|endoftext|>b <|startoftext|><|endoftext|>. " + "y" * 200 + "<|endoftext|>", "中文 2024a b ΑΣ Σ", "", "áé İstanbul ㏒", "a" * 5000, "\x1c\x85 - — …", "ö´s 'S 'T're²½ Ⅷ"]
     words = WordTokens(P.path("word_bpe_49k.json"))
     got = [[*np.frombuffer(x, dtype="<u4"), 1] for x in words.encode([t.encode() for t in texts])]
     assert got == direct(texts)
