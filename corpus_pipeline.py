@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evigraph.llm import mixing, near_dedup, packing, pii, queries, toxicity
+from evigraph.llm.common import fresh
+from evigraph.plans.iterate import cut
 
 #: Documents with at least this probability of label 1 are rejected.
 TOXIC = 0.5
@@ -20,7 +22,8 @@ TOXIC = 0.5
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects what the classifier, learnt from all labelled documents at hand, calls toxic."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic", F.lit(True))
-    return toxicity.scored(docs, model, name="__toxicity", drop_text=False).filter(F.col("__toxicity") < TOXIC).drop("__toxicity")
+    name = fresh(docs, "toxicity")
+    return toxicity.scored(docs, model, name=name, drop_text=False).filter(F.col(name) < TOXIC).drop(name)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def permute_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs, queries.PII_KEY)
+    return pii.pseudonymised(docs, queries.pii_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +55,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))  # stored once: the next stage reads it several times
+    return STAGES[-1][1](spark, docs, sf_dir)
