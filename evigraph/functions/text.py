@@ -38,9 +38,10 @@ def pair(left: Column, right: Column) -> tuple[Column, Column]:
 
 
 def route(path: Column) -> Column:
-    """A path template: ``:id``, ``[id]`` and number segments become ``{id}``; empty segments go."""
-    segments = F.filter(F.split(path, "/"), lambda x: x != "")
-    named = F.transform(segments, lambda x: F.regexp_replace(F.regexp_replace(x, r"^(?::|\[)([A-Za-z_]\w*)\]?$", "{$1}"), r"^[0-9]+$", "{id}"))
+    """A path template: ``:id`` and ``[id]`` become ``{id}``, whatever the name holds; empty segments go, all others stay."""
+    segments = F.filter(F.split(F.trim(path), "/"), lambda x: x != "")
+    inner = lambda x: F.when(x.startswith(":"), x.substr(F.lit(2), F.length(x))).when(x.startswith("[") & x.endswith("]"), x.substr(F.lit(2), F.greatest(F.length(x) - 2, F.lit(0))))
+    named = F.transform(segments, lambda x: F.coalesce(F.concat(F.lit("{"), inner(x), F.lit("}")), x))
     return F.concat(F.lit("/"), F.array_join(named, "/"))
 
 

@@ -17,27 +17,29 @@ def required(objects: DataFrame, present: DataFrame, key: str) -> DataFrame:
 
 
 def states(bindings: DataFrame, facts: DataFrame, coverage: DataFrame) -> DataFrame:
-    """(binding, state): the first rule that fits of unobserved, unsupported, partial, conflicting, ambiguous, matched, absent.
+    """(binding, state) by the first rule that fits: inferred facts are ambiguous; without coverage, or with some that is
+    unsupported or unknown, nothing is observed; partial coverage gives partial if there are facts, else unobserved; a fact of
+    another kind conflicts; too few or too many facts conflict, but are absent where one is required and none is there.
 
-    ``bindings``: (binding, kind, expected); ``facts``: (binding, kind, inferred); ``coverage``: (binding, level).
+    ``bindings``: (binding, target, kind, cardinality, adapter), cardinality being exactly_one, at_most_one, one_or_more or any;
+    ``facts``: (target, binding, kind, inferred), one without a binding being about every binding of its target;
+    ``coverage``: (feature, level), any number of rows for an adapter. Facts are summed up before they meet bindings.
     """
-    counted = facts.join(bindings.select("binding", F.col("kind").alias("wanted")), "binding").groupBy("binding").agg(
-        F.count("*").alias("n"),
-        F.sum(F.when(F.col("kind") != F.col("wanted"), 1).otherwise(0)).alias("other"),
-        F.sum(F.col("inferred").cast("int")).alias("inferred"),
-    )
+    summed = facts.groupBy(F.col("target").alias("t"), F.col("binding").alias("b"), F.col("kind").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("inferred").cast("int")).alias("inferred"))
+    about = (F.col("t") == F.col("target")) & (F.col("b").isNull() | (F.col("b") == F.col("binding")))
+    counted = bindings.join(summed, about).groupBy("binding").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") != F.col("kind"), F.col("n")).otherwise(0)).alias("other"), F.sum("inferred").alias("inferred"))
+    covered = coverage.groupBy(F.col("feature").alias("adapter")).agg(F.max(F.col("level").isin("unsupported", "unknown")).alias("lacking"), F.max(F.col("level") == "partial").alias("partial"))
+    n = F.coalesce("n", F.lit(0))
+    fits = F.when(F.col("cardinality") == "exactly_one", n == 1).when(F.col("cardinality") == "at_most_one", n <= 1).when(F.col("cardinality") == "one_or_more", n >= 1).otherwise(True)
     state = (
-        F.when(F.col("level").isNull(), "unobserved")
-        .when(F.col("level") == "unsupported", "unobserved")
-        .when(F.col("inferred") > 0, "ambiguous")
-        .when((F.col("level") == "partial") & F.col("n").isNull(), "partial")
+        F.when(F.col("inferred") > 0, "ambiguous")
+        .when(F.coalesce("lacking", F.lit(True)), "unobserved")
+        .when(F.col("partial"), F.when(n > 0, "partial").otherwise("unobserved"))
         .when(F.col("other") > 0, "conflicting")
-        .when(F.col("n").isNull(), "absent")
-        .when(F.col("n") > F.col("expected"), "conflicting")
-        .when(F.col("n") < F.col("expected"), "partial")
+        .when(~fits, F.when((n == 0) & F.col("cardinality").isin("exactly_one", "one_or_more"), "absent").otherwise("conflicting"))
         .otherwise("matched")
     )
-    return bindings.join(coverage, "binding", "left").join(counted, "binding", "left").select("binding", state.alias("state"))
+    return bindings.join(covered, "adapter", "left").join(counted, "binding", "left").select("binding", state.alias("state"))
 
 
 def unexpected(facts: DataFrame, *declared: DataFrame) -> DataFrame:

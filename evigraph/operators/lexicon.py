@@ -7,10 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.text import ngrams, reportable, tokens
 
-# Abbreviations, word endings and predicates of identifier grammar.
-ABBREVIATIONS = {"cfg": "config", "ctx": "context", "msg": "message", "req": "request", "res": "response"}
-ENDINGS = (("ications", "y"), ("ication", "y"), ("ations", "ate"), ("ation", "ate"), ("ies", "y"), ("ings", ""), ("ing", ""), ("ers", ""), ("er", ""), ("ors", "e"), ("or", "e"), ("s", ""))
-PREDICATES = ("is", "has", "can", "should")
+# Abbreviations, predicates, and words for who does an action or what comes of it.
+ABBREVIATIONS = {"cfg": "config", "ctx": "context", "repo": "repository", "req": "request", "resp": "response"}
+ACTORS = {
+    "builder": "build", "collector": "collect", "converter": "convert", "formatter": "format", "loader": "load", "parser": "parse",
+    "planner": "plan", "reader": "read", "renderer": "render", "resolver": "resolve", "validator": "validate", "writer": "write",
+}
+RESULTS = {
+    "building": "build", "collection": "collect", "conversion": "convert", "formatting": "format", "loading": "load", "parsing": "parse",
+    "planning": "plan", "reading": "read", "rendering": "render", "resolution": "resolve", "validation": "validate", "writing": "write",
+}
+PREDICATES = ("can", "has", "is", "supports")
 
 
 def term_rows(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -42,33 +49,38 @@ def shared_terms(terms: DataFrame, subject: str = "subject", at_least: int = 2)
     )
 
 
-def normal_word(word, most: int = 1):
-    """(word, changes): an abbreviation spelt out, else the first ending that leaves three letters replaced."""
-    out, n = word, F.lit(0)
-    known = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    for ending, put in reversed(ENDINGS):
-        fits = word.endswith(ending) & (F.length(word) >= len(ending) + 3)
-        out = F.when(fits, F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(put))).otherwise(out)
-        n = F.when(fits, F.lit(1)).otherwise(n)
-    spelt = F.element_at(known, word)
-    return F.when(spelt.isNotNull(), spelt).otherwise(out), F.when(spelt.isNotNull(), F.lit(1)).otherwise(n)
+def _looked_up(table: dict[str, str], word):
+    return F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), word)
 
 
 def parsed(names: DataFrame, name: str) -> DataFrame:
-    """Identifiers with predicate, normalised action, object and how many words were changed."""
-    words = tokens(F.col(name))
-    first = F.get(words, F.lit(0))
-    is_predicate = F.coalesce(first.isin(*PREDICATES), F.lit(False))
-    rest = F.when(is_predicate, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
-    split = names.select("*", F.when(is_predicate, first).alias("predicate"), rest.alias("__rest"))
-    action, changed = normal_word(F.get("__rest", F.lit(0)))
-    object_ = F.array_join(F.slice("__rest", F.lit(2), F.greatest(F.size("__rest") - 1, F.lit(0))), " ")
-    return split.select("*", action.alias("action"), object_.alias("object"), changed.alias("normalisations")).drop("__rest")
+    """Identifiers that name an action: predicate, action, object, qualifiers, construction and how many words were changed.
+
+    Abbreviations are spelt out in every word. An action's own word comes first, or second after a predicate, and the rest is
+    its subject; or else the last word says who acts or what comes of it, and all before is the subject. The subject's
+    first word is the object. Names with neither, with both, or without a subject give no row.
+    """
+    rows = names.select("*", tokens(F.col(name)).alias("__words"))
+    rows = rows.withColumn("__full", F.transform("__words", lambda w: F.coalesce(_looked_up(ABBREVIATIONS, w), w))).filter(F.size("__full") > 0)
+    predicate = F.get("__full", F.lit(0)).isin(*PREDICATES)
+    place = F.when(predicate, 2).otherwise(1)
+    form, last = F.get("__full", place - 1), F.element_at("__full", -1)
+    acts = F.coalesce(form.isin(*{**ACTORS, **RESULTS}.values()), F.lit(False))
+    of_last = F.coalesce(_looked_up(ACTORS, last), _looked_up(RESULTS, last))
+    size = F.size("__full")
+    subject = F.when(acts, F.slice("__full", place + 1, F.greatest(size - place, F.lit(0)))).otherwise(F.slice("__full", F.lit(1), size - 1))
+    spelt = F.size(F.array_distinct(F.filter("__words", lambda w: w.isin(*ABBREVIATIONS))))
+    construction = F.when(acts, F.when(predicate, "predicate").otherwise("action")).when(_looked_up(ACTORS, last).isNotNull(), "actor").otherwise("result")
+    found = rows.filter(acts != of_last.isNotNull()).filter(F.size(subject) > 0)
+    return found.select(
+        *names.columns, F.when(acts & predicate, F.get("__full", F.lit(0))).alias("predicate"), F.when(acts, form).otherwise(of_last).alias("action"), F.get(subject, F.lit(0)).alias("object"),
+        F.array_join(F.slice(subject, F.lit(2), F.size(subject)), " ").alias("qualifiers"), construction.alias("construction"), (spelt + F.when(acts, 0).otherwise(1)).alias("normalisations"),
+    )
 
 
 def action_anchors(parsed_names: DataFrame, name: str) -> DataFrame:
-    """For each (action, object) the surface with fewest changed words, then the first by name."""
-    order = Window.partitionBy("action", "object").orderBy("normalisations", name)
+    """For each (predicate, action, object, qualifiers) the surface with fewest changed words, then the first by name."""
+    order = Window.partitionBy("predicate", "action", "object", "qualifiers").orderBy("normalisations", name)
     return parsed_names.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n")
 
 

@@ -192,7 +192,7 @@ SELECT project, ['complete', 'partial', 'unsupported'][1 + max(o)] AS completene
     "khop_induced_edges": WITH + _HOOD + """ SELECT kind, count(*) AS n_edges FROM (SELECT DISTINCT * FROM edges)
 WHERE src <> dst AND src IN (SELECT node FROM placed WHERE place <= 40) AND dst IN (SELECT node FROM hood) GROUP BY kind""",
     "event_cycle_closure": """WITH RECURSIVE p AS (
-  SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events WHERE user_id % 7 = 3
+  SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events
 ), e AS (SELECT DISTINCT src, dst FROM p WHERE dst IS NOT NULL
 ), w AS (SELECT src, dst, 1 AS hops FROM e UNION SELECT w.src, e.dst, hops + 1 FROM w JOIN e ON w.dst = e.src WHERE hops < 30)
 SELECT src, dst, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY src, dst""",
@@ -200,19 +200,10 @@ SELECT src, dst, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY src, dst""",
 ), w AS (
   SELECT conv_id, min(turn) AS turn, 0 AS depth FROM t GROUP BY conv_id UNION SELECT t.conv_id, t.turn, depth + 1 FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.turn + 1
 ) SELECT conv_id, CAST(max(depth) AS BIGINT) AS depth, count(*) AS n_turns FROM w GROUP BY conv_id""",
-    "components_shared_terms": """WITH n AS (SELECT 'part/' || p_partkey AS node, 'term/' || p_brand || '/' || p_size AS term FROM part WHERE p_partkey % 20 < 2
-), c AS (SELECT term, min(node) AS component, count(*) + 1 AS n_nodes FROM n GROUP BY term)
-SELECT component, n_nodes FROM c""",
     "quotient_region_deps": """WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)
 SELECT 'region/' || a.n_regionkey AS src_owner, 'region/' || b.n_regionkey AS dst_owner, count(*) AS edges
 FROM l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey
 JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY ALL""",
-    "shortest_path_regions": WITH + """, s AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('module_dependency', 're_export', 'contains')
-), w AS (
-  SELECT src AS source, dst AS node, 1 AS hops, [src, dst] AS path FROM s WHERE src LIKE 'region/%'
-  UNION SELECT source, dst, hops + 1, list_append(path, dst) FROM w JOIN s ON node = src WHERE NOT list_contains(path, dst)
-), f AS (SELECT source, node, min(struct_pack(hops := hops, path := path)) AS b FROM w WHERE source <> node GROUP BY source, node)
-SELECT source, node, CAST(b.hops AS BIGINT) AS hops, array_to_string(b.path, ' ') AS path FROM f""",
     "effect_fixpoint": WITH + """, fact AS (
   SELECT 'supplier/' || s_suppkey AS node, 'supplier/' || s_suppkey AS origin, CASE WHEN s_acctbal < -800 THEN 'unknown' ELSE 'writes' END AS kind, true AS direct FROM supplier WHERE s_acctbal < 0
   UNION SELECT src, origin, fact.kind, false FROM fact JOIN edges ON node = dst WHERE edges.kind NOT IN ('contains', 're_export') AND src <> origin)

@@ -55,10 +55,14 @@ def sibling_nominations(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("kind_ord").cast("long").alias("kind_ord"), F.col("key").cast("long").alias("key"), "possible", F.col("allowed").cast("long").alias("allowed"), "omission")
 
 
+HEADS, TAILS = ("load", "parse", "is", "has", "repo", "req", "can_read", "supports", "writer"), ("loader", "parsing", "cfg", "resolution", "ctx", "writer", "x")
+
+
 def grammar_anchors(spark: SparkSession, d: str) -> DataFrame:
-    names = [("isUserLoading",), ("loadUsers",), ("loadingUsers",), ("loadUser",), ("parserCfg",), ("parseCfg",), ("hasMsgs",), ("HTTPServerCtx",), ("validationReq",)]
-    parsed = lexicon.parsed(spark.createDataFrame(names, "name string"), "name")
-    return lexicon.action_anchors(parsed, "name").select("name", "predicate", "action", "object", F.col("normalisations").cast("long").alias("normalisations"))
+    head, tail = (F.get(F.array(*[F.lit(x) for x in words]), (F.col(c) % len(words)).cast("int")) for words, c in ((HEADS, "p_partkey"), (TAILS, "p_size")))
+    names = table(spark, d, "part").select(F.concat_ws("_", head, F.regexp_replace("p_name", " ", "_"), tail).alias("name")).distinct()
+    anchors = lexicon.action_anchors(lexicon.parsed(names, "name"), "name")
+    return anchors.select("name", "predicate", "action", "object", "qualifiers", "construction", F.col("normalisations").cast("long").alias("normalisations"))
 
 
 def term_windows(spark: SparkSession, d: str) -> DataFrame:
@@ -179,10 +183,14 @@ def constraint_exactly_one(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conformance_states(spark: SparkSession, d: str) -> DataFrame:
-    bindings = table(spark, d, "orders").select(F.col("o_orderkey").alias("binding"), F.lit("R").alias("kind"), F.lit(1).alias("expected"))
-    facts = table(spark, d, "lineitem").filter("l_returnflag <> 'A' AND l_quantity > 30").select(F.col("l_orderkey").alias("binding"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") > 0.09).alias("inferred"))
+    orders = table(spark, d, "orders")
+    adapter = F.concat_ws("/", "o_orderstatus", (F.col("o_custkey") % 11).cast("string"))
+    modes = F.array(*[F.lit(m) for m in ("exactly_one", "at_most_one", "one_or_more", "any")])
+    bindings = orders.select(F.col("o_orderkey").alias("binding"), F.col("o_custkey").alias("target"), F.lit("R").alias("kind"), F.get(modes, (F.col("o_orderkey") % 4).cast("int")).alias("cardinality"), adapter.alias("adapter"))
+    lines = table(spark, d, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("target")), "l_orderkey").filter("l_returnflag <> 'A'")
+    facts = lines.select("target", F.when(F.col("l_linenumber") < 7, F.col("l_orderkey")).alias("binding"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") > 0.09).alias("inferred"))
     level = F.when(F.col("o_orderstatus") == "F", "complete").when(F.col("o_orderstatus") == "O", "partial").otherwise("unsupported")
-    coverage = table(spark, d, "orders").filter("o_orderkey % 9 <> 0").select(F.col("o_orderkey").alias("binding"), level.alias("level"))
+    coverage = orders.filter("o_custkey % 11 <> 5").select(adapter.alias("feature"), level.alias("level")).distinct()
     return conformance.states(bindings, facts, coverage).groupBy("state").agg(F.count("*").alias("n_bindings"))
 
 
@@ -260,7 +268,7 @@ def _tokens(column: str) -> str:
 
 
 _REPORTABLE = "strlen(term) >= 3 AND NOT regexp_full_match(term, '[0-9]+') AND term NOT IN ('and', 'for', 'from', 'the', 'with')"
-_ROUTE = "'/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN '{id}' ELSE x END), '/')"
+_ROUTE = "'/' || array_to_string(list_transform(list_filter(string_split(regexp_replace(url, '^[a-z]+://[^/]*', ''), '/'), lambda x: x <> ''), lambda x: CASE WHEN starts_with(x, ':') THEN '{' || x[2:] || '}' WHEN starts_with(x, '[') AND ends_with(x, ']') THEN '{' || x[2:-2] || '}' ELSE x END), '/')"
 _SUBJECTS = "WITH raw AS (" + " UNION ALL ".join(
     f"SELECT DISTINCT {key} AS owner, '{subject}' AS subject, unnest({_tokens(column)}) AS term FROM {name}"
     for name, key, column, subject in (("documents", "doc_id", "text", "code"), ("pages", "page_id", "url", "http"), ("conversations", "conv_id", "text", "postgres"))
@@ -296,8 +304,16 @@ ORACLE_SQL = {
 ), w AS (SELECT *, least(possible, 32) AS wish, greatest(1000 - coalesce(sum(least(possible, 32)) OVER (ORDER BY kind_ord, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS room FROM k)
 SELECT CAST(kind_ord AS BIGINT) AS kind_ord, CAST(key AS BIGINT) AS key, possible, CAST(least(wish, room) AS BIGINT) AS allowed,
   CASE WHEN possible <= least(wish, room) THEN 'none' WHEN room < wish THEN 'comparison_set' ELSE 'per_key' END AS omission FROM w""",
-    "grammar_anchors": """SELECT * FROM (VALUES ('isUserLoading', 'is', 'user', 'loading', 0::BIGINT), ('loadUsers', NULL, 'load', 'users', 0), ('loadUser', NULL, 'load', 'user', 0), ('parseCfg', NULL, 'parse', 'cfg', 0),
-  ('parserCfg', NULL, 'pars', 'cfg', 1), ('hasMsgs', 'has', 'msg', '', 1), ('HTTPServerCtx', NULL, 'http', 'server ctx', 0), ('validationReq', NULL, 'validate', 'req', 1)) t(name, predicate, action, object, normalisations)""",
+    "grammar_anchors": f"""WITH n AS (SELECT DISTINCT concat_ws('_', {list(HEADS)}[p_partkey % {len(HEADS)} + 1], replace(p_name, ' ', '_'), {list(TAILS)}[p_size % {len(TAILS)} + 1]) AS name FROM part
+), t AS (SELECT name, {_tokens('name')} AS w, {list(lexicon.ABBREVIATIONS)} AS short, {list(lexicon.ABBREVIATIONS.values())} AS long,
+  {list(lexicon.ACTORS)} AS ak, {list(lexicon.ACTORS.values())} AS av, {list(lexicon.RESULTS)} AS rk, {list(lexicon.RESULTS.values())} AS rv FROM n
+), f AS (SELECT *, list_transform(w, lambda x: coalesce(long[list_position(short, x)], x)) AS x FROM t
+), g AS (SELECT *, x[1] IN {lexicon.PREDICATES} AS p, CASE WHEN p THEN 2 ELSE 1 END AS place, coalesce(list_contains(av, x[place]), false) AS acts, coalesce(av[list_position(ak, x[-1])], rv[list_position(rk, x[-1])]) AS of_last,
+  CASE WHEN acts THEN x[place + 1:] ELSE x[:-2] END AS subject FROM f WHERE len(x) > 0
+), h AS (SELECT name, CASE WHEN acts AND p THEN x[1] END AS predicate, CASE WHEN acts THEN x[place] ELSE of_last END AS action, subject[1] AS object, array_to_string(subject[2:], ' ') AS qualifiers,
+  CASE WHEN acts THEN CASE WHEN p THEN 'predicate' ELSE 'action' END WHEN list_contains(ak, x[-1]) THEN 'actor' ELSE 'result' END AS construction,
+  CAST(len(list_distinct(list_filter(w, lambda y: list_contains(short, y)))) + CASE WHEN acts THEN 0 ELSE 1 END AS BIGINT) AS normalisations FROM g WHERE acts <> (of_last IS NOT NULL) AND len(subject) > 0)
+SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY predicate, action, object, qualifiers ORDER BY normalisations, name) = 1""",
     "term_windows": f"""WITH w AS (SELECT conv_id || '/' || turn AS id, {_tokens('text')} AS t FROM conversations
 ), r AS (SELECT DISTINCT id, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS term FROM w)
 SELECT id, term FROM r WHERE term IN ('the of', 'and the', 'of the', 'the', 'thing')""",
@@ -320,15 +336,15 @@ FROM b FULL JOIN a ON a.name = b.name WHERE b.name IS NULL OR a.name IS NULL OR
 SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.key, a.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'changed' END AS change,
   CASE WHEN b.key IS NULL AND (a.kind = 'table' OR a.kind = 'column' AND (a.nullable OR a.has_default) OR a.kind = 'index' AND NOT a.is_unique) THEN 'additive' ELSE 'breaking' END AS severity
 FROM b FULL JOIN a ON a.kind = b.kind AND a.key = b.key WHERE b.key IS NULL OR a.key IS NULL OR a.digest <> b.digest""",
-    "unique_match_join": """WITH r AS (SELECT p_partkey AS ref, p_size, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS b, CASE WHEN p_partkey % 5 < 3 THEN p_type END AS t FROM part WHERE p_partkey % 3 = 0
+    "unique_match_join": """WITH r AS (SELECT p_partkey AS ref, p_size, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS b, CASE WHEN p_partkey % 5 < 3 THEN p_type END AS t FROM part
 ), m AS (SELECT ref, count(p_partkey) AS matches, min(p_partkey) AS o FROM r LEFT JOIN part ON part.p_size = r.p_size AND (b IS NULL OR b = p_brand) AND (t IS NULL OR t = p_type) GROUP BY ref)
 SELECT ref, matches, CASE matches WHEN 1 THEN 'touch' WHEN 0 THEN 'no_static_definition' ELSE 'ambiguous' END AS outcome, CASE WHEN matches = 1 THEN o END AS p_partkey FROM m""",
     "owning_prefix": """WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages
 ), s AS (SELECT page_id, path, string_split(path, '/') AS x FROM p
 ), r AS (SELECT DISTINCT array_to_string(x[1:greatest(len(x) - 1, 1)], '/') AS root FROM s WHERE page_id % 3 = 0)
 SELECT page_id, max_by(root, length(root)) AS root FROM p JOIN r ON path = root OR starts_with(path, root || '/') GROUP BY page_id""",
-    "point_in_interval": """WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS t FROM lineitem WHERE l_orderkey % 11 = 0
-), s AS (SELECT l_suppkey, l_orderkey AS owner, l_linenumber AS owner_line, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS b, b + CAST(trunc(l_quantity) AS INT) * 4 AS e FROM lineitem WHERE l_orderkey % 7 = 0
+    "point_in_interval": """WITH p AS (SELECT l_orderkey, l_linenumber, l_suppkey, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS t FROM lineitem
+), s AS (SELECT l_suppkey, l_orderkey AS owner, l_linenumber AS owner_line, datediff('day', DATE '1992-01-01', CAST(l_shipdate AS DATE)) AS b, b + CAST(trunc(l_quantity) AS INT) * 4 AS e FROM lineitem
 ), m AS (SELECT p.l_orderkey, p.l_linenumber, owner, owner_line, row_number() OVER (PARTITION BY p.l_orderkey, p.l_linenumber, p.l_suppkey, p.t ORDER BY e - b, owner, owner_line) AS n FROM p JOIN s ON p.l_suppkey = s.l_suppkey AND t BETWEEN b AND e)
 SELECT l_orderkey, l_linenumber, owner, owner_line FROM m WHERE n = 1""",
     "glob_subject_match": """WITH g(subject, pattern, rx) AS (VALUES ('warm', '*red*', '[^/]*red[^/]*'), ('warm', '*o?ange*', '[^/]*o[^/]ange[^/]*'), ('cold', '*blue*', '[^/]*blue[^/]*'), ('cold', '{navy,sky}*', '(?:navy|sky)[^/]*'),
@@ -338,13 +354,15 @@ SELECT context, 'observed' AS reason FROM changed JOIN seen USING (node) UNION S
 UNION SELECT context, 'project' FROM changed JOIN every USING (project) WHERE confidence = 'medium'
 UNION SELECT context, 'workspace' FROM every WHERE EXISTS (SELECT 1 FROM changed WHERE confidence = 'low' OR project IS NULL)""",
     "witness_status": f"""WITH {_SEEN} SELECT CASE WHEN node IN (SELECT node FROM seen) THEN 'witnessed' WHEN node IN (SELECT node FROM said) THEN 'declared_only' WHEN confidence = 'high' THEN 'unwitnessed' ELSE 'unknown' END AS status, count(*) AS n_symbols FROM state GROUP BY 1""",
-    "duplicate_scripts": "SELECT trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS command, count(*) AS n_scripts FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_scripts": "SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) AS command, count(*) AS n_scripts FROM documents GROUP BY 1 HAVING count(*) > 1",
     "constraint_exactly_one": "SELECT c_custkey AS k, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(o_orderkey) <> 1",
-    "conformance_states": """WITH f AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_returnflag <> 'R') AS other, count(*) FILTER (l_discount > 0.09) AS inferred FROM lineitem WHERE l_returnflag <> 'A' AND l_quantity > 30 GROUP BY 1)
-SELECT CASE WHEN o_orderkey % 9 = 0 OR o_orderstatus NOT IN ('F', 'O') THEN 'unobserved' WHEN inferred > 0 THEN 'ambiguous' WHEN o_orderstatus = 'O' AND n IS NULL THEN 'partial' WHEN other > 0 THEN 'conflicting'
-  WHEN n IS NULL THEN 'absent' WHEN n > 1 THEN 'conflicting' ELSE 'matched' END AS state, count(*) AS n_bindings FROM orders LEFT JOIN f ON k = o_orderkey GROUP BY 1""",
+    "conformance_states": """WITH f AS (SELECT o_custkey AS target, CASE WHEN l_linenumber < 7 THEN l_orderkey END AS b, l_returnflag AS kind, l_discount > 0.09 AS inferred FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag <> 'A'
+), m AS (SELECT o_orderkey, count(f.target) AS n, count(*) FILTER (kind <> 'R') AS other, count(*) FILTER (inferred) AS inferred FROM orders LEFT JOIN f ON target = o_custkey AND (b IS NULL OR b = o_orderkey) GROUP BY o_orderkey
+), c AS (SELECT n, other, inferred, o_custkey % 11 = 5 OR o_orderstatus NOT IN ('F', 'O') AS lacking, o_orderstatus = 'O' AS partial, o_orderkey % 4 AS mode FROM m JOIN orders USING (o_orderkey))
+SELECT CASE WHEN inferred > 0 THEN 'ambiguous' WHEN lacking THEN 'unobserved' WHEN partial THEN CASE WHEN n > 0 THEN 'partial' ELSE 'unobserved' END WHEN other > 0 THEN 'conflicting'
+  WHEN n = 0 AND mode IN (0, 2) THEN 'absent' WHEN n > 1 AND mode IN (0, 1) THEN 'conflicting' ELSE 'matched' END AS state, count(*) AS n_bindings FROM c GROUP BY 1""",
     "exception_asof": """WITH r AS (SELECT s_suppkey AS result, s_suppkey % 7 AS c, s_nationkey AS scope, s_acctbal < 4000 AS error FROM supplier
-), x AS (SELECT p_partkey AS exception, p_partkey % 7 AS c, p_size > 10 AS current, p_partkey % 25 AS scope, p_partkey % 13 <> 0 AS approved, p_partkey % 8 = 0 AS expired FROM part WHERE p_partkey % 2 = 0
+), x AS (SELECT p_partkey AS exception, p_partkey % 7 AS c, p_size > 10 AS current, p_partkey % 25 AS scope, p_partkey % 13 <> 0 AS approved, p_partkey % 8 = 0 AS expired FROM part
 ), m AS (SELECT *, coalesce(error, false) AND approved AND NOT expired AND current AS fits FROM x LEFT JOIN r ON x.c = r.c AND x.scope = r.scope
 ), n AS (SELECT *, row_number() OVER (PARTITION BY result, fits ORDER BY exception) AS place FROM m)
 SELECT result, exception, CASE WHEN NOT approved THEN 'rejected' WHEN expired THEN 'expired' WHEN result IS NULL OR NOT error THEN 'irrelevant' WHEN NOT current THEN 'stale' WHEN place > 1 THEN 'irrelevant' ELSE 'applied' END AS state FROM n""",
