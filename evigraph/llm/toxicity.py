@@ -30,6 +30,8 @@ ALPHA = 1.0
 SIGNIFICANT = 4.0
 #: Labelled rows of each class that the regression takes, by a hash of the id.
 MAX_FIT = 5_000
+#: n-grams of all these rows together (4 bytes each on the driver); above it a share of the rows, by a hash.
+MAX_ENTRIES = 10_000_000
 RIDGE = 1e-3
 MOST_STEPS = 200
 _SPACE = np.array([32], dtype=np.uint8)
@@ -136,7 +138,7 @@ def _regression(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray) ->
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, max_fit: int = MAX_FIT) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, max_fit: int = MAX_FIT, max_entries: int = MAX_ENTRIES) -> Model:
     known = training_labels(labels, label, keep, max_labels, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("text", "label", "doc_id")
     counts = _bucket_counts(rows)
@@ -164,7 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: st
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([index[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "held"])
 
     share = F.when(F.col("label") == 1, min(1.0, max_fit / d1)).otherwise(min(1.0, max_fit / d0))
-    table = rows.filter(unit_hash(F.col("doc_id"), "fit") < share).mapInArrow(run, "label int, held binary").toArrow()
+    held_rows = cut(rows.filter(unit_hash(F.col("doc_id"), "fit") < share).mapInArrow(run, "label int, held binary"))
+    entries = (held_rows.agg(F.sum(F.length("held"))).first()[0] or 0) // 4
+    fewer = F.pmod(F.xxhash64("held"), F.lit(1 << 20)) < int(min(1.0, max_entries / max(1, entries)) * (1 << 20))
+    table = held_rows.filter(fewer).toArrow()
     y = table.column("label").to_numpy().astype(float)
     held = [np.frombuffer(x, dtype="<i4") for x in table.column("held").to_pylist()]
     del table

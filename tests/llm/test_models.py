@@ -25,6 +25,15 @@ def test_one_toxic_document_counts(spark):
     assert abs(toxicity.fit(docs, labels, "toxic", F.lit(True)).prior - 1 / 6) < 1e-12
 
 
+def test_fewer_rows_where_they_hold_many_ngrams(spark):
+    rows = [(i, f"{'calm lake stone' if i % 2 else 'idiot fool'} number{i}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (1 - F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels, "toxic", F.lit(True), max_entries=2_000)
+    found = model.score([b"a calm lake", b"you idiot"])
+    assert found[0] < 0.5 < found[1]
+
+
 def test_quality_scores_are_the_formula():
     rng = np.random.default_rng(1)
     d = len(quality.STATISTICS)
