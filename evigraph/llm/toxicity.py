@@ -160,16 +160,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = sent.value
         for batch in batches:
-            for part, texts in text_steps(batch.column(1).to_pylist(), column_bytes(batch.column(0))):
+            whole = column_bytes(batch.column(0))
+            for part, texts in text_steps(range(len(whole)), whole):
                 document, bucket = text_grams(texts, where >= 0)
                 index, ends = where[bucket], np.searchsorted(document, np.arange(len(texts) + 1))
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array([index[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["label", "held"])
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(part.start, len(part)), pa.array([index[a:b].astype("<i4").tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()), batch.column(2).slice(part.start, len(part))], names=["label", "held", "draw"])
 
     share = F.when(F.col("label") == 1, min(1.0, max_fit / d1)).otherwise(min(1.0, max_fit / d0))
-    held_rows = cut(rows.filter(unit_hash(F.col("doc_id"), "fit") < share).mapInArrow(run, "label int, held binary"))
+    held_rows = cut(rows.filter(unit_hash(F.col("doc_id"), "fit") < share).select("text", "label", unit_hash(F.col("doc_id"), "entries").alias("draw")).mapInArrow(run, "label int, held binary, draw double"))
     entries = (held_rows.agg(F.sum(F.length("held"))).first()[0] or 0) // 4
-    fewer = F.pmod(F.xxhash64("held"), F.lit(1 << 20)) < int(min(1.0, max_entries / max(1, entries)) * (1 << 20))
-    table = held_rows.filter(fewer).toArrow()
+    table = held_rows.filter(F.col("draw") < min(1.0, max_entries / max(1, entries))).select("label", "held").toArrow()
+    if not table.num_rows:
+        return Model(np.zeros(1 << BITS, np.float32), 0.0, prior)
     y = table.column("label").to_numpy().astype(float)
     held = [np.frombuffer(x, dtype="<i4") for x in table.column("held").to_pylist()]
     del table
