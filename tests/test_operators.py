@@ -26,7 +26,7 @@ def plain(rows):
     return sorted(tuple(map(value, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_against_sql(spark, duck, name):
     frame = catalog.QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
