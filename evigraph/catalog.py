@@ -1,7 +1,7 @@
 """Queries by name, and the SQL that gives the same rows."""
 
-from .queries import graph, relations
+from .queries import evidence, graph, relations
 
-_MODULES = (graph, relations)
+_MODULES = (graph, relations, evidence)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}

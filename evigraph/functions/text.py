@@ -100,3 +100,14 @@ def canonical_map(column: Column) -> Column:
 def instant(text: Column) -> Column:
     """An RFC 3339 instant in UTC seconds, or null."""
     return F.when(text.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ$"), F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+def percent_encoded(text: Column) -> Column:
+    """UTF-8 bytes but letters, digits and ``-_.~`` as percent and two digits (a space is %20)."""
+    form = F.url_encode(text)
+    return F.replace(F.replace(F.replace(form, F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def percent_decoded(text: Column) -> Column:
+    """The text behind percent signs; a plus stays one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.iterate import any_rows, cut, union_all
+
 
 def exactly_one(objects: DataFrame, relations: DataFrame, key: str) -> DataFrame:
     """(key, n): objects without exactly one incoming relation."""
@@ -16,6 +18,70 @@ def required(objects: DataFrame, present: DataFrame, key: str) -> DataFrame:
     return objects.select(key).join(present.select(key).distinct(), key, "left_anti")
 
 
+def forbidden_present(constraints: DataFrame, relations: DataFrame) -> DataFrame:
+    """(constraint): forbidden relations (constraint, predicate, subject, object) that are there."""
+    return constraints.join(relations.select("predicate", "subject", "object").distinct(), ["predicate", "subject", "object"], "left_semi").select("constraint").distinct()
+
+
+def without_contract(constraints: DataFrame, objects: DataFrame) -> DataFrame:
+    """(constraint, object): objects (object, kind, visibility, contract) of the constraint's kind, and visibility if it gives
+    one, that name no contract. The optional column splits the constraints, so both parts are joins on equality."""
+    lacking = objects.filter("contract IS NULL")
+    any_ = constraints.filter("visibility IS NULL").select("constraint", "kind").join(lacking, "kind")
+    one = constraints.filter("visibility IS NOT NULL").select("constraint", "kind", "visibility").join(lacking, ["kind", "visibility"])
+    return any_.select("constraint", "object").unionByName(one.select("constraint", "object")).distinct()
+
+
+def prohibited_paths(constraints: DataFrame, via: DataFrame, relations: DataFrame) -> DataFrame:
+    """(constraint): constraints (constraint, start, goal) whose goal can be reached from their start over relations of their
+    own predicates (``via``: constraint, predicate). A node reaches itself. Only what is new in a round goes on."""
+    steps = cut(relations.select("predicate", F.col("subject").alias("node"), F.col("object").alias("next")).distinct())
+    allowed = cut(via.select("constraint", "predicate").distinct())
+    frontier = cut(constraints.select("constraint", F.col("start").alias("node")).distinct())
+    seen = frontier
+    while True:
+        reached = frontier.join(allowed, "constraint").join(steps, ["predicate", "node"]).select("constraint", F.col("next").alias("node")).distinct()
+        frontier = cut(reached.join(seen, ["constraint", "node"], "left_anti"))
+        if not any_rows(frontier):
+            break
+        seen = seen.unionByName(frontier)
+    return constraints.join(seen.select("constraint", F.col("node").alias("goal")), ["constraint", "goal"], "left_semi").select("constraint").distinct()
+
+
+def cyclic_predicates(relations: DataFrame) -> DataFrame:
+    """(predicate): predicates with a cycle among their relations (predicate, subject, object).
+
+    Edges whose subject nobody points to, or whose object points to nobody, lie on no cycle and go, until none is left to
+    go; a predicate has a cycle where edges stay. No pairs of a closure are built.
+    """
+    left, before = cut(relations.select("predicate", "subject", "object").distinct()), None
+    while True:
+        now = left.count()
+        if now == before:
+            return left.select("predicate").distinct()
+        before = now
+        targets = left.select("predicate", F.col("object").alias("subject")).distinct()
+        sources = left.select("predicate", F.col("subject").alias("object")).distinct()
+        left = cut(left.join(targets, ["predicate", "subject"], "left_semi").join(sources, ["predicate", "object"], "left_semi").select("predicate", "subject", "object"))
+
+
+def eligible(status: Column, governing: Column, approval: Column, review: bool) -> Column:
+    """Declarations that count: under review those accepted, proposed or unresolved; else accepted ones with a governing
+    authority (an array) whose approval is granted or not required."""
+    if review:
+        return F.coalesce(status.isin("accepted", "proposed", "unresolved"), F.lit(False))
+    return F.coalesce((status == "accepted") & (F.size(governing) > 0) & approval.isin("granted", "not_required"), F.lit(False))
+
+
+def dangling_references(references: DataFrame, declared: DataFrame, exported: DataFrame) -> DataFrame:
+    """(source, target, problem): references (source, target, document, target_document) to what nobody declares, or to
+    what another document declares without exporting it. ``declared``, ``exported``: (target)."""
+    missing = references.join(declared.select("target").distinct(), "target", "left_anti").select("source", "target", F.lit("missing").alias("problem"))
+    foreign = references.filter(F.col("document") != F.col("target_document")).join(declared.select("target").distinct(), "target", "left_semi")
+    hidden = foreign.join(exported.select("target").distinct(), "target", "left_anti").select("source", "target", F.lit("not_exported").alias("problem"))
+    return union_all([missing, hidden]).distinct()
+
+
 def states(bindings: DataFrame, facts: DataFrame, coverage: DataFrame) -> DataFrame:
     """(binding, state) by the first rule that fits: inferred facts are ambiguous; without coverage, or with some that is
     unsupported or unknown, nothing is observed; partial coverage gives partial if there are facts, else unobserved; a fact of

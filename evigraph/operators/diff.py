@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import full_outer
@@ -57,7 +57,30 @@ def catalog_items(before: DataFrame, after: DataFrame) -> DataFrame:
 def queries(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """Query contracts (key, dynamic, digest): a query that becomes or begins dynamic breaks, any other change informs."""
     dynamic = F.col("after.dynamic")
-    return changes(before, after, [key], ["dynamic", "digest"], F.when(dynamic, BREAKING).otherwise(ADDITIVE), F.lit(INFO), F.when(dynamic & ~F.col("before.dynamic"), BREAKING).otherwise(INFO))
+    return changes(before, after, [key], ["dynamic", "digest"], F.when(dynamic, BREAKING).otherwise(INFO), F.lit(INFO), F.when(dynamic & ~F.col("before.dynamic"), BREAKING).otherwise(INFO))
+
+
+def bootstraps(before: DataFrame, after: DataFrame, name: str, digest: str) -> DataFrame:
+    """Sources of a first schema: any change of them breaks."""
+    return changes(before, after, [name], [digest], F.lit(BREAKING), F.lit(BREAKING), F.lit(BREAKING))
+
+
+def repeated_names(sources: DataFrame, scope: str, name: str, place: str) -> DataFrame:
+    """(scope, name, n, first): names declared more than once in a scope, with the least place."""
+    return sources.groupBy(scope, name).agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1")
+
+
+def parameter_problems(occurrences: DataFrame, key: str, position: str, most: int = 1024) -> DataFrame:
+    """(key, problem, at) of the places of a query's parameters: one below 1, the least above ``most``, the first gap.
+
+    A gap lies after the last place that equals its rank; ranks are taken inside a query.
+    """
+    each = occurrences.select(key, F.col(position).alias("p")).distinct()
+    ranked = each.filter("p > 0").withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("p")))
+    gap = ranked.filter("p <> r").groupBy(key).agg(F.min("r").alias("at")).select(key, F.lit("gap").alias("problem"), "at")
+    low = each.filter("p <= 0").groupBy(key).agg(F.min("p").alias("at")).select(key, F.lit("invalid").alias("problem"), "at")
+    high = each.filter(F.col("p") > most).groupBy(key).agg(F.min("p").alias("at")).select(key, F.lit("limit").alias("problem"), "at")
+    return gap.unionByName(low).unionByName(high)
 
 
 def lint(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,7 +94,8 @@ def summary(found: DataFrame) -> DataFrame:
 
 def require_same(before: DataFrame, after: DataFrame, columns: list[str]) -> None:
     """Both sides must be one contract, server version and completeness: raises if a column's values differ."""
+    sides = before.select(*columns).unionByName(after.select(*columns))
+    ends = sides.agg(*[F.struct(F.min(c).eqNullSafe(F.max(c)).alias("one"), F.count_if(F.col(c).isNull()).alias("none"), F.count(c).alias("some")).alias(c) for c in columns]).first()
     for c in columns:
-        values = {r[0] for r in before.select(c).distinct().limit(2).collect()} | {r[0] for r in after.select(c).distinct().limit(2).collect()}
-        if len(values) > 1:
+        if not ends[c]["one"] or (ends[c]["none"] and ends[c]["some"]):
             raise ValueError(f"{c} differs between the baseline and the current state")

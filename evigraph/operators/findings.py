@@ -112,4 +112,6 @@ def reported(findings: DataFrame) -> DataFrame:
 
 def new_boundaries(boundaries: DataFrame, findings: DataFrame) -> DataFrame:
     """Boundaries that no finding stands for already."""
-    return boundaries.join(findings.select("project", "node", "kind").distinct(), ["project", "node", "kind"], "left_anti")
+    known = findings.select("project", F.col("node").alias("__node"), "kind").distinct()
+    same = (boundaries["project"] == known["project"]) & (boundaries["kind"] == known["kind"]) & boundaries["node"].eqNullSafe(known["__node"])
+    return boundaries.join(known, same, "left_anti")

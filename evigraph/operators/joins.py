@@ -18,11 +18,18 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root:
     """
     parts = F.split(F.col(path), "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    each = paths.select("*", F.posexplode(ancestors).alias("__depth", "__at"))
+    keys = paths.columns
+    counted = paths.groupBy(*keys).agg(F.count("*").alias("__copies"))  # equal rows meet the roots once and come back as often as they were
+    each = counted.select("*", F.posexplode(ancestors).alias("__depth", "__at"))
     met = each.join(roots, each["__at"] == roots[root])
-    keys = [c for c in paths.columns]
-    best = met.groupBy(*keys).agg(F.max(F.struct("__depth", *roots.columns)).alias("__best"))
-    return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in roots.columns])
+    best = met.groupBy(*keys, "__copies").agg(F.max(F.struct("__depth", *roots.columns)).alias("__best"))
+    return repeated(best.select(*keys, "__copies", *[F.col(f"__best.{c}").alias(c) for c in roots.columns]))
+
+
+def repeated(rows: DataFrame) -> DataFrame:
+    """Each row as often as its ``__copies`` says."""
+    held = [c for c in rows.columns if c != "__copies"]
+    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*held)
 
 
 def glob_join(paths: DataFrame, patterns: list[tuple[str, str]], path: str = "path") -> DataFrame:
@@ -65,12 +72,12 @@ def narrowest_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     """
     size = F.lit(bin_size) if not isinstance(bin_size, Column) else bin_size
     bins = intervals.select("*", F.explode(F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))).alias("__bin"))
-    placed = points.withColumn("__bin", F.floor(F.col(at) / size))
+    placed = points.groupBy(*points.columns).agg(F.count("*").alias("__copies")).withColumn("__bin", F.floor(F.col(at) / size))
     met = placed.join(bins, [*keys, "__bin"]).filter(F.col(at).between(F.col(begin), F.col(end)))
     held = [c for c in intervals.columns if c not in keys]
     rank = F.struct((F.col(end) - F.col(begin)).alias("__width"), *order, *[c for c in held if c not in order])
-    best = met.groupBy(*points.columns).agg(F.min(rank).alias("__best"))  # a point lies in one bin, so this is done before the shuffle
-    return best.select(*points.columns, *[F.col(f"__best.{c}").alias(c) for c in held])
+    best = met.groupBy(*points.columns, "__copies").agg(F.min(rank).alias("__best"))  # a point lies in one bin, so this is done before the shuffle
+    return repeated(best.select(*points.columns, "__copies", *[F.col(f"__best.{c}").alias(c) for c in held]))
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

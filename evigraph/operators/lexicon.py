@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ngrams, reportable, tokens
+from ..functions.text import ngrams, pair, reportable, tokens
+from ..plans.iterate import cut
 
 # Abbreviations, predicates, and words for who does an action or what comes of it.
 ABBREVIATIONS = {"cfg": "config", "ctx": "context", "repo": "repository", "req": "request", "resp": "response"}
@@ -100,3 +101,58 @@ def sibling_verdict(facts: DataFrame, corroborations: list[str], counters: list[
         unknown = unknown | (F.col(c) == "unknown")
     verdict = F.when(contrary, "separate").when(unknown, "inconclusive").when(count >= 2, "review_candidate").otherwise("insufficient")
     return facts.select("*", count.alias("n_corroborations"), verdict.alias("disposition"))
+
+
+def semantic_scope(path: Column) -> Column:
+    """The folder up to two levels below the first ``src`` above a file; null without one, or directly in it."""
+    parts = F.split(path, "/")
+    above = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    at = F.array_position(above, "src").cast("int")
+    end = F.least(at + 2, F.size(above))
+    return F.when((at > 0) & (end > at), F.array_join(F.slice(above, F.lit(1), F.greatest(end, F.lit(0))), "/"))
+
+
+def suppressions(candidates: DataFrame, distinct_concepts: DataFrame, never_suggest: DataFrame) -> DataFrame:
+    """(candidate, kind, reason): why a candidate is not suggested; what is said of its two concepts comes before its terms.
+
+    ``candidates``: (candidate, term_a, term_b, concept_a, concept_b), concepts null where there are not two; the other tables:
+    (a, b, reason), once a pair. Pairs are the same whichever way they are written.
+    """
+
+    def ordered(rows: DataFrame, name: str) -> DataFrame:
+        low, high = pair(F.col("a"), F.col("b"))
+        return rows.select(low.alias(f"{name}_low"), high.alias(f"{name}_high"), F.col("reason").alias(f"{name}_reason"))
+
+    both = F.col("concept_a").isNotNull() & F.col("concept_b").isNotNull()
+    t, c = pair(F.col("term_a"), F.col("term_b")), pair(F.col("concept_a"), F.col("concept_b"))
+    rows = candidates.select("candidate", t[0].alias("term_low"), t[1].alias("term_high"), F.when(both, c[0]).alias("concept_low"), F.when(both, c[1]).alias("concept_high"))
+    met = rows.join(ordered(distinct_concepts, "concept"), ["concept_low", "concept_high"], "left").join(ordered(never_suggest, "term"), ["term_low", "term_high"], "left")
+    kind = F.when(F.col("concept_reason").isNotNull(), "distinct_from").when(F.col("term_reason").isNotNull(), "never_suggest")
+    return met.select("candidate", kind.alias("kind"), F.coalesce("concept_reason", "term_reason").alias("reason")).filter("kind IS NOT NULL")
+
+
+def sibling_pairs(members: DataFrame, most: int) -> DataFrame:
+    """(key, left, right): the first ``most`` pairs of each key across its members, in the order of (left member, right member,
+    left, right).
+
+    ``members``: (key, member, item), no row null. Members are counted first; only pairs of members that hold one of the
+    first pairs meet, so a key of many items makes no more rows than it gives out, but for its last pair of members.
+    """
+    items = members.select("key", "member", "item").distinct()
+    by_key = Window.partitionBy("key").orderBy("member")
+    sizes = items.groupBy("key", "member").agg(F.count("*").alias("n"))
+    whole = Window.partitionBy("key")
+    ranked = cut(
+        sizes.select("*", F.row_number().over(by_key).alias("place"), F.count("*").over(whole).alias("places"), (F.sum("n").over(whole) - F.sum("n").over(by_key)).alias("after")).withColumn("before", F.sum(F.col("n") * F.col("after")).over(by_key) - F.col("n") * F.col("after"))
+    )
+    lefts = ranked.filter((F.col("before") < most) & (F.col("place") < F.col("places")))
+    last = F.least(F.col("places"), F.col("place") + (F.lit(most) - F.col("before")))
+    reach = lefts.select("key", "member", "n", "before", F.explode(F.sequence(F.col("place").cast("long") + 1, last.cast("long"))).alias("place"))
+    met = reach.join(ranked.select("key", F.col("place").cast("long").alias("place"), F.col("member").alias("other"), F.col("n").alias("m")), ["key", "place"])
+    run = F.sum(F.col("n") * F.col("m")).over(Window.partitionBy("key", "member").orderBy("place")) - F.col("n") * F.col("m")
+    wanted = met.withColumn("before", F.col("before") + run).filter(F.col("before") < most).select("key", "member", "other", "m", "before")
+    inside = items.withColumn("r", F.row_number().over(Window.partitionBy("key", "member").orderBy("item")))
+    left = wanted.join(inside.withColumnRenamed("item", "left"), ["key", "member"]).filter(F.col("before") + (F.col("r") - 1) * F.col("m") < most)
+    right = inside.select("key", F.col("member").alias("other"), F.col("item").alias("right"), F.col("r").alias("s"))
+    at = F.col("before") + (F.col("r") - 1) * F.col("m") + F.col("s")
+    return left.join(right, ["key", "other"]).filter(at <= most).select("key", "left", "right")

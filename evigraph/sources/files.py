@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import glob_matches
 
-# Directories that are never read, and those that only consumers have.
-IGNORED_DIRECTORIES = ("node_modules", "target", "dist", "build", ".git", "__pycache__", ".venv", "coverage", "vendor", ".svelte-kit")
+# Directories whose sources are not read, and those that are not read as consumers either.
+IGNORED_DIRECTORIES = ("tests", "__tests__", "__test__", "__mocks__", "target", "node_modules", "dist", "build", "coverage", ".git")
+NO_CONSUMERS = ("target", "node_modules", "dist", "build", "coverage")
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "svelte": "svelte", "py": "python", "rs": "rust", "sql": "sql"}
 
 
@@ -16,10 +17,19 @@ def ignored(path: Column) -> Column:
     return F.exists(F.split(path, "/"), lambda x: x.isin(*IGNORED_DIRECTORIES))
 
 
+def no_consumer(directory: Column) -> Column:
+    return directory.startswith(".") | directory.isin(*NO_CONSUMERS)
+
+
 def fingerprinted_bundle(path: Column) -> Column:
-    """Built assets: a name under public/assets that ends in a hash of 8 to 16 characters with digits and letters."""
-    mark = F.regexp_extract(path, r"(?:^|/)public/assets/[^/]*[-.]([A-Za-z0-9_]{8,16})\.[a-z]+$", 1)
-    return mark.rlike("[0-9]") & mark.rlike("[A-Za-z]")
+    """Built assets: under public/assets or public_html/assets, with 8 to 16 characters after a hyphen of the stem that hold
+    two upper-case letters, or one and a digit."""
+    stem = F.regexp_replace(F.substring_index(path, "/", -1), r"(?<=.)\.[^.]*$", "")
+    pieces = F.split(stem, "-")
+    ends = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.array_join(F.slice(pieces, i, F.size(pieces)), "-"))
+    upper = lambda x: F.length(F.regexp_replace(x, "[^A-Z]", ""))
+    hashed = F.exists(F.slice(ends, 2, F.greatest(F.size(ends) - 1, F.lit(0))), lambda x: x.rlike("^[A-Za-z0-9_-]{8,16}$") & ((upper(x) >= 2) | ((upper(x) >= 1) & x.rlike("[0-9]"))))
+    return path.rlike("(^|/)public(_html)?/assets(/|$)") & hashed
 
 
 def language(path: Column) -> Column:

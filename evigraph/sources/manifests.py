@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import inventory
+
 #: Limits of one relation provider.
 MOST_BYTES, MOST_RECORDS = 64 << 20, 250_000
 
@@ -18,11 +20,11 @@ def manifests(files: DataFrame) -> DataFrame:
 
 
 def scripts(files: DataFrame) -> DataFrame:
-    """(path, script, command, is_test) of package.json texts."""
+    """(path, script, command, is_test, runners, no_op, allows_empty) of package.json texts."""
     held = F.from_json(F.get_json_object("text", "$.scripts"), "map<string,string>")
     rows = files.select("path", F.explode(held).alias("script", "command"))
-    runner = F.col("command").rlike(r"\b(jest|vitest|mocha|ava|tap|playwright|cypress|pytest|unittest|nose2|tox|cargo test|node --test)\b")
-    return rows.withColumn("is_test", F.col("script").rlike(r"(^|:)test(:|$)") | runner)
+    command = F.col("command")
+    return rows.select("*", inventory.test_script(F.col("script")).alias("is_test"), inventory.runners(command).alias("runners"), inventory.no_op(command).alias("no_op"), inventory.allows_empty(command).alias("allows_empty"))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
