@@ -4,7 +4,8 @@ Equal vectors are one class first, with its smallest ids, so copies never meet e
 pseudo-rotations (random signs and fast Hadamard transforms, three times) to the nearest signed axis; a few tables of
 such cells are built, with a second hash when the classes are many, so that cells keep their size as the data grows.
 Queries probe the nearest axes of each table; what a cell holds is reranked by exact distance in double precision.
-Cells above a size are split, and their queries repeated for each part, so no cell has to fit one task.
+Cells above a size are split, and their queries repeated for each part, so no cell has to fit one task. Queries whose
+cells hold fewer ids than are asked for are compared with all vectors of their length, in blocks.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
 without an id; equal (id, vector) rows count once; another vector under the query's own id is no candidate; vectors
@@ -142,7 +143,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
 
     by = ["size", "cell", "part"]
     found = repeated.select("id", "v", *by).groupBy(*by).cogroup(spread.select("id", "v", *by).groupBy(*by)).applyInArrow(rerank, "q long, c long, d double")
-    best = found.groupBy("q", "c").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("n") <= k + 1)
+
+    def first(pairs: DataFrame) -> DataFrame:
+        each = pairs.groupBy("q", "c").agg(F.min("d").alias("d"))
+        return each.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("d", "c"))).filter(F.col("n") <= k + 1).select("q", "c", "d")
+
+    best = cut(first(found))
+    held = best.join(classes.select(F.col("class").alias("c"), F.size("ids").alias("ids")), "c").groupBy("q").agg(F.sum("ids").alias("held")).filter(F.col("held") > k)
+    short = cut(probing.select("id", "v", "size").join(held.select(F.col("q").alias("id")), "id", "left_anti"))
+    n_short = short.count()
+    if n_short:  # cells held too few candidates: these queries meet every vector of their length, block by block
+        blocks, parts = -(-n_short // CELL_PART), F.ceil(F.col("count") / CELL_PART).cast("int")
+        totals = small(cut(data.groupBy("size").count().select("size", parts.alias("parts"))))
+        whole = data.select("id", "v", "size").join(totals, "size").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        met = short.join(totals, "size").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        by = ["size", "part", "block"]
+        exact = met.select("id", "v", *by).groupBy(*by).cogroup(whole.select("id", "v", *by).groupBy(*by)).applyInArrow(rerank, "q long, c long, d double")
+        best = best.join(short.select(F.col("id").alias("q")), "q", "left_anti").unionByName(first(exact))
     listed = best.join(classes.select(F.col("class").alias("c"), "ids"), "c").select(F.col("q").alias("class"), "d", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (

@@ -69,6 +69,23 @@ def test_neighbour_recall(spark):
     assert [v for v, _ in got[1100]] == list(range(1000, 1010))
 
 
+def test_short_lists_are_completed(spark, monkeypatch):
+    """Cells of many hashes hold next to nothing: lists that would be short come from all vectors, whatever the blocks."""
+    monkeypatch.setattr(ann, "axes_for", lambda count, size: [64, 64, 64])
+    monkeypatch.setattr(ann, "TABLES", 1)
+    monkeypatch.setattr(ann, "PROBES", 1)
+    monkeypatch.setattr(ann, "CELL_PART", 70)
+    x = np.random.default_rng(5).normal(size=(300, 64))
+    x[200:205] = x[200]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(frame, F.col("vec_id") % 2 == 0).collect()}
+    assert len(got) == 1500
+    for q in range(0, 300, 2):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [got[q, k] for k in range(1, 11)] == np.lexsort((np.arange(300), d))[:10].tolist()
+
+
 def test_tables_grow_with_the_hashes():
     x = np.random.default_rng(7).normal(size=(2000, 64)).astype(np.float32)
     one, two = ann.axes_for(10_000, 64), ann.axes_for(2_200_000, 64)
