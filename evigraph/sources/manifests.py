@@ -52,9 +52,10 @@ def relation_provider(spark: SparkSession, path: str, sha256: str, kind: str) ->
 
 
 def event_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(operation, case_id, parent_id, status, failed_check) of a log of JSON lines; lines that don't parse are left out."""
-    schema = "operation string, case_id string, parent_id string, status int, failed_check boolean"
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    """(operation, case_id, parent_id, status, failed_check, malformed) of a log of JSON lines; ``malformed`` holds the text of a
+    line that doesn't parse, else null, so that such lines can be counted."""
+    schema = "operation string, case_id string, parent_id string, status int, failed_check boolean, malformed string"
+    return spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").json(path)
 
 
 def snapshot(rows: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators import conformance, diff, findings, inventory, joins, lexicon, usage
-from evigraph.sources import files
+from evigraph.sources import files, manifests
 
 
 def rows(frame, *columns):
@@ -109,3 +109,10 @@ def test_paths(spark):
     bundles = {"public/assets/index-9fA3bC12.js": True, "public_html/assets/a/index-DSxv5.js": False, "public/assets/index-abcdefgh.js": False, "public/assets/app-main-Zk4abcde.css": True, "assets/index-9fA3bC12.js": False}
     got = {r.p: r.f for r in spark.createDataFrame([(p,) for p in bundles], "p string").select("p", files.fingerprinted_bundle(F.col("p")).alias("f")).collect()}
     assert got == bundles
+
+
+def test_malformed_lines_are_kept(spark, tmp_path):
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"operation": "a", "status": 200}\n{"operation": \n')
+    got = {(r.operation, r.status, r.malformed) for r in manifests.event_lines(spark, str(log)).collect()}
+    assert got == {("a", 200, None), (None, None, '{"operation": ')}
