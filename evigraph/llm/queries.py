@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, pii, quality, toxicity
+from . import centroids, langid, periodic, pii, quality, toxicity
 from .ann import nearest
 from .common import documents, fold
 from .line_rules import line_rules
 from .mixing import mix_plan
+from .multi_index import near_vectors
 from .near_dedup import near_classes
 from .packing import pack
 from .suffix import removed_digest
@@ -25,6 +26,10 @@ def pii_key(spark: SparkSession) -> bytes:
     return spark.conf.get(PII_KEY_SETTING, "key of the example queries").encode()
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mix_plan(documents(spark, sf_dir))
     return plan.selectExpr("doc_id", "size", "source_size", "target", "copies * size AS taken")
@@ -41,7 +46,7 @@ def op3_near_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ann_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+    return nearest(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
 
 
 def op5_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +81,23 @@ def op7_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(documents(spark, sf_dir))
 
 
+def op11_centroid_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(embeddings(spark, sf_dir))
+
+
+def op12_near_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(embeddings(spark, sf_dir), percent=95)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(documents(spark, sf_dir), arranged=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_pack_tiers, op3_near_setsketch, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op8_suffix_columns, op9_toxicity_nb_ngrams, op10_language_viterbi)
-}
+    for f in (op1_mix_sources, op2_pack_tiers, op3_near_setsketch, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op8_suffix_columns, op9_toxicity_nb_ngrams, op10_language_viterbi,
+              op11_centroid_screening, op12_near_multi_index, op13_periodic_runs)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mix_sources": r"""
@@ -134,3 +152,40 @@ SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
 FROM base
 """,
 }
+
+
+def _rounds(rounds: int) -> str:
+    """Lloyd's rounds as common table expressions c0, a0, c1, ... over held(row, vec_id, k, x)."""
+    out = []
+    for r in range(rounds + 1):
+        out.append(f"""d{r} AS (
+  SELECT row, c, sum((x - y) * (x - y))::BIGINT AS distance FROM held JOIN c{r} USING (k) GROUP BY row, c
+), a{r} AS (
+  SELECT row, c AS cluster, distance FROM d{r} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, c) = 1
+)""")
+        if r < rounds:
+            out.append(f"""c{r + 1} AS (
+  SELECT c{r}.c, c{r}.k, coalesce(m.y, c{r}.y) AS y FROM c{r}
+  LEFT JOIN (SELECT cluster, k, (sum(x)::BIGINT - ((sum(x)::BIGINT % count(*)) + count(*)) % count(*)) // count(*) AS y FROM a{r} JOIN held USING (row) GROUP BY cluster, k) m ON m.cluster = c{r}.c AND m.k = c{r}.k
+)""")
+    return ", ".join(out)
+
+
+ORACLE_SQL["op11_centroid_screening"] = f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS row, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), held AS (
+  SELECT row, vec_id, k, floor(64 * embedding[k]::DOUBLE)::BIGINT AS x FROM rows, range(1, 65) AS t(k)
+), first AS (
+  SELECT row, row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS c FROM rows QUALIFY c < 16
+), c0 AS (
+  SELECT c, k, x AS y FROM first JOIN held USING (row)
+), {_rounds(3)}, sums AS (
+  SELECT cluster, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY cluster
+), named AS (
+  SELECT c AS cluster, sha256(string_agg(y::VARCHAR, ',' ORDER BY k)) AS centroid_sha256 FROM c3 GROUP BY c
+)
+SELECT vec_id, cluster::INTEGER AS cluster, distance, cluster_inertia, (SELECT sum(distance)::BIGINT FROM a3) AS inertia, centroid_sha256
+FROM rows JOIN a3 USING (row) JOIN sums USING (cluster) JOIN named USING (cluster)
+"""
