@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-
 #: Bytes that a writing task holds before it writes them out.
 ROW_GROUP = 16 << 20
+#: Tables that stand, in the order they were written, and how to remove each.
+_standing: list[tuple[str, Callable[[], None]]] = []
 
 
 def shared_folder(df: DataFrame) -> str:
@@ -32,13 +36,53 @@ def cut(df: DataFrame) -> DataFrame:
     """The rows as a table written to the shared folder: no lineage, and what is lost is read again.
 
     A checkpoint would keep the size that Spark expects of the plan it cuts. Over the rounds of a loop that number is
-    multiplied by itself until planning takes longer than the work; a written table is as large as its files.
+    multiplied by itself until planning takes longer than the work; a written table is as large as its files. ``tidied``
+    removes tables that nothing reads any more, the end of the session the others.
     """
-    path = f"{shared_folder(df)}/table-{uuid.uuid4().hex}"
+    name = f"table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(df)}/{name}"
+    context = df.sparkSession.sparkContext
+    jvm, settings = context._jvm, context._jsc.hadoopConfiguration()
+
+    def remove() -> None:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(settings).delete(where, True)
+
+    if not _standing:
+        atexit.register(remove_tables)
+    _standing.append((name, remove))
     df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_tables(first: int = 0, but: frozenset[str] = frozenset()) -> None:
+    """Removes the standing tables from the given one on, but those named."""
+    held = _standing[first:]
+    del _standing[first:]
+    for name, remove in held:
+        if name in but:
+            _standing.append((name, remove))
+        else:
+            remove()
+
+
+def tidied(function: Callable) -> Callable:
+    """The function, whose tables are gone when it returns but for those that its result, a DataFrame, reads."""
+
+    @functools.wraps(function)
+    def run(*args, **options):
+        first, read = len(_standing), frozenset()
+        try:
+            out = function(*args, **options)
+            if isinstance(out, DataFrame) and len(_standing) > first:
+                read = frozenset(re.findall(r"table-[0-9a-f]{32}", "\n".join(out.inputFiles())))
+            return out
+        finally:
+            remove_tables(first, read)
+
+    return run
+
+
 def any_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 
