@@ -9,8 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..plans.iterate import cut as cut
+from ..plans.iterate import tidied as tidied
 
 #: Words everywhere in this package: runs of anything but space and the five ASCII controls 9-13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,6 +44,14 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def long_id(docs: DataFrame, doc_id: str) -> Column:
+    """The id as a long. Ids of other kinds are refused: they would be cut or fail row by row."""
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"ids must be integers, {doc_id} is {kind.simpleString()}: number the rows first")
+    return docs[doc_id].cast("long").alias("doc_id")
+
+
 def id_text(column: str | Column) -> Column:
     return F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit(""))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import centroids, langid, periodic, pii, quality, toxicity
 from .ann import nearest
-from .common import documents, fold
+from .common import documents, fold, tidied
 from .line_rules import line_rules
 from .mixing import mix_plan
 from .multi_index import near_vectors
@@ -26,6 +27,14 @@ def pii_key(spark: SparkSession) -> bytes:
     return spark.conf.get(PII_KEY_SETTING, "key of the example queries").encode()
 
 
+def secret_key(spark: SparkSession) -> bytes:
+    """The key for data that leaves: the setting, or where it is missing a random one that this session keeps. With the
+    setting, equal values stay linked between sessions too; nobody knows the random key."""
+    if not spark.conf.get(PII_KEY_SETTING, None):
+        spark.conf.set(PII_KEY_SETTING, secrets.token_hex(32))
+    return pii_key(spark)
+
+
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
@@ -94,7 +103,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f
+    f.__name__: tidied(f)
     for f in (op1_mix_sources, op2_pack_tiers, op3_near_setsketch, op4_ann_cross_polytope, op5_pii_feistel, op6_quality_discriminant, op7_line_frequency, op8_suffix_columns, op9_toxicity_nb_ngrams, op10_language_viterbi,
               op11_centroid_screening, op12_near_multi_index, op13_periodic_runs)
 }

@@ -1,8 +1,8 @@
 """Toxicity: a linear classifier over character n-grams whose features are scaled by naive Bayes log-count ratios.
 
 The n-grams (4 to 6 bytes of lower-case words with the spaces around them) that a text holds are hashed to buckets.
-Counts of labelled documents by bucket and class give the log-count ratio r; buckets whose ratio can't be told from 0
-are dropped. A logistic regression on presence times r gives weights, and a text's score is its probability. Texts
+Counts of labelled documents by bucket and class give the log-count ratio r; the regression takes the MAX_FEATURES buckets
+whose ratio is the most standard errors from 0, whatever that number of errors is. A logistic regression on presence times r gives weights, and a text's score is its probability. Texts
 are read whole; counts are summed by bucket before they reach the driver, which sees a bounded number of buckets.
 
 Defined results: null and empty texts hold no n-gram and score the intercept; a null id is scored, and held out is null;
@@ -26,8 +26,8 @@ from .labelled import MAX_LABELS, training_labels, unit_hash
 BITS = 20
 ORDERS = (4, 5, 6)
 ALPHA = 1.0
-#: Standard errors by which a bucket's log ratio must differ from 0.
-SIGNIFICANT = 4.0
+#: Buckets that the model weighs: those whose log ratio is the most standard errors from 0.
+MAX_FEATURES = 1 << 15
 #: Labelled rows of each class that the regression takes, by a hash of the id.
 MAX_FIT = 5_000
 #: n-grams of all these rows together (4 bytes each on the driver); above it a share of the rows, by a hash.
@@ -138,7 +138,7 @@ def _regression(indices: list[np.ndarray], y: np.ndarray, scale: np.ndarray) ->
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, max_fit: int = MAX_FIT, max_entries: int = MAX_ENTRIES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: str = "doc_id", text: str = "text", max_labels: int = MAX_LABELS, max_fit: int = MAX_FIT, max_entries: int = MAX_ENTRIES, max_features: int = MAX_FEATURES) -> Model:
     known = training_labels(labels, label, keep, max_labels, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(known, "doc_id").select("text", "label", "doc_id")
     counts = _bucket_counts(rows)
@@ -149,7 +149,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, keep: Column, doc_id: st
         return Model(np.zeros(1 << BITS, np.float32), 0.0, prior)
     n0, n1 = F.col("n0") + ALPHA, F.col("n1") + ALPHA
     rated = counts.filter(F.col("bucket") < 1 << BITS).select("bucket", (F.log(n1 / (d1 + 2 * ALPHA)) - F.log(n0 / (d0 + 2 * ALPHA))).alias("ratio"), F.sqrt(1 / n1 + 1 / n0).alias("error"))
-    table = rated.filter(F.abs("ratio") >= SIGNIFICANT * F.col("error")).orderBy("bucket").toArrow()  # at most 1 << BITS rows
+    strongest = rated.filter("ratio <> 0").orderBy(F.abs(F.col("ratio") / F.col("error")).desc(), "bucket").limit(max_features)
+    table = strongest.select("bucket", "ratio").toArrow().sort_by("bucket")
     chosen, ratio = table.column("bucket").to_numpy(), table.column("ratio").to_numpy()
     if not len(chosen):
         return Model(np.zeros(1 << BITS, np.float32), 0.0, prior)
