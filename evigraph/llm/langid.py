@@ -230,7 +230,7 @@ def fit(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text
     """From labelled rows under ``keep``: at most about ``max_docs`` a language."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = cut(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*")).alias("share")))
-    chosen = rows.join(small(shares), "lang").filter(unit_hash(F.coalesce("doc_id", F.lit(0)), "lang") < F.col("share")).select("lang", "text")
+    chosen = rows.join(small(shares), "lang").filter(unit_hash(F.col("doc_id"), "lang") < F.col("share")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str =
                 names, scores = sent.value.label(texts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, lang_pred string, score double")
 
 
 def language_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -292,10 +292,9 @@ def language_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
                 head = np.flatnonzero(new)
                 of = document[head]
                 number = np.arange(len(head)) - np.searchsorted(of, of)
-                keys = part.column(0).to_pylist()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([keys[k] for k in of], pa.int64()),
+                        part.column(0).take(pa.array(of)),
                         pa.array(number, pa.int64()),
                         pa.array([sent.value.languages[k] for k in path[head]], pa.string()),
                         pa.array(np.diff(np.append(head, len(path))), pa.int64()),
@@ -304,4 +303,4 @@ def language_spans(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
                     names=["doc_id", "span", "lang", "words", "letters"],
                 )
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, span long, lang string, words long, letters long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, span long, lang string, words long, letters long")

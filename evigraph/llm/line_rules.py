@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, small
+from .common import WORD, cut, fresh, small
 
 #: A line may stand in so many documents of its host, or in this share of them if that is more.
 LINE_DOCS = 50
@@ -96,8 +96,9 @@ def line_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host
 def without_frequent_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str = "source", most: int = LINE_DOCS, share: float = LINE_SHARE) -> DataFrame:
     """The documents with frequent lines taken out of their texts; all columns stay."""
     frequent = small(cut(frequent_lines(cut(document_lines(docs, doc_id, text, host)), most, share)))
-    by_host = frequent.groupBy(F.col("host").alias("__host")).agg(F.collect_set("h").alias("__hashes"))
-    joined = docs.join(by_host, F.col(host).eqNullSafe(F.col("__host")), "left")
+    of, hashes = fresh(docs, "of_host"), fresh(docs, "frequent")
+    by_host = frequent.groupBy(F.col("host").alias(of)).agg(F.collect_set("h").alias(hashes))
+    joined = docs.join(by_host, F.col(host).eqNullSafe(F.col(of)), "left")
     hashed = "xxhash64(trim(regexp_replace(lower(x), '[\\\\x20\\\\x09-\\\\x0D]+', ' ')))"
-    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n'), x -> NOT array_contains(__hashes, {hashed})), '\\n')")
-    return joined.withColumn(text, F.when(F.col("__hashes").isNull(), F.col(text)).otherwise(kept)).drop("__host", "__hashes")
+    kept = F.expr(f"array_join(filter(split(`{text}`, '\\n'), x -> NOT array_contains(`{hashes}`, {hashed})), '\\n')")
+    return joined.withColumn(text, F.when(F.col(hashes).isNull(), F.col(text)).otherwise(kept)).drop(of, hashes)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from .common import Rolling, column_bytes, cut, fresh, joined, lowered, mix64, small, text_steps, whole_groups, word_spans
+from .common import Rolling, column_bytes, cut, fresh, joined, lowered, mix64, small, text_steps, tidied, whole_groups, word_spans
 
 REGISTERS, BANDS = 128, 32
 #: Base of the exponential scale of register values, and the value of a point at 1.
@@ -156,7 +156,7 @@ def _likelihood(threshold: float, n_u: np.ndarray, n_v: np.ndarray, more: np.nda
 
 
 def document_sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, mark, n, digest, sketch) of every row; ``mark`` is a hash of the text."""
+    """(doc_id, mark, n, digest, sketch, bytes) of every row; ``mark`` is a hash of the text, ``bytes`` its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,11 +167,11 @@ def document_sketches(docs: DataFrame, words: int, doc_id: str = "doc_id", text:
                 digests = [a.to_bytes(8, "little") + b.to_bytes(8, "little") + len(s).to_bytes(8, "little") for (a, b), s in zip(sums, sets, strict=True)]
                 own = batch.slice(part.start, len(part))
                 yield pa.RecordBatch.from_arrays(
-                    [own.column(0), own.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sketches(sets)], pa.binary())],
-                    names=["doc_id", "mark", "n", "digest", "sketch"],
+                    [own.column(0), own.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in sketches(sets)], pa.binary()), pa.array([len(t) for t in texts], pa.int64())],
+                    names=["doc_id", "mark", "n", "digest", "sketch", "bytes"],
                 )
 
-    kinds = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *StructType.fromDDL("mark long, n long, digest binary, sketch binary").fields])
+    kinds = StructType([StructField("doc_id", docs.schema[doc_id].dataType), *StructType.fromDDL("mark long, n long, digest binary, sketch binary, bytes long").fields])
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).mapInArrow(run, kinds)
 
 
@@ -367,6 +367,7 @@ def _spanning(groups: DataFrame, links_of: Callable[[DataFrame], DataFrame], mos
     return links.unionByName(cut(links_of(asks.unionByName(others).select("key", "i", F.col("b").alias("j"), "turn", "label", "node"))))
 
 
+@tidied
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every end of an edge (a, b)."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
@@ -387,7 +388,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     sketched = cut(document_sketches(docs, words, doc_id, text))
     real = sketched.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
     # equal sets, so equal sketches: any row's will do
-    nodes = cut(real.groupBy("digest", "n").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.max("sketch").alias("sketch")).select("digest", "n", "at", "sketch", F.monotonically_increasing_id().alias("node")))
+    nodes = cut(real.groupBy("digest", "n").agg(F.min(F.struct("doc_id", "mark", "bytes")).alias("at"), F.max("sketch").alias("sketch")).select("digest", "n", "at", "sketch", F.monotonically_increasing_id().alias("node")))
 
     def likely(rows: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,7 +402,7 @@ def near_classes(docs: DataFrame, words: int = 5, percent: int = 80, doc_id: str
     joined_ = nodes.select("node", "sketch").join(components(links), F.col("node") == F.col("id"), "left").select("node", F.coalesce("component", "node").alias("label"), "sketch")
     links = links.unionByName(_spanning(cut(_buckets(joined_, FIRST_BANDS, BANDS)), likely, part_bytes))
     families = components(links).select(F.col("component").alias("key"), F.col("id").alias("node"))
-    sized = cut(families.join(nodes.select("node", (F.col("n") * 8).alias("bytes")), "node"))
+    sized = cut(families.join(nodes.select("node", F.greatest(F.col("n") * 8, "at.bytes").alias("bytes")), "node"))
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
     where = nodes.select("node", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import column_bytes, worker_threads
+from .common import column_bytes, long_id, worker_threads
 
 WINDOW = 2048
 TIERS = (2048, 1024, 512, 256)
@@ -314,6 +314,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id
         windows.close()
         yield windows.rows()
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(long_id(docs, doc_id), docs[text].alias("text")).mapInArrow(run, SCHEMA)
 
 

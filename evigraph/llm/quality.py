@@ -141,7 +141,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
             rows = [r.tobytes() for _, part in text_steps(texts, texts) for r in statistics(part).astype("<f8")]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], names=["doc_id", "x"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, x binary")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, x binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -190,7 +190,7 @@ def score(table: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(_matrix(batch.column(1))))], names=["doc_id", "score"])
 
-    return table.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    return table.select("doc_id", "x").mapInArrow(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: Column, label: str = "quality", doc_id: str = "doc_id", text: str = "text") -> DataFrame:

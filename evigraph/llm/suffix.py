@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, column_bytes, cut
+from .common import Rolling, column_bytes, cut, long_id
 
 LENGTH, GRAM = 200, 32
 WINDOW = LENGTH - GRAM + 1
@@ -227,7 +227,7 @@ def _forget() -> None:
 
 
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    plain = docs.select(long_id(docs, doc_id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return plain.withColumn("t", F.xxhash64("text"))
 
 

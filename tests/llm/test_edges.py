@@ -95,6 +95,27 @@ def test_line_rules(docs):
     assert cleaned.columns == docs.columns and cleaned.count() == len(rows())
 
 
+def test_frequent_lines_go(spark):
+    """A line of every document goes from all of its host, whatever other columns are called; other hosts keep it."""
+    rows = [(i, f"Shared  LINE\nown line {i}", "a", 1, "x") for i in range(8)] + [(9, "shared line\nmore", "b", 1, "x"), (10, None, "a", 1, "x"), (11, "shared line", None, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, of_host int, frequent string")
+    cleaned = line_rules.without_frequent_lines(docs, most=3)
+    assert cleaned.columns == docs.columns
+    assert {r.doc_id: r.text for r in cleaned.collect()} == {i: f"own line {i}" for i in range(8)} | {9: "shared line\nmore", 10: None, 11: "shared line"}
+
+
+def test_other_ids(spark, labels):
+    """Ids of other kinds are kept, or refused where they have to be numbers."""
+    docs = spark.createDataFrame([("a", "the thing is that", "en"), ("b", None, None)], "doc_id string, text string, lang string")
+    named = labels.select(F.col("doc_id").cast("string").alias("doc_id"), "quality")
+    model = langid.fit(docs, F.lit(True))
+    assert {r.doc_id for r in langid.identify(docs, model).collect()} == {"a", "b"} == {r.doc_id for r in quality.classify(docs, named, F.lit(True)).collect()}
+    assert {r.doc_id for r in langid.language_spans(docs, model).collect()} == {"a"}
+    for refused in (lambda: packing.pack(docs, P.path("word_bpe_49k.json")), lambda: suffix.removed_digest(docs)):
+        with pytest.raises(TypeError, match="integers"):
+            refused()
+
+
 def test_suffix(docs):
     got = suffix.removed_digest(docs).collect()
     assert len(got) == len(rows()) and {r.n_bytes for r in got if r.doc_id == 0} == {0}
