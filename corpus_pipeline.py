@@ -2,7 +2,8 @@
 
 Toxic documents go, one document of each near-duplicate class stays, personal data gets pseudonyms, sources are mixed
 to their weights, and the mix is packed. Every stage but the last returns the columns of its documents; clean documents
-stay. Empty tables, null texts and null ids pass through as the operators define.
+stay. Empty tables, null texts and null ids pass through as the operators define. Pseudonyms take the key of the session's
+setting; without it a random one, so that no two sessions give the same.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evigraph.llm import mixing, near_dedup, packing, pii, queries, toxicity
 from evigraph.llm.common import fresh
-from evigraph.plans.iterate import cut
+from evigraph.plans.iterate import cut, tidied
 
 #: Documents with at least this probability of label 1 are rejected.
 TOXIC = 0.5
@@ -31,7 +32,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def permute_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(docs, queries.pii_key(spark))
+    return pii.pseudonymised(docs, queries.secret_key(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +44,19 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_copies),
+    ("toxicity", tidied(drop_toxic)),
+    ("near_dedup", tidied(drop_near_copies)),
     ("pii", permute_personal_data),
-    ("mixing", mix_sources),
+    ("mixing", tidied(mix_sources)),
     ("packing", pack_sequences),
 ]
 #: Model scores, sketches and tokens can't be expressed in SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
+@tidied
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))  # stored once: the next stage reads it several times
+        docs = tidied(lambda stage=stage, docs=docs: cut(stage(spark, docs, sf_dir)))()  # stored once: the next stage reads it several times
     return STAGES[-1][1](spark, docs, sf_dir)
