@@ -187,7 +187,7 @@ class Model:
         share = held.max(1) / np.maximum(total, 1)
         # how sure the words of the winning spans are of it: mean log odds to the runner-up, through a logistic
         own = path == best[document]
-        sums = np.stack([np.bincount(document[own], weights=score[own, k], minlength=len(texts)) for k in range(count)], 1)
+        sums = np.stack([np.bincount(document[own], weights=score[own, k], minlength=len(texts)) for k in range(count)], 1).astype(float)
         ahead = sums[np.arange(len(texts)), best]
         sums[np.arange(len(texts)), best] = -np.inf
         sure = 1 / (1 + np.exp(-np.clip(ahead - sums.max(1), 0, 500))) if count > 1 else np.ones(len(texts))
