@@ -22,7 +22,6 @@ looked at.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -217,15 +216,6 @@ def _counted_windows(segments: DataFrame) -> DataFrame:
     return windows.filter(F.col("n") == 1).join(often, "w").select("doc_id", "t", "begin", (F.col("begin") + LENGTH).cast("int").alias("end"))
 
 
-def _forget() -> None:
-    """Lets Spark drop the shuffle files of steps that are done: it does when the driver collects its garbage."""
-    gc.collect()
-    from pyspark import SparkContext
-
-    if SparkContext._jvm is not None:
-        SparkContext._jvm.System.gc()
-
-
 def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     plain = docs.select(long_id(docs, doc_id), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return plain.withColumn("t", F.xxhash64("text"))
@@ -234,15 +224,12 @@ def _marked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, t, spans) of the texts that hold repeated strings; spans of bytes may touch and overlap. ``docs``: (doc_id, text, t)."""
     repeated = cut(_occurrences(docs, False).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") > 1).select("h"))
-    _forget()
     live = cut(_occurrences(docs, True).join(repeated, "h"))
-    _forget()
     classes = cut(live.groupBy("h", "s").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "t", "first", "last", "anchor")).alias("at")))
     full = live.join(classes.filter(F.col("n") > 1).select("h", "s"), ["h", "s"]).select("doc_id", "t", F.col("first").alias("begin"), (F.col("last") + LENGTH).cast("int").alias("end"))
     shared = classes.groupBy("h").agg(F.count("*").alias("classes"), F.min("n").alias("least")).filter((F.col("classes") > 1) & (F.col("least") == 1)).select("h", "classes")
     borders = cut(classes.join(shared, "h").select("h", "classes", "n", "at.*"))
     found = cut(_sorted_groups(_segments(borders.filter(F.col("classes") <= hot), docs)))
-    _forget()
     spans = full.unionByName(found)
     large = borders.filter(F.col("classes") > hot)
     if large.limit(1).count():
@@ -263,7 +250,6 @@ def union_of(spans: list[dict] | None) -> list[tuple[int, int]]:
 
 def _with_spans(docs: DataFrame, hot: int) -> DataFrame:
     spans = repeated_spans(docs, hot)
-    _forget()
     found = spans.select(F.col("doc_id").alias("of"), F.col("t").alias("ot"), "spans")
     return docs.join(found, docs["doc_id"].eqNullSafe(F.col("of")) & (docs["t"] == F.col("ot")), "left").select("doc_id", "text", "spans")
 
