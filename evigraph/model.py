@@ -13,11 +13,13 @@ ROLES = ("production", "test", "tooling")
 SCOPES = ("runtime", "public_surface")
 TARGET_KINDS = ("node", "external", "unexported_workspace", "unresolved_internal", "dynamic_unknown", "unsupported")
 FINDING_KINDS = (
-    "unreachable_file", "test_only_file", "tooling_only_file", "unused_private_symbol", "unreferenced_public", "test_only_symbol",
-    "tooling_only_symbol", "workspace_source_bypass", "unexported_workspace_import", "unresolved_internal_edge", "dynamic_boundary",
+    "unreachable_file", "unused_private_symbol", "test_only", "tooling_only", "unreferenced_public", "unexported_workspace_import",
+    "workspace_source_bypass", "unresolved_internal_edge", "dynamic_boundary", "malformed_fuzz_directive",
 )
-#: Kinds that a gate fails on, if their confidence is high.
-GATING = ("unreachable_file", "test_only_file", "unused_private_symbol", "workspace_source_bypass", "unexported_workspace_import", "unresolved_internal_edge")
+# Kinds that a gate fails on, if their confidence is high.
+GATING = ("unreachable_file", "unused_private_symbol", "unexported_workspace_import", "workspace_source_bypass", "unresolved_internal_edge", "malformed_fuzz_directive")
+# Languages that run together, so that what one does not show bears on the others.
+TOGETHER = ("javascript", "typescript", "svelte")
 #: Edges that runtime reachability does not follow.
 NOT_RUNTIME = ("contains", "re_export")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import NOT_RUNTIME
-from ..plans.iterate import any_rows, cut, union_all
+from ..plans.iterate import any_rows, counted_cut, cut, laid_out, tidied, union_all
 
 
 def traversable(edges: DataFrame, kinds: tuple[str, ...] | None = None, without: tuple[str, ...] = NOT_RUNTIME) -> DataFrame:
@@ -21,6 +21,7 @@ def traversable(edges: DataFrame, kinds: tuple[str, ...] | None = None, without:
     return edges.filter(keep).select("src", "dst").distinct()
 
 
+@tidied
 def expand(seeds: DataFrame, steps: DataFrame, keys: list[str], carried: list[str], most_rounds: int | None = None) -> DataFrame:
     """Breadth-first expansion: rows (keys..., node, distance, carried...) with the least distance, then the least ``carried``.
 
@@ -34,32 +35,39 @@ def expand(seeds: DataFrame, steps: DataFrame, keys: list[str], carried: list[st
         best = F.min(F.struct("distance", *carried)).alias("best")
         return rows.groupBy(*keys, "node").agg(best).select(*keys, "node", "best.*").select(*columns)
 
-    steps = cut(steps)
+    steps = laid_out(steps, "src")
     frontier = cut(least(seeds.withColumn("distance", F.lit(0))))
     levels, seen, done = [frontier], frontier.select(*keys, "node"), 0
     while most_rounds is None or done < most_rounds:
         done += 1
         reached = frontier.join(steps, frontier["node"] == steps["src"]).select(*keys, F.col("dst").alias("node"), F.lit(done).alias("distance"), *carried)
-        frontier = cut(least(reached).join(seen, [*keys, "node"], "left_anti").select(*columns))
-        if not any_rows(frontier):
+        frontier, new = counted_cut(least(reached).join(seen, [*keys, "node"], "left_anti").select(*columns))
+        if not new:
             break
         levels.append(frontier)
         seen = seen.union(frontier.select(*keys, "node"))
     return union_all(levels)
 
 
-def reachability(edges: DataFrame, contexts: DataFrame, roots: DataFrame) -> DataFrame:
+def runtime_steps(edges: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(src, dst) that runtime reachability follows; a symbol (node, file) also reaches its file."""
+    steps = traversable(edges)
+    return steps if symbols is None else steps.union(symbols.select(F.col("node").alias("src"), F.col("file").alias("dst"))).distinct()
+
+
+def reachability(edges: DataFrame, contexts: DataFrame, roots: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(context, node, distance, root_index, root): one witness root for each context and node it reaches.
 
-    ``contexts``: (context, scope); ``roots``: (context, node). A root's index is the rank of its id in its context. A
-    public surface starts from all that re-exports lead to, at distance 0; the witness is the least (distance, index).
+    ``contexts``: (context, scope); ``roots``: (context, node); ``symbols``: (node, file). A root's index is the rank of its id in
+    its context. A public surface starts from all that re-exports lead to, at distance 0; the witness is the least
+    (distance, index).
     """
     ranked = roots.select("context", "node").distinct().withColumn("root_index", F.row_number().over(Window.partitionBy("context").orderBy("node")) - 1)
     scoped = cut(ranked.join(contexts.select("context", "scope"), "context"))
     public = scoped.filter(F.col("scope") == "public_surface").select("context", "node", "root_index")
     surface = expand(public.select("context", "root_index", "node"), traversable(edges, ("re_export",)), ["context", "root_index"], [])
     seeds = scoped.filter(F.col("scope") != "public_surface").select("context", "node", "root_index").unionByName(surface.select("context", "node", "root_index"))
-    found = expand(seeds, traversable(edges), ["context"], ["root_index"])
+    found = expand(seeds, runtime_steps(edges, symbols), ["context"], ["root_index"])
     return found.join(scoped.select("context", "root_index", F.col("node").alias("root")), ["context", "root_index"]).select("context", "node", "distance", "root_index", "root")
 
 
@@ -69,13 +77,25 @@ def roles(reached: DataFrame, contexts: DataFrame) -> DataFrame:
     return named.groupBy("node").agg(F.countDistinct("context").alias("contexts"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-def reach_targets(edges: DataFrame, roots: DataFrame, targets: DataFrame) -> DataFrame:
-    """(context, target, distance, root_index, root): the same answers for some targets, by walking edges backwards from them."""
+def reach_targets(edges: DataFrame, roots: DataFrame, targets: DataFrame, contexts: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """(context, target, distance, root_index, root): the same answers for some targets, by walking edges backwards from them.
+
+    With ``contexts`` (context, scope), a context that shows a public surface is answered too: its roots are then all that
+    re-exports lead to, which the walk forwards from them gives; they are met by the walk backwards like any other root.
+    """
     ranked = roots.select("context", "node").distinct().withColumn("root_index", F.row_number().over(Window.partitionBy("context").orderBy("node")) - 1)
-    back = traversable(edges).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    met = expand(targets.select(F.col("node").alias("target"), "node"), back, ["target"], []).join(ranked, "node")
-    best = met.groupBy("context", "target").agg(F.min(F.struct("distance", "root_index", "node")).alias("b"))
-    return best.select("context", "target", F.col("b.distance").alias("distance"), F.col("b.root_index").alias("root_index"), F.col("b.node").alias("root"))
+    starts = ranked.select("context", "root_index", "node", F.col("node").alias("root"))
+    if contexts is not None:
+        scoped = cut(ranked.join(contexts.select("context", "scope"), "context"))
+        public = scoped.filter(F.col("scope") == "public_surface").select("context", "root_index", "node")
+        surface = expand(public, traversable(edges, ("re_export",)), ["context", "root_index"], []).select("context", "root_index", "node")
+        named = scoped.select("context", "root_index", F.col("node").alias("root"))
+        plain = scoped.filter(F.col("scope") != "public_surface").select("context", "root_index", "node")
+        starts = surface.unionByName(plain).join(named, ["context", "root_index"]).select("context", "root_index", "node", "root")
+    back = runtime_steps(edges, symbols).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    met = expand(targets.select(F.col("node").alias("target"), "node"), back, ["target"], []).join(starts, "node")
+    best = met.groupBy("context", "target").agg(F.min(F.struct("distance", "root_index", "root")).alias("b"))
+    return best.select("context", "target", F.col("b.distance").alias("distance"), F.col("b.root_index").alias("root_index"), F.col("b.root").alias("root"))
 
 
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both") -> DataFrame:

@@ -10,7 +10,8 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 #: Bytes that a writing task holds before it writes them out.
 ROW_GROUP = 16 << 20
@@ -39,20 +40,45 @@ def cut(df: DataFrame) -> DataFrame:
     multiplied by itself until planning takes longer than the work; a written table is as large as its files. ``tidied``
     removes tables that nothing reads any more, the end of the session the others.
     """
+    path, _ = _place(df)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
+    """The table of ``cut`` and its number of rows, counted as they are written."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def laid_out(df: DataFrame, column: str) -> DataFrame:
+    """A written table in buckets of one column, sorted: joins on it, round after round, shuffle the other side only."""
+    spark = df.sparkSession
+    path, name = _place(df, catalogued=True)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = df.repartition(buckets, column).write.option("parquet.block.size", ROW_GROUP).option("path", path)
+    held.format("parquet").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
+    return spark.table(name)
+
+
+def _place(df: DataFrame, catalogued: bool = False) -> tuple[str, str]:
+    """Path of a new table, and its name in the catalog; both go when the table does."""
     name = f"table-{uuid.uuid4().hex}"
-    path = f"{shared_folder(df)}/{name}"
-    context = df.sparkSession.sparkContext
+    path, entry = f"{shared_folder(df)}/{name}", name.replace("-", "_")
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     jvm, settings = context._jvm, context._jsc.hadoopConfiguration()
 
     def remove() -> None:
+        if catalogued and context._jsc is not None:
+            spark.sql(f"DROP TABLE IF EXISTS {entry}")
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(settings).delete(where, True)
 
     if not _standing:
         atexit.register(remove_tables)
     _standing.append((name, remove))
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, entry
 
 
 def remove_tables(first: int = 0, but: frozenset[str] = frozenset()) -> None:

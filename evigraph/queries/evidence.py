@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import derive
 from ..derive import table
 from ..functions import text
 from ..ids import file_id, symbol_id
@@ -23,17 +24,22 @@ def _orders_as_symbols(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("file"), visibility.alias("visibility"))
 
 
-def unused_symbols(spark: SparkSession, d: str) -> DataFrame:
-    reached = _lines(spark, d, "l_returnflag = 'R'").select(F.col("l_orderkey").alias("node")).distinct()
-    reported = table(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("node"))
-    return findings.unused_symbols(_orders_as_symbols(spark, d), reached, reported)
+def _line_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of every kind and target from suppliers (an unknown one in seventh lines) to suppliers, known or not."""
+    kind = F.when(F.col("l_discount") >= 0.07, "workspace_source_bypass").when(F.col("l_tax") <= 0.04, "dynamic_import").when(F.col("l_tax") <= 0.06, "import").otherwise("module_dependency")
+    k = F.col("l_linenumber")
+    target = F.when(k == 1, "unexported_workspace").when(k == 2, "unresolved_internal").when(k == 3, "dynamic_unknown").when(k == 4, "unsupported").otherwise("node")
+    src = F.concat(F.when(k == 7, "gone/").otherwise("supplier/"), F.col("l_suppkey").cast("string"))
+    return table(spark, d, "lineitem").select(src.alias("src"), F.concat(F.lit("supplier/"), (F.col("l_partkey") % 500).cast("string")).alias("dst"), kind.alias("kind"), target.alias("target_kind"))
+
+
+def _supplier_roles(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("node"), F.when(F.col("s_nationkey") % 3 == 0, "test").otherwise("production,test").alias("roles"))
 
 
 def edge_findings(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("l_discount") >= 0.09, "workspace_source_bypass").otherwise("import")
-    targets = F.when(F.col("l_linenumber") == 1, "unexported_workspace").when(F.col("l_linenumber") == 2, "unresolved_internal").when(F.col("l_linenumber") == 3, "dynamic_unknown").otherwise("node")
-    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"), kind.alias("kind"), targets.alias("target_kind"))
-    return findings.edge_findings(edges)
+    suppliers = derive.nodes(spark, d).filter("kind = 'supplier'").select("node", "project", "language")
+    return findings.edge_findings(_line_edges(spark, d), suppliers, derive.projects(spark, d), derive.boundaries(spark, d), _supplier_roles(spark, d))
 
 
 def new_boundaries(spark: SparkSession, d: str) -> DataFrame:
@@ -45,10 +51,15 @@ def new_boundaries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def identity_witnesses(spark: SparkSession, d: str) -> DataFrame:
-    kind = F.when(F.col("l_discount") >= 0.07, "workspace_source_bypass").when(F.col("l_tax") <= 0.04, "import").otherwise("lexical_reference")
-    edges = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"), kind.alias("kind"))
-    roles = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_nationkey") % 3 == 0, "test").otherwise("production,test").alias("roles"))
-    return findings.identity_witnesses(edges, roles).groupBy("src", "dst").agg(F.count("*").alias("n_edges"))
+    return findings.identity_witnesses(_line_edges(spark, d), _supplier_roles(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n_edges"))
+
+
+def fuzz_directives(spark: SparkSession, d: str) -> DataFrame:
+    line = F.col("l_linenumber").cast("long")
+    issue = F.struct(F.when(F.col("l_tax") > 0.05, "unknown_key").otherwise("missing_value").alias("kind"), line.alias("line"))
+    held = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("node")).agg(F.collect_list(F.when(F.col("l_discount") > 0.08, issue)).alias("issues"))
+    symbols = held.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.col("o_custkey").alias("file")), "node")
+    return findings.directive_findings(symbols, table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("node")))
 
 
 def unexpected_facts(spark: SparkSession, d: str) -> DataFrame:
@@ -147,28 +158,40 @@ def literal_references(spark: SparkSession, d: str) -> DataFrame:
     return usage.literal_references(operations, literals, declared).groupBy("operation", "literal_kind").agg(F.count("*").alias("n_sites"))
 
 
-SCRIPTS = ["vitest run", "node --test && jest", "echo \"no tests\"", "echo a | jest --passWithNoTests", "AVA ", "exit 0", "npx ava --pass-with-no-tests", "cargo test --all"]
-NAMES = ["test", "test:unit", "unit:test", "pretest", "tester", "build"]
+SCRIPTS = ["vitest run", "node --test && jest", 'echo "no tests"', "echo a | jest --passWithNoTests", "AVA ", "exit 0", "npx ava --pass-with-no-tests", "cargo test --all", "\n\ttrue\u2003", " printf x || exit", "make all"]
+NAMES = ["test", "test:unit", "unit:test", "pretest", "tester", "build", "postTest"]
 
 
 def test_scripts(spark: SparkSession, d: str) -> DataFrame:
     command = F.concat(F.get(F.array(*[F.lit(s) for s in SCRIPTS]), (F.col("page_id") % len(SCRIPTS)).cast("int")), F.when(F.col("page_id") % 5 == 0, F.concat(F.lit(" "), F.col("url"))).otherwise(""))
     rows = table(spark, d, "pages").select("page_id", F.get(F.array(*[F.lit(n) for n in NAMES]), (F.col("page_id") % len(NAMES)).cast("int")).alias("name"), command.alias("command"))
-    c = F.col("command")
-    return rows.select("page_id", inventory.test_script(F.col("name")).alias("is_test"), F.array_join(inventory.runners(c), ",").alias("runners"), inventory.no_op(c).alias("no_op"), inventory.allows_empty(c).alias("allows_empty"))
+    return inventory.script_inventory(rows).select("page_id", F.array_join("runners", ",").alias("runners"), "no_op", "allows_empty")
+
+
+def _page_projects(spark: SparkSession, d: str) -> DataFrame:
+    """One a host, under apps; those of mobile pages lie at the root."""
+    host = _page_files(spark, d).select("project").distinct()
+    return host.select("project", F.when(F.col("project").startswith("m."), ".").otherwise(F.concat(F.lit("/apps/"), F.col("project"), F.lit("/"))).alias("root"))
+
+
+CHANGED = ("package.json", "tsconfig.base.json", "requirements-dev.txt", "README.md", "uv.lock")
 
 
 def change_scope(spark: SparkSession, d: str) -> DataFrame:
     held = _page_files(spark, d)
-    root = F.get(F.array(*[F.lit(p) for p in ("package.json", "tsconfig.base.json", "requirements-dev.txt", "README.md", "uv.lock")]), (F.col("page_id") % 5).cast("int"))
-    changed = held.select(F.when(F.col("page_id") % 3 == 0, root).when(F.col("page_id") % 3 == 1, F.col("path")).otherwise(F.concat_ws("/", "project", F.lit("new"), "path")).alias("path"))
-    owners = changed.join(held.select("project").distinct(), F.substring_index("path", "/", 1) == F.col("project"), "left_semi").select("path", F.substring_index("path", "/", 1).alias("project"))
-    return inventory.fallback(changed, held.select("path", "node", "project"), owners)
+    k = F.col("page_id") % 6
+    at_root = F.get(F.array(*[F.lit(p) for p in CHANGED]), (F.col("page_id") % 5).cast("int"))
+    changed = held.select(F.when(k == 0, at_root).when(k == 1, F.col("path")).when(k == 2, F.concat_ws("/", F.lit("apps"), "project", F.lit("new"), "path")).when(k == 3, F.concat_ws("/", F.lit("elsewhere"), "path")).otherwise(F.concat_ws("/", F.lit("apps"), "project", "path")).alias("path"))
+    return inventory.fallback(changed, held.select("path", "node", "project"), _page_projects(spark, d))
+
+
+FOLDERS = ("src/", "src/a/b/c/", "tests/", "lib/dist/", "pkg/src/core/", "public/assets/x-9fA3bC12", "src/generated/", "Integration-Tests/", "a/Test-Data/", "spec/", "xtask/", "tooling/", "Snapshots\\\\", "a/Scripts/", "target/")
+NAMED = (".ts", ".test.ts", ".playwright.ts", "_test.py", "_test.go", ".generated.ts", ".SPEC.js")
 
 
 def source_paths(spark: SparkSession, d: str) -> DataFrame:
-    k = F.col("page_id") % 7
-    path = F.concat(F.get(F.array(*[F.lit(p) for p in ("src/", "src/a/b/c/", "tests/", "lib/dist/", "pkg/src/core/", "public/assets/x-9fA3bC12", "src/generated/")]), k.cast("int")), F.regexp_replace("url", r"^[a-z]+://[^/]*/|\?.*$", ""), F.lit(".ts"))
+    place = lambda names, k: F.get(F.array(*[F.lit(p) for p in names]), (k % len(names)).cast("int"))
+    path = F.concat(place(FOLDERS, F.col("page_id")), F.regexp_replace("url", r"^[a-z]+://[^/]*/|\?.*$", ""), place(NAMED, F.floor(F.col("page_id") / 15)))
     rows = table(spark, d, "pages").select("page_id", path.alias("p"))
     p = F.col("p")
     return rows.select("page_id", files.ignored(p).alias("ignored"), lexicon.semantic_scope(p).alias("scope"), findings.conventional_test(p).alias("test"), findings.disposition(p).alias("disposition"))
@@ -245,13 +268,21 @@ def parameter_problems(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        unused_symbols, edge_findings, new_boundaries, identity_witnesses, unexpected_facts, forbidden_cycles, forbidden_relations, prohibited_paths, objects_without_contract, eligible_declarations,
+        edge_findings, new_boundaries, identity_witnesses, fuzz_directives, unexpected_facts, forbidden_cycles, forbidden_relations, prohibited_paths, objects_without_contract, eligible_declarations,
         reference_validation, importers_of_symbols, package_consumers, unused_public_symbols, resolve_targets, literal_references, test_scripts, change_scope, source_paths, symbol_ids, canonical_json,
         instants, encoded_urls, shared_vocabulary, term_suppressions, sibling_pairs, query_contract_diff, lint_diff, bootstrap_diff, repeated_names, parameter_problems,
     )
 }
 
 _PAGES = "SELECT page_id, 'file/' || page_id AS node, regexp_extract(url, '^[a-z]+://([^/]*)', 1) AS project, regexp_replace(url, '^[a-z]+://[^/]*/?', '') AS path FROM pages"
+_LINE_EDGES = """, line_edges AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN 'gone/' ELSE 'supplier/' END || l_suppkey AS src, 'supplier/' || l_partkey % 500 AS dst,
+    CASE WHEN l_discount >= 0.07 THEN 'workspace_source_bypass' WHEN l_tax <= 0.04 THEN 'dynamic_import' WHEN l_tax <= 0.06 THEN 'import' ELSE 'module_dependency' END AS kind,
+    CASE l_linenumber WHEN 1 THEN 'unexported_workspace' WHEN 2 THEN 'unresolved_internal' WHEN 3 THEN 'dynamic_unknown' WHEN 4 THEN 'unsupported' ELSE 'node' END AS target_kind FROM lineitem
+), witness AS (
+  SELECT src, dst, count(*) AS n_edges FROM line_edges e JOIN supplier ON 'supplier/' || s_suppkey = src AND s_nationkey % 3 = 0 WHERE kind = 'workspace_source_bypass' AND target_kind = 'node'
+    AND EXISTS (SELECT 1 FROM line_edges m WHERE m.src = e.src AND m.dst = e.dst AND m.kind IN ('module_dependency', 'dynamic_import', 'require') AND m.target_kind = 'node') GROUP BY src, dst
+)"""
 _RELATIONS = "SELECT p_brand || '/' || p_type AS predicate, p_partkey * 7 % 97 AS subject, p_partkey * 31 % 97 AS object FROM part"
 
 
@@ -267,13 +298,18 @@ FROM b FULL JOIN a USING ({keys}) WHERE b.here IS NULL OR a.here IS NULL OR {cha
 _BY_CUSTOMER = "SELECT o_custkey, true AS here, bool_or(o_orderpriority = '1-URGENT') AS dynamic, max(o_orderstatus) AS digest FROM orders WHERE o_orderdate {} '1997-01-01' GROUP BY o_custkey"
 
 ORACLE_SQL = {
-    "unused_symbols": """
-SELECT CASE o_orderstatus WHEN 'F' THEN 'unused_private_symbol' ELSE 'unreferenced_public' END AS kind, o_orderkey AS node FROM orders
-WHERE o_orderstatus IN ('F', 'O') AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)
-""",
-    "edge_findings": """
-SELECT * FROM (SELECT CASE WHEN l_discount >= 0.09 THEN 'workspace_source_bypass' WHEN l_linenumber = 1 THEN 'unexported_workspace_import' WHEN l_linenumber = 2 THEN 'unresolved_internal_edge'
-  WHEN l_linenumber = 3 THEN 'dynamic_boundary' END AS kind, l_orderkey AS node, l_partkey AS target FROM lineitem) WHERE kind IS NOT NULL
+    "edge_findings": "WITH RECURSIVE " + derive.SQL + _LINE_EDGES + """, sure AS (
+  SELECT project, max(o) AS c FROM (SELECT project, o FROM projects UNION ALL SELECT project, o FROM boundaries) GROUP BY project
+), known AS (SELECT node, project, language, root, only_rust, c FROM nodes LEFT JOIN projects USING (project) LEFT JOIN sure USING (project) WHERE kind = 'supplier'
+), found AS (
+  SELECT CASE WHEN kind = 'workspace_source_bypass' AND target_kind = 'node' THEN 'workspace_source_bypass' WHEN target_kind = 'unexported_workspace' THEN 'unexported_workspace_import'
+    WHEN target_kind = 'unresolved_internal' THEN 'unresolved_internal_edge' WHEN target_kind IN ('dynamic_unknown', 'unsupported') THEN 'dynamic_boundary' END AS kind, src AS node, dst AS target FROM line_edges
+), placed AS (
+  SELECT f.kind, f.node, a.project, target, CASE WHEN f.kind = 'dynamic_boundary' OR f.kind = 'unresolved_internal_edge' AND a.language = 'rust' THEN ['high', 'medium', 'low'][1 + a.c] ELSE 'high' END AS confidence,
+    f.kind = 'workspace_source_bypass' AND (a.root = '.' OR coalesce(b.root = '.', false) OR EXISTS (SELECT 1 FROM witness w WHERE w.src = f.node AND w.dst = f.target)) AS lifted
+  FROM found f JOIN known a ON a.node = f.node LEFT JOIN known b ON b.node = f.target WHERE f.kind IS NOT NULL
+)
+SELECT kind, node, project, target, confidence, confidence = 'high' AND kind <> 'dynamic_boundary' AND NOT lifted AS gates FROM placed
 """,
     "new_boundaries": """
 SELECT s_nationkey AS project, CASE WHEN s_acctbal < 1000 THEN s_suppkey END AS node, CASE WHEN s_acctbal < 0 THEN 'reflection' ELSE 'dynamic_import' END AS kind FROM supplier s
@@ -281,9 +317,10 @@ WHERE s_acctbal < 3000 AND NOT EXISTS (SELECT 1 FROM supplier k WHERE (k.s_acctb
   AND CASE WHEN k.s_acctbal < 1000 THEN k.s_suppkey END IS NOT DISTINCT FROM CASE WHEN s.s_acctbal < 1000 THEN s.s_suppkey END
   AND CASE WHEN k.s_acctbal < -500 THEN 'reflection' ELSE 'dynamic_import' END = CASE WHEN s.s_acctbal < 0 THEN 'reflection' ELSE 'dynamic_import' END)
 """,
-    "identity_witnesses": """
-SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS n_edges FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_discount >= 0.07 AND s_nationkey % 3 = 0
-  AND (l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM lineitem WHERE l_discount < 0.07 AND l_tax <= 0.04) GROUP BY ALL
+    "identity_witnesses": "WITH RECURSIVE " + derive.SQL + _LINE_EDGES + " SELECT src, dst, n_edges FROM witness",
+    "fuzz_directives": """
+SELECT 'malformed_fuzz_directive' AS kind, l_orderkey AS node, CASE WHEN l_tax > 0.05 THEN 'unknown_key' ELSE 'missing_value' END AS issue, l_linenumber::BIGINT AS line, 'high' AS confidence
+FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_discount > 0.08 AND c_acctbal > 0
 """,
     "unexpected_facts": "SELECT l_partkey AS target, l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 20 OR p_type LIKE 'E%' OR p_retailprice < 920)",
     "forbidden_cycles": f"""
@@ -356,32 +393,45 @@ SELECT operation, literal_kind, count(*) AS n_sites FROM met ANTI JOIN (SELECT p
 """,
     "test_scripts": r"""
 WITH s AS (
-  SELECT page_id, ['test', 'test:unit', 'unit:test', 'pretest', 'tester', 'build'][page_id % 6 + 1] AS name,
-    ['vitest run', 'node --test && jest', 'echo "no tests"', 'echo a | jest --passWithNoTests', 'AVA ', 'exit 0', 'npx ava --pass-with-no-tests', 'cargo test --all'][page_id % 8 + 1] || CASE WHEN page_id % 5 = 0 THEN ' ' || url ELSE '' END AS command FROM pages
-), runners AS (
+  SELECT page_id, ['test', 'test:unit', 'unit:test', 'pretest', 'tester', 'build', 'postTest'][page_id % 7 + 1] AS name,
+    ['vitest run', 'node --test && jest', 'echo "no tests"', 'echo a | jest --passWithNoTests', 'AVA ', 'exit 0', 'npx ava --pass-with-no-tests', 'cargo test --all', chr(10) || chr(9) || 'true' || chr(8195), ' printf x || exit', 'make all'][page_id % 11 + 1]
+    || CASE WHEN page_id % 5 = 0 THEN ' ' || url ELSE '' END AS command FROM pages
+), named AS (
   SELECT page_id, string_agg(DISTINCT runner, ',' ORDER BY runner) AS runners FROM s, (VALUES ('schemathesis', 'schemathesis'), ('playwright', 'playwright'), ('vitest', 'vitest'), ('cypress', 'cypress'), ('pytest', 'pytest'), ('unittest', 'unittest'),
     ('cargo test', 'cargo'), ('deno test', 'deno'), ('bun test', 'bun'), ('node --test', 'node'), ('jest', 'jest'), ('mocha', 'mocha'), (' ava', 'ava')) AS r(needle, runner)
   WHERE contains(lower(command), needle) OR runner = 'ava' AND (lower(command) = 'ava' OR starts_with(lower(command), 'ava ')) GROUP BY page_id
-)
-SELECT page_id, name IN ('test', 'pretest', 'posttest') OR starts_with(name, 'test:') OR ends_with(name, ':test') AS is_test, coalesce(runners, '') AS runners,
-  trim(command) IN ('', ':', 'true', 'exit 0') OR (starts_with(trim(command), 'echo ') OR starts_with(trim(command), 'printf ')) AND NOT (contains(command, '&&') OR contains(command, '|') OR contains(command, ';')) AS no_op,
-  list_has_any(string_split(lower(command), ' '), ['--allow-no-tests', '--pass-with-no-tests', '--passwithnotests', '--suppress-no-test-exit-code']) AS allows_empty
-FROM s LEFT JOIN runners USING (page_id)
+), bare AS (SELECT *, trim(command, ' ' || chr(9) || chr(10) || chr(8195)) AS plain FROM s)
+SELECT page_id, coalesce(runners, 'other') AS runners,
+  plain IN ('', ':', 'true', 'exit 0') OR (starts_with(plain, 'echo ') OR starts_with(plain, 'printf ')) AND NOT (contains(plain, '&&') OR contains(plain, '|') OR contains(plain, ';')) AS no_op,
+  list_has_any(string_split_regex(lower(command), '[ \t\n]+'), ['--allow-no-tests', '--pass-with-no-tests', '--passwithnotests', '--suppress-no-test-exit-code']) AS allows_empty
+FROM bare LEFT JOIN named USING (page_id) WHERE runners IS NOT NULL OR name IN ('test', 'pretest', 'posttest') OR starts_with(name, 'test:') OR ends_with(name, ':test')
 """,
     "change_scope": f"""
-WITH f AS ({_PAGES}), changed AS (
-  SELECT DISTINCT CASE page_id % 3 WHEN 0 THEN ['package.json', 'tsconfig.base.json', 'requirements-dev.txt', 'README.md', 'uv.lock'][page_id % 5 + 1] WHEN 1 THEN path ELSE project || '/new/' || path END AS path FROM f
-), counted AS (SELECT path, count(*) AS n, min(project) AS file_project FROM f GROUP BY path), owners AS (SELECT DISTINCT project FROM f)
-SELECT changed.path, CASE WHEN n = 1 THEN 'file' WHEN n > 1 OR changed.path IN ('package.json', 'tsconfig.base.json', 'requirements-dev.txt', 'uv.lock') OR owners.project IS NULL THEN 'workspace' ELSE 'project' END AS scope,
-  CASE WHEN n = 1 THEN file_project WHEN n IS NULL AND changed.path NOT IN ('package.json', 'tsconfig.base.json', 'requirements-dev.txt', 'uv.lock') THEN owners.project END AS project
-FROM changed LEFT JOIN counted USING (path) LEFT JOIN owners ON split_part(changed.path, '/', 1) = owners.project
+WITH f AS ({_PAGES}), projects AS (SELECT DISTINCT project, CASE WHEN starts_with(project, 'm.') THEN '' ELSE 'apps/' || project END AS root FROM f
+), placed AS (SELECT node, project, path AS inner_path, CASE WHEN root = '' THEN path ELSE root || '/' || path END AS whole_path FROM f JOIN projects USING (project)
+), changed AS (
+  SELECT DISTINCT CASE page_id % 6 WHEN 0 THEN ['package.json', 'tsconfig.base.json', 'requirements-dev.txt', 'README.md', 'uv.lock'][page_id % 5 + 1] WHEN 1 THEN path WHEN 2 THEN 'apps/' || project || '/new/' || path WHEN 3 THEN 'elsewhere/' || path ELSE 'apps/' || project || '/' || path END AS path FROM f
+), whole AS (SELECT whole_path AS path, count(DISTINCT node) AS n, min(struct_pack(p := project, i := inner_path)) AS first FROM placed GROUP BY 1
+), inside AS (SELECT inner_path AS path, count(DISTINCT node) AS n, count(DISTINCT project) AS projects, min(struct_pack(p := project, i := inner_path)) AS first FROM placed GROUP BY 1
+), owner AS (
+  SELECT path, project, root FROM changed JOIN projects ON root = '' OR path = root OR starts_with(path, root || '/') QUALIFY row_number() OVER (PARTITION BY path ORDER BY length(root) > 0 DESC, project DESC) = 1
+), met AS (
+  SELECT c.path, CASE WHEN w.n > 0 THEN w.n WHEN i.projects = 1 THEN i.n ELSE 0 END AS files, CASE WHEN w.n > 0 THEN w.first ELSE i.first END AS file, coalesce(i.projects, 0) AS projects, o.project, o.root
+  FROM changed c LEFT JOIN whole w USING (path) LEFT JOIN inside i USING (path) LEFT JOIN owner o USING (path)
+), scoped AS (
+  SELECT *, CASE WHEN files = 1 THEN 'file' WHEN path IN ('package.json', 'tsconfig.base.json', 'requirements-dev.txt', 'uv.lock') OR projects > 1 OR root IS NULL THEN 'workspace' ELSE 'project' END AS scope FROM met
+)
+SELECT path, scope, CASE scope WHEN 'file' THEN file.p WHEN 'project' THEN project END AS project, CASE scope WHEN 'file' THEN file.i WHEN 'project' THEN CASE WHEN root = '' THEN path WHEN path = root THEN '' ELSE substr(path, length(root) + 2) END END AS source FROM scoped
 """,
     "source_paths": r"""
-WITH p AS (SELECT page_id, ['src/', 'src/a/b/c/', 'tests/', 'lib/dist/', 'pkg/src/core/', 'public/assets/x-9fA3bC12', 'src/generated/'][page_id % 7 + 1] || regexp_replace(url, '^[a-z]+://[^/]*/|\?.*$', '', 'g') || '.ts' AS p FROM pages),
-a AS (SELECT *, string_split(p, '/')[:-2] AS above FROM p), b AS (SELECT *, list_position(above, 'src') AS k FROM a)
+WITH p AS (SELECT page_id, ['src/', 'src/a/b/c/', 'tests/', 'lib/dist/', 'pkg/src/core/', 'public/assets/x-9fA3bC12', 'src/generated/', 'Integration-Tests/', 'a/Test-Data/', 'spec/', 'xtask/', 'tooling/', 'Snapshots\\', 'a/Scripts/', 'target/'][page_id % 15 + 1]
+  || regexp_replace(url, '^[a-z]+://[^/]*/|\?.*$', '', 'g') || ['.ts', '.test.ts', '.playwright.ts', '_test.py', '_test.go', '.generated.ts', '.SPEC.js'][page_id // 15 % 7 + 1] AS p FROM pages),
+a AS (SELECT *, string_split(p, '/')[:-2] AS above, string_split_regex(lower(p), '[/\\]') AS parts, string_split(lower(p), '/') AS slashed FROM p),
+b AS (SELECT *, list_position(above, 'src') AS k, list_has_any(slashed, ['test', 'tests', '__test__', '__tests__', 'integration-tests', 'fixtures']) OR regexp_matches(slashed[-1], '\.(test|spec|playwright)\.|_test\.(py|rs)$') AS test FROM a)
 SELECT page_id, list_has_any(string_split(p, '/'), ['tests', '__tests__', '__test__', '__mocks__', 'target', 'node_modules', 'dist', 'build', 'coverage', '.git']) AS ignored,
-  CASE WHEN k > 0 AND least(k + 2, len(above)) > k THEN array_to_string(above[:least(k + 2, len(above))], '/') END AS scope, starts_with(p, 'tests/') AS test,
-  CASE WHEN starts_with(p, 'src/generated/') OR starts_with(p, 'lib/dist/') THEN 'generated' WHEN starts_with(p, 'tests/') THEN 'test' ELSE 'maintained' END AS disposition FROM b
+  CASE WHEN k > 0 AND least(k + 2, len(above)) > k THEN array_to_string(above[:least(k + 2, len(above))], '/') END AS scope, test,
+  CASE WHEN list_has_any(parts, ['fixture', 'fixtures', '__fixtures__', 'testdata', 'test-data', 'snapshots']) THEN 'fixture' WHEN list_has_any(parts, ['generated', '__generated__', 'dist', 'build', 'coverage', 'target']) THEN 'generated'
+    WHEN test THEN 'test' WHEN list_has_any(parts, ['tool', 'tools', 'script', 'scripts', 'xtask', 'benches']) THEN 'tooling' ELSE 'maintained' END AS disposition FROM b
 """,
     "symbol_ids": f"""
 WITH f AS (SELECT page_id, 'file/' || replace(replace(project, '~', '~0'), '/', '~1') || '/' || replace(replace(path, '~', '~0'), '/', '~1') AS file FROM ({_PAGES}))

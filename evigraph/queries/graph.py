@@ -15,7 +15,7 @@ WITH = "WITH RECURSIVE " + SQL
 
 
 def _reach(spark: SparkSession, d: str) -> DataFrame:
-    return graph.reachability(derive.edges(spark, d), derive.contexts(spark, d), derive.roots(spark, d))
+    return graph.reachability(derive.edges(spark, d), derive.contexts(spark, d), derive.roots(spark, d), derive.symbols(spark, d))
 
 
 def graph_dangling_edges(spark: SparkSession, d: str) -> DataFrame:
@@ -33,10 +33,8 @@ def reach_roles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reach_targets_supplier(spark: SparkSession, d: str) -> DataFrame:
-    runtime = derive.contexts(spark, d).filter("scope = 'runtime'")
-    roots = derive.roots(spark, d).join(runtime, "context", "left_semi")
     targets = derive.nodes(spark, d).filter("kind = 'supplier' AND node LIKE '%7'").select("node")
-    found = graph.reach_targets(derive.edges(spark, d), roots, targets)
+    found = graph.reach_targets(derive.edges(spark, d), derive.roots(spark, d), targets, derive.contexts(spark, d), derive.symbols(spark, d))
     return found.select("context", "target", F.col("distance").cast("long").alias("distance"), F.col("root_index").cast("long").alias("root_index"), "root")
 
 
@@ -52,12 +50,16 @@ def public_dependency_closure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _findings(spark: SparkSession, d: str) -> DataFrame:
-    files = derive.nodes(spark, d).filter("kind IN ('part', 'supplier', 'customer')").select("node", "project")
-    reached = cut(_reach(spark, d))
-    confidence = findings.node_confidence(files, derive.projects(spark, d), derive.boundaries(spark, d))
-    public = table(spark, d, "part").filter("p_size > 25").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("node"))
-    kinds = findings.reach_findings(files, graph.roles(reached, derive.contexts(spark, d)), derive.roots(spark, d), confidence, public)
-    return findings.reported(kinds)
+    """Findings of files and symbols, and of all that a run needs: who is reached, how surely, and what public symbols lead to."""
+    edges, symbols, roots = derive.edges(spark, d), derive.symbols(spark, d), derive.roots(spark, d)
+    known = cut(derive.nodes(spark, d).filter("kind IN ('part', 'supplier', 'customer', 'order')"))
+    files = known.filter("kind <> 'order'")
+    roles = cut(graph.roles(_reach(spark, d), derive.contexts(spark, d)))
+    confidence = cut(findings.node_confidence(known.select("node", "project", "file", "language"), derive.projects(spark, d), derive.boundaries(spark, d)))
+    needed = findings.public_dependencies(symbols, edges)
+    of_files = findings.reach_findings(files, roles, roots, confidence, needed)
+    of_symbols = findings.symbol_findings(symbols, roles, roots, findings.unreported_files(files, roles), confidence, needed)
+    return findings.reported(of_files.unionByName(of_symbols))
 
 
 def check_code_findings(spark: SparkSession, d: str) -> DataFrame:
@@ -68,6 +70,15 @@ def check_code_summary(spark: SparkSession, d: str) -> DataFrame:
     return _findings(spark, d).groupBy("kind", "confidence").agg(F.count("*").alias("n_findings"), F.sum(F.col("gates").cast("long")).alias("n_gates"))
 
 
+def localized_confidence(spark: SparkSession, d: str) -> DataFrame:
+    known = derive.nodes(spark, d).filter("kind IN ('part', 'supplier', 'customer', 'order')").select("node", "project", "file", "language")
+    return findings.node_confidence(known, derive.projects(spark, d), derive.boundaries(spark, d))
+
+
+def needed_by_public(spark: SparkSession, d: str) -> DataFrame:
+    return findings.public_dependencies(derive.symbols(spark, d), derive.edges(spark, d)).distinct()
+
+
 def project_completeness(spark: SparkSession, d: str) -> DataFrame:
     return findings.worst_completeness(derive.projects(spark, d), derive.boundaries(spark, d))
 
@@ -120,7 +131,7 @@ def quotient_region_deps(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("k")), "o_custkey").join(where, "k")
     owners = orders.select(F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("node"), "owner")
     suppliers = table(spark, d, "supplier").withColumnRenamed("s_nationkey", "k").join(where, "k").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("node"), "owner")
-    return graph.quotient(derive.edges(spark, d).filter("kind = 'lexical_reference'").distinct(), owners.unionByName(suppliers))
+    return graph.quotient(derive.edges(spark, d).distinct(), owners.unionByName(suppliers))
 
 
 def shortest_path_regions(spark: SparkSession, d: str) -> DataFrame:
@@ -137,28 +148,22 @@ def effect_fixpoint(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (graph_dangling_edges, reach_region_witness, reach_roles, reach_targets_supplier, unreachable_parts, public_dependency_closure, check_code_findings, check_code_summary,
+    for f in (graph_dangling_edges, reach_region_witness, reach_roles, reach_targets_supplier, unreachable_parts, public_dependency_closure, check_code_findings, check_code_summary, localized_confidence, needed_by_public,
               project_completeness, khop_both_page, khop_induced_edges, event_cycle_closure, conversation_chain_depth, components_shared_terms, quotient_region_deps, shortest_path_regions, effect_fixpoint)
 }
 
-_FINDINGS = """, files AS (SELECT node, project FROM nodes WHERE kind IN ('part', 'supplier', 'customer')
-), effects AS (
-  SELECT project, max(CASE WHEN node IS NULL THEN o END) AS wide FROM boundaries GROUP BY project
-), own AS (SELECT project, node, max(o) AS o FROM boundaries WHERE node IS NOT NULL GROUP BY project, node
-), confidence AS (
-  SELECT files.node, greatest(CASE WHEN projects.o = 1 AND effects.project IS NULL THEN 1 ELSE 0 END, coalesce(effects.wide, 0), coalesce(own.o, 0)) AS c
-  FROM files JOIN projects USING (project) LEFT JOIN effects USING (project) LEFT JOIN own ON own.project = files.project AND own.node = files.node
+_FINDINGS = """, met AS (
+  SELECT s.node, s.file, s.is_file, roles.roles, c, s.node IN (SELECT node FROM needed) AS needed, s.node IN (SELECT node FROM roots) AS is_root, visibility
+  FROM subjects s LEFT JOIN roles USING (node) LEFT JOIN confidence USING (node) LEFT JOIN symbols USING (node)
 ), kinds AS (
-  SELECT CASE WHEN roles IS NULL THEN 'unreachable_file' WHEN roles = 'test' THEN 'test_only_file' WHEN roles NOT LIKE '%production%' THEN 'tooling_only_file' END AS kind,
-    files.node, coalesce(c, 0) AS c, p_size > 25 AS needed
-  FROM files LEFT JOIN roles USING (node) LEFT JOIN confidence USING (node) LEFT JOIN part ON files.node = 'part/' || p_partkey
-  WHERE files.node NOT IN (SELECT node FROM roots) OR roles IS NULL
-), sure AS (
-  SELECT kind, node, ['high', 'medium', 'low'][1 + CASE WHEN kind = 'unreachable_file' AND coalesce(needed, false) THEN greatest(c, 1) ELSE c END] AS confidence FROM kinds WHERE kind IS NOT NULL
+  SELECT node, CASE WHEN roles IS NOT NULL THEN CASE WHEN roles NOT LIKE '%production%' AND NOT is_root THEN CASE roles WHEN 'test' THEN 'test_only' ELSE 'tooling_only' END END
+    WHEN is_file THEN 'unreachable_file' WHEN visibility IN ('private', 'internal') THEN 'unused_private_symbol' WHEN visibility = 'public' THEN 'unreferenced_public' END AS kind,
+    CASE WHEN needed OR coalesce(visibility = 'public', false) THEN greatest(c, 1) ELSE c END AS c
+  FROM met WHERE is_file OR file IN (SELECT node FROM roles WHERE roles LIKE '%production%')
 ), report AS (
-  SELECT kind, node, confidence, CASE WHEN confidence <> 'high' THEN 'boundary_limited' ELSE 'inferred' END AS evidence,
-    kind IN ('unreachable_file', 'test_only_file') AND confidence = 'high' AS gates,
-    CAST(CASE kind WHEN 'unreachable_file' THEN 0 WHEN 'test_only_file' THEN 1 ELSE 2 END AS BIGINT) AS kind_ord FROM sure
+  SELECT kind, node, ['high', 'medium', 'low'][1 + c] AS confidence, CASE WHEN c > 0 OR kind = 'unreferenced_public' THEN 'boundary_limited' ELSE 'inferred' END AS evidence,
+    kind IN ('unreachable_file', 'unused_private_symbol') AND c = 0 AS gates,
+    list_position(['unreachable_file', 'unused_private_symbol', 'test_only', 'tooling_only', 'unreferenced_public'], kind)::BIGINT - 1 AS kind_ord FROM kinds WHERE kind IS NOT NULL
 )"""
 
 _HOOD = """, both_ways AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges
@@ -176,7 +181,9 @@ UNION ALL SELECT kind, 'dst', count(*) FROM e WHERE dst NOT IN (SELECT node FROM
     "reach_region_witness": WITH + " SELECT context, node, CAST(distance AS BIGINT) AS distance, root_index, root FROM reach",
     "reach_roles": WITH + " SELECT * FROM roles",
     "reach_targets_supplier": WITH + """ SELECT context, node AS target, CAST(distance AS BIGINT) AS distance, root_index, root FROM reach
-WHERE node LIKE 'supplier/%7' AND context IN (SELECT context FROM contexts WHERE scope = 'runtime')""",
+WHERE node LIKE 'supplier/%7'""",
+    "localized_confidence": WITH + " SELECT node, ['high', 'medium', 'low'][1 + c] AS confidence FROM confidence",
+    "needed_by_public": WITH + " SELECT node FROM needed",
     "unreachable_parts": WITH + " SELECT node, project FROM nodes WHERE kind = 'part' AND node NOT IN (SELECT node FROM reach)",
     "public_dependency_closure": WITH + """, public_walk AS (
   SELECT 'customer/' || c_custkey AS node, 0 AS distance FROM customer WHERE c_mktsegment = 'BUILDING'
@@ -200,7 +207,7 @@ SELECT src, dst, CAST(min(hops) AS BIGINT) AS hops FROM w GROUP BY src, dst""",
 ), w AS (
   SELECT conv_id, min(turn) AS turn, 0 AS depth FROM t GROUP BY conv_id UNION SELECT t.conv_id, t.turn, depth + 1 FROM w JOIN t ON t.conv_id = w.conv_id AND t.turn = w.turn + 1
 ) SELECT conv_id, CAST(max(depth) AS BIGINT) AS depth, count(*) AS n_turns FROM w GROUP BY conv_id""",
-    "quotient_region_deps": """WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 45)
+    "quotient_region_deps": """WITH l AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem)
 SELECT 'region/' || a.n_regionkey AS src_owner, 'region/' || b.n_regionkey AS dst_owner, count(*) AS edges
 FROM l JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation a ON a.n_nationkey = c_nationkey
 JOIN supplier ON s_suppkey = l_suppkey JOIN nation b ON b.n_nationkey = s_nationkey WHERE a.n_regionkey <> b.n_regionkey GROUP BY ALL""",

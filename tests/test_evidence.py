@@ -35,11 +35,103 @@ def test_scripts_and_scopes(spark):
     c = F.col("c")
     got = [(r.c, r.r, r.n, r.e) for r in commands.select("c", inventory.runners(c).alias("r"), inventory.no_op(c).alias("n"), inventory.allows_empty(c).alias("e")).collect()]
     assert got == [("ava", ["ava"], False, False), ("echo x", [], True, False), ("echo x; ava", ["ava"], False, False), ("true", [], True, False), ("JEST --passWithNoTests", ["jest"], False, True), ("jest --pass-with-no-tests-x", ["jest"], False, False)]
-    changed = spark.createDataFrame([(p,) for p in ("a/x", "both", "Cargo.toml", "a/Cargo.toml", "own.json", "nobody")], "path string")
-    held = spark.createDataFrame([("a/x", "1", "a"), ("both", "2", "a"), ("both", "3", "b")], "path string, node string, project string")
-    owners = spark.createDataFrame([("a/x", "a"), ("a/Cargo.toml", "a"), ("Cargo.toml", "root"), ("own.json", "root")], "path string, project string")
-    got = {r.path: (r.scope, r.project) for r in inventory.fallback(changed, held, owners, "own.json").collect()}
-    assert got == {"a/x": ("file", "a"), "a/Cargo.toml": ("project", "a"), **{p: ("workspace", None) for p in ("both", "Cargo.toml", "own.json", "nobody")}}
+    scripts = spark.createDataFrame([("test", "make"), ("build", "make"), ("build", "npx JEST"), ("a:test", "\t\n true \u00a0"), ("posttest", "echo a||b"), ("x:test:y", "true")], "name string, command string")
+    got = [tuple(r) for r in inventory.script_inventory(scripts).select("name", "runners", "no_op").collect()]
+    assert got == [("test", ["other"], False), ("build", ["jest"], False), ("a:test", ["other"], True), ("posttest", ["other"], False)]
+
+
+def test_change_scopes(spark):
+    files = spark.createDataFrame([("1", "a", "x"), ("2", "b", "x"), ("3", "b", "y/z"), ("4", "c", "q"), ("5", "c", "pkg/a/own"), ("6", "a", "own")], "node string, project string, path string")
+    projects = spark.createDataFrame([("a", "pkg/a"), ("b", "pkg/b/"), ("c", "."), ("d", "pkg/a/deep")], "project string, root string")
+    want = {
+        "pkg/a/x": ("file", "a", "x"),  # a path from the repository's root
+        "x": ("workspace", None, None),  # two projects have it
+        "y/z": ("file", "b", "y/z"),  # one project has it
+        "q": ("file", "c", "q"),
+        "pkg/a/own": ("project", "a", "own"),  # two files have this path from the root, but no two projects have it inside
+        "pkg/b/new": ("project", "b", "new"), "pkg/a/deep/n/m": ("project", "d", "n/m"), "pkg/b": ("project", "b", ""), "other/file": ("project", "c", "other/file"),
+        "Cargo.toml": ("workspace", None, None), "pkg/b/Cargo.toml": ("project", "b", "Cargo.toml"), "own.json": ("workspace", None, None),
+    }
+    changed = spark.createDataFrame([(p,) for p in [*want, "x"]], "path string")
+    assert {r.path: (r.scope, r.project, r.source) for r in inventory.fallback(changed, files, projects, "own.json").collect()} == want
+    elsewhere = inventory.fallback(spark.createDataFrame([("n/o",)], "path string"), files, projects.filter("root <> '.'")).first()
+    assert (elsewhere.scope, elsewhere.project) == ("workspace", None)
+
+
+def test_tests_and_dispositions(spark):
+    want = {
+        "src/a.playwright.ts": (True, "test"), "integration-tests/a.ts": (True, "test"), "Tests/a.ts": (True, "test"), "spec/a.ts": (False, "maintained"), "test_a.py": (False, "maintained"), "x_test.go": (False, "maintained"),
+        "a/x_TEST.rs": (True, "test"), "a.Spec.ts": (True, "test"), "fixtures/a.ts": (True, "fixture"), "test-data/a": (False, "fixture"), "a/Snapshots/b": (False, "fixture"), "coverage/a": (False, "generated"), "target/a": (False, "generated"),
+        "__generated__/a": (False, "generated"), "a.generated.ts": (False, "maintained"), "xtask/a": (False, "tooling"), "benches/a": (False, "tooling"), "tool/a": (False, "tooling"), "tooling/a": (False, "maintained"),
+        "scripts/a.test.ts": (True, "test"), "win\\build\\a.ts": (False, "generated"), "win\\tests\\a.ts": (False, "maintained"), "latest/a.ts": (False, "maintained"),
+    }
+    rows_ = spark.createDataFrame([(p,) for p in want], "p string").select("p", findings.conventional_test(F.col("p")).alias("t"), findings.disposition(F.col("p")).alias("d")).collect()
+    assert {r.p: (r.t, r.d) for r in rows_} == want
+
+
+NODES = "node string, project string, file string, language string"
+BOUNDARIES = "project string, node string, kind string, effect string"
+
+
+def test_confidence_of_files_and_symbols(spark):
+    names = [("a.ts", "p", "a.ts", "typescript"), ("b.js", "p", "b.js", "javascript"), ("c.py", "p", "c.py", "python"), ("a.ts#f", "p", "a.ts", "typescript"), ("b.js#g", "p", "b.js", "javascript"), ("c.py#h", "p", "c.py", "python")]
+    nodes = spark.createDataFrame([*names, ("r.rs", "q", "r.rs", "rust"), ("r.rs#m", "q", "r.rs", "rust"), ("lost", "none", "lost", "rust"), ("u", "u", "u", None), ("v", "v", "v", None)], NODES)
+    projects = spark.createDataFrame([("p", "complete"), ("q", "unsupported"), ("u", "partial"), ("v", "partial")], "project string, completeness string")
+
+    def sure(*boundaries):
+        return {r.node: r.confidence for r in findings.node_confidence(nodes, projects, spark.createDataFrame(list(boundaries), BOUNDARIES)).collect()}
+
+    none = sure()
+    assert none == {**{n: "high" for n, *_ in names}, "r.rs": "low", "r.rs#m": "low", "lost": "low", "u": "medium", "v": "medium"}
+    assert sure(("v", "elsewhere", "dynamic_import", "partial")) == {**none, "v": "high"}  # a boundary that doesn't bear on it explains a partial project
+    assert sure(("p", "a.ts#f", "dynamic_import", "partial")) == {**none, "a.ts": "medium", "b.js": "medium", "a.ts#f": "medium"}
+    assert sure(("p", "b.js", "reflection", "unsupported")) == {**none, "a.ts": "low", "b.js": "low", "a.ts#f": "low", "b.js#g": "low"}
+    assert sure(("p", "c.py", "unsupported_syntax", "partial")) == {**none, "c.py": "medium", "c.py#h": "medium"}
+    assert sure(("p", "c.py", "unresolved_internal", "partial")) == {**none, "c.py": "medium"}
+    assert sure(("p", None, "reflection", "partial"), ("p", "c.py#h", "unresolved_internal", "unsupported")) == {**none, **{n: "medium" for n, *_ in names}, "c.py": "low", "c.py#h": "low"}
+    assert sure(("q", "r.rs", "macro_expansion", "partial")) == {**none, "r.rs#m": "medium"}  # decides alone for Rust symbols
+
+
+def test_files_and_symbols_that_are_unused(spark):
+    roles = spark.createDataFrame([("prod", "production,test"), ("t", "test"), ("tool", "test,tooling"), ("root", "test"), ("s.used", "production"), ("s.t", "test"), ("s.tp", "tooling"), ("s.root", "test")], "node string, roles string")
+    roots = spark.createDataFrame([("root",), ("s.root",)], "node string")
+    files = spark.createDataFrame([(n,) for n in ("prod", "t", "tool", "root", "gone", "needed")], "node string")
+    sure = spark.createDataFrame([(n, "high") for n in ("t", "tool", "gone", "needed", "s.t", "s.priv")] + [("s.low", "low")], "node string, confidence string")
+    needed = spark.createDataFrame([("t",), ("needed",), ("s.need",)], "node string")
+    assert rows(findings.reach_findings(files, roles, roots, sure, needed), "kind", "node", "confidence") == [("test_only", "t", "medium"), ("tooling_only", "tool", "high"), ("unreachable_file", "gone", "high"), ("unreachable_file", "needed", "medium")]
+    symbols = [("s.used", "public"), ("s.t", "private"), ("s.tp", "public"), ("s.root", "private"), ("s.priv", "private"), ("s.int", "internal"), ("s.need", "internal"), ("s.pub", "public"), ("s.low", "public"), ("s.what", "unknown")]
+    held = spark.createDataFrame([(n, "prod", v) for n, v in symbols] + [("other", "t", "private"), ("third", "gone", "private"), ("fourth", "root", "private")], "node string, file string, visibility string")
+    got = rows(findings.symbol_findings(held, roles, roots, findings.unreported_files(files, roles), sure, needed), "node", "kind", "confidence")
+    assert got == [
+        ("s.int", "unused_private_symbol", "high"), ("s.low", "unreferenced_public", "low"), ("s.need", "unused_private_symbol", "medium"), ("s.priv", "unused_private_symbol", "high"),
+        ("s.pub", "unreferenced_public", "medium"), ("s.t", "test_only", "high"), ("s.tp", "tooling_only", "medium"),
+    ]
+
+
+def test_edges_that_report(spark):
+    nodes = spark.createDataFrame([("a", "p", "typescript"), ("t", "p", "typescript"), ("r", "q", "rust"), ("w", "top", "typescript"), ("x", "q", None), ("b", "p", "svelte")], "node string, project string, language string")
+    projects = spark.createDataFrame([("p", "apps/p", "complete", ["rust", "typescript"]), ("q", "apps/q", "partial", ["rust"]), ("top", ".", "complete", ["typescript"])], "project string, root string, completeness string, languages array<string>")
+    roles = spark.createDataFrame([("t", "test"), ("a", "production")], "node string, roles string")
+    bypass = "workspace_source_bypass"
+    edges = [
+        ("a", "b", bypass, "node"), ("a", "b", "require", "node"), ("t", "b", bypass, "node"), ("t", "b", "dynamic_import", "node"), ("t", "a", bypass, "node"), ("t", "a", "import", "node"), ("w", "a", bypass, "node"), ("a", "w", bypass, "node"),
+        ("a", "pkg", bypass, "unexported_workspace"), ("a", "pkg", bypass, "external"), ("a", "./x", "import", "unresolved_internal"), ("r", "./y", "import", "unresolved_internal"), ("x", "./z", "import", "unresolved_internal"),
+        ("a", "?", "import", "dynamic_unknown"), ("r", "?", "import", "unsupported"), ("nobody", "b", bypass, "node"),
+    ]
+    found = findings.edge_findings(spark.createDataFrame(edges, "src string, dst string, kind string, target_kind string"), nodes, projects, spark.createDataFrame([], BOUNDARIES), roles)
+    assert rows(found, "node", "target", "kind", "confidence", "gates") == sorted([
+        ("a", "b", bypass, "high", True), ("t", "b", bypass, "high", False), ("t", "a", bypass, "high", True), ("w", "a", bypass, "high", False), ("a", "w", bypass, "high", False), ("a", "pkg", "unexported_workspace_import", "high", True),
+        ("a", "./x", "unresolved_internal_edge", "high", True), ("r", "./y", "unresolved_internal_edge", "medium", False), ("x", "./z", "unresolved_internal_edge", "medium", False), ("a", "?", "dynamic_boundary", "high", False), ("r", "?", "dynamic_boundary", "medium", False),
+    ])
+
+
+def test_public_symbols_and_what_they_need(spark):
+    edges = spark.createDataFrame([("p", "a", "import"), ("a", "b", "require"), ("b", "p", "import"), ("p", "c", "contains"), ("p", "d", "re_export"), ("q", "e", "import")], "src string, dst string, kind string")
+    symbols = spark.createDataFrame([("p", "public"), ("q", "private"), ("z", "public")], "node string, visibility string")
+    assert rows(findings.public_dependencies(symbols, edges)) == [("a",), ("b",), ("p",), ("z",)]
+    issues = "node string, file string, issues array<struct<kind:string,line:int>>"
+    directives = spark.createDataFrame([("s", "f", [("x", 3), ("y", 4)]), ("t", "f", []), ("u", "g", [("x", 1)])], issues)
+    assert rows(findings.directive_findings(directives, spark.createDataFrame([("f",)], "node string")), "node", "issue", "line") == [("s", "x", 3), ("s", "y", 4)]
 
 
 def test_declared_paths_and_cycles(spark):

@@ -54,6 +54,32 @@ def test_witness_and_targets_agree(small, spark):
     assert part == {k: v for k, v in full.items() if k[1] in "ea"}
 
 
+def test_symbols_reach_their_files_and_surfaces_backwards(spark):
+    edges = spark.createDataFrame([("s", "t", "import"), ("a", "b", "re_export"), ("b", "c", "re_export"), ("c", "s", "import"), ("x", "s", "import")], "src string, dst string, kind string")
+    contexts = spark.createDataFrame([("open", "public_surface"), ("run", "runtime")], "context string, scope string")
+    roots = spark.createDataFrame([("open", "a"), ("run", "a"), ("run", "x")], "context string, node string")
+    symbols = spark.createDataFrame([("t", "f"), ("s", "g")], "node string, file string")
+    full = {(r.context, r.node): (r.distance, r.root_index, r.root) for r in graph.reachability(edges, contexts, roots, symbols).collect()}
+    assert full["open", "f"] == (3, 0, "a") and full["run", "g"] == (2, 1, "x") and ("run", "b") not in full and full["open", "c"] == (0, 0, "a")
+    targets = spark.createDataFrame([(n,) for n in "fgbs"], "node string")
+    part = {(r.context, r.target): (r.distance, r.root_index, r.root) for r in graph.reach_targets(edges, roots, targets, contexts, symbols).collect()}
+    assert part == {k: v for k, v in full.items() if k[1] in "fgbs"}
+
+
+def test_tables_go_when_nothing_reads_them(spark):
+    from evigraph.plans import iterate
+
+    before = len(iterate._standing)
+    made = iterate.tidied(lambda: iterate.cut(iterate.cut(spark.range(5)).filter("id > 1")))()
+    assert len(iterate._standing) == before + 1 and made.count() == 3
+    laid = iterate.tidied(lambda: iterate.laid_out(spark.range(9), "id").groupBy("id").count())()
+    assert laid.count() == 9 and len(iterate._standing) == before + 2
+    kept, n = iterate.counted_cut(spark.range(7))
+    assert n == 7 == kept.count()
+    iterate.remove_tables(before)
+    assert len(iterate._standing) == before
+
+
 def test_closure_cycles_paths_components(small, spark):
     edges, _, _ = small
     assert {r.node for r in graph.cyclic_nodes(edges).collect()} == {"a", "b", "c"}
@@ -88,7 +114,7 @@ def test_diff_of_equals_is_empty_and_turns_around(spark):
 
 
 def test_ids_and_findings(spark):
-    row = spark.range(1).select(ids.file_id(F.lit("a/b"), F.lit("c~d")).alias("f"), ids.cursor(F.lit(1), F.lit("x/é?")).alias("c"), findings.disposition(F.lit("src/test_x.py")).alias("d")).withColumn("r", ids.read_cursor(F.col("c"))).first()
+    row = spark.range(1).select(ids.file_id(F.lit("a/b"), F.lit("c~d")).alias("f"), ids.cursor(F.lit(1), F.lit("x/é?")).alias("c"), findings.disposition(F.lit("src/x_test.py")).alias("d")).withColumn("r", ids.read_cursor(F.col("c"))).first()
     assert row.f == "file/a~1b/c~0d" and row.r == ["1", "x/é?"] and "=" not in row.c and row.d == "test"
 
 
