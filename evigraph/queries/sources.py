@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..derive import table
-from ..operators import resolution
+from ..operators import resolution, shapes
 
 ENDINGS = (".ts", ".tsx", "/index.js", ".svelte", ".d.ts", ".mjs")
 
@@ -50,7 +50,66 @@ def module_targets(spark: SparkSession, d: str) -> DataFrame:
     return resolution.resolve_modules(imports, modules.unionByName(index), projects, exports, aliases, mapped, present)
 
 
-QUERIES = {f.__name__: f for f in (module_targets,)}
+def named_references(spark: SparkSession, d: str) -> DataFrame:
+    """How many orders refer to each part by its name, within its brand."""
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("scope"), F.col("p_name").alias("name"))
+    said = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("node")).join(part, "node").select("src", "scope", "name")
+    return shapes.named_symbol_edges(said, part).groupBy("dst").agg(F.count("*").alias("n_references"))
+
+
+def customer_shapes(spark: SparkSession, d: str) -> DataFrame:
+    symbols = table(spark, d, "customer").select(F.col("c_custkey").alias("symbol"), F.lower("c_mktsegment").alias("kind"), F.col("c_name").alias("name"), F.concat_ws("  ", F.lit("of"), "c_name", F.col("c_nationkey").cast("string"), "c_name").alias("signature"))
+    children = table(spark, d, "orders").select(F.col("o_custkey").alias("symbol"), F.col("o_orderstatus").alias("kind"), F.concat(F.lit(" "), "o_orderpriority", F.lit("\t\n")).alias("signature"))
+    return shapes.symbol_shapes(symbols, children)
+
+
+VERBS = ("read", "load", "make")
+
+
+def _part_callables(spark: SparkSession, d: str) -> DataFrame:
+    size, brand = F.col("p_size"), F.regexp_replace("p_brand", "#", "")
+    verb = F.get(F.array(*[F.lit(v) for v in VERBS]), (F.col("p_partkey") % 3).cast("int"))
+    name = F.concat_ws("_", verb, F.regexp_replace("p_name", " ", "_"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("symbol"), F.when(size % 2 == 0, "typescript").otherwise("rust").alias("language"), name.alias("name"), F.concat(F.lit("pkg/src/"), brand, F.lit("/f"), (size % 4).cast("string"), F.lit(".ts")).alias("path"), "p_type", "p_size", "p_name", "p_brand")
+
+
+def callable_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as callables: a map of their type and a list of one of two type parameters, to a result by their size."""
+    rows = _part_callables(spark, d)
+    s, size = F.col("symbol").cast("string").alias("signature"), F.col("p_size")
+    signatures = rows.select(F.col("symbol").alias("callable"), s, F.when(size % 3 == 0, "async").otherwise("fn").alias("attributes"))
+    first = F.concat(F.lit("T"), (size % 3).cast("string"))
+    bound = rows.select(s, F.posexplode(F.array(first, F.lit("U"))).alias("place", "name"))
+    plain = size % 7 == 0
+    slot = lambda *v: F.struct(*[c.alias(n) for n, c in zip(("node", "parent", "place", "kind", "value", "slot", "attributes", "name"), v, strict=True)])
+    none, text = F.lit(None).cast("string"), F.split("p_name", " ")
+    typed = F.array(
+        slot(F.lit(0), F.lit(None).cast("int"), F.lit(0), F.lit("map"), none, F.lit("parameter"), F.lit("required"), F.get(text, F.lit(0))), slot(F.lit(1), F.lit(0), F.lit(0), F.lit("named"), F.col("p_type"), none, none, none),
+        slot(F.lit(2), F.lit(0), F.lit(1), F.lit("list"), none, none, none, none), slot(F.lit(3), F.lit(2), F.lit(0), F.lit("type_parameter"), F.when(size % 4 < 2, first).otherwise("U"), none, none, none),
+        slot(F.lit(4), F.lit(None).cast("int"), F.lit(1), F.when(size % 5 == 0, "unit").otherwise("named"), F.when(size % 5 != 0, (size % 5).cast("string")), F.lit("result"), F.lit(""), none),
+    )
+    untyped = F.array(
+        slot(F.lit(0), F.lit(None).cast("int"), F.lit(0), F.lit("unknown"), F.concat(F.lit("missing_annotation:"), F.get(text, F.lit(0))), F.lit("parameter"), F.lit("required"), F.get(text, F.lit(0))),
+        slot(F.lit(4), F.lit(None).cast("int"), F.lit(1), F.lit("unit"), none, F.lit("result"), F.lit(""), none),
+    )
+    types = rows.select(s, F.explode(F.when(plain, untyped).otherwise(typed)).alias("t")).select("signature", "t.*")
+    exact, by_role = (shapes.callable_shapes(signatures, bound, types, roles).withColumnRenamed("callable", "symbol") for roles in (False, True))
+    found = shapes.callable_candidates(rows.select("symbol", "language", "name", "path"), exact, by_role)
+    return found.select("kind", "evidence", "scope", F.array_join("names", ",").alias("names"), F.array_join("shared_terms", ",").alias("shared_terms"), "symbols")
+
+
+FORMS = ("load_{}", "{}_loader", "{}_loading", "{}_parser", "parse_{}", "{}_parsing", "is_load_{}", "ld_{}")
+
+
+def grammar_pairs(spark: SparkSession, d: str) -> DataFrame:
+    words = F.regexp_replace("p_name", " ", "_")
+    path = F.concat(F.lit("pkg/src/"), "p_type", F.lit("/f"), (F.col("p_size") % 4).cast("string"))
+    form = F.coalesce(*[F.when(F.col("symbol") % len(FORMS) == k, F.concat(F.lit(f.split("{}")[0]), words, F.lit(f.split("{}")[1]))) for k, f in enumerate(FORMS)])
+    rows = _part_callables(spark, d).select("symbol", form.alias("name"), "language", F.lit("function").alias("kind"), path.alias("path"), (F.col("p_size") % 6).cast("string").alias("shape"), F.when(F.col("p_size") % 6 < 2, "typed").otherwise("untyped").alias("evidence"))
+    return shapes.grammar_candidates(rows)
+
+
+QUERIES = {f.__name__: f for f in (module_targets, named_references, customer_shapes, callable_candidates, grammar_pairs)}
 
 _EXT = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "svelte"]
 _DECL = ["d.ts", "d.mts", "d.cts"]
@@ -94,5 +153,45 @@ WITH p AS (
     WHEN k IN (0, 1, 12, 17) AND regexp_matches(specifier, '[^/]\.[^./]+$') AND NOT regexp_matches(specifier, '\.(ts|tsx|js|jsx|mjs|cjs|svelte)$') THEN 'unsupported' ELSE 'unresolved_internal' END AS target_kind FROM done
 )
 SELECT host AS project, path, specifier, target_kind, CASE WHEN target_kind = 'node' THEN node ELSE specifier END AS target, target_kind = 'node' AND k IN (9, 15) AND starts_with(other, 'm.') AS bypass FROM kinds
+""",
+    "named_references": """
+WITH said AS (SELECT DISTINCT l_orderkey, p_brand, p_name FROM lineitem JOIN part ON p_partkey = l_partkey)
+SELECT p_partkey AS dst, count(*) AS n_references FROM part JOIN said USING (p_brand, p_name) GROUP BY p_partkey
+""",
+    "customer_shapes": """
+WITH inner_ AS (SELECT o_custkey, string_agg(o_orderstatus || ':' || o_orderpriority, ';' ORDER BY o_orderstatus || ':' || o_orderpriority) AS i FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS symbol, lower(c_mktsegment) || ':of $name ' || c_nationkey || ' ' || c_name || '[' || coalesce(i, '') || ']' AS shape FROM customer LEFT JOIN inner_ ON o_custkey = c_custkey
+""",
+    "callable_candidates": """
+WITH RECURSIVE c AS (
+  SELECT p_partkey AS s, CASE WHEN p_size % 2 = 0 THEN 'typescript' ELSE 'rust' END AS language, ['read', 'load', 'make'][p_partkey % 3 + 1] || '_' || replace(p_name, ' ', '_') AS name, 'pkg/src/' || replace(p_brand, '#', '') AS scope, p_size % 4 AS file, p_size % 7 > 0 AS typed,
+    CASE WHEN p_size % 3 = 0 THEN 'async' ELSE 'fn' END || '|' || CASE WHEN p_size % 7 = 0 THEN 'missing' ELSE p_type || '|' || CASE WHEN p_size % 4 < 2 THEN '$0' ELSE '$1' END || '|' || p_size % 5 END AS role,
+    'T' || p_size % 3 || '|' || split_part(p_name, ' ', 1) AS own, list_distinct(list_filter(string_split(p_name, ' '), lambda x: len(x) >= 3 AND x NOT IN ('and', 'for', 'from', 'the', 'with'))) AS terms FROM part
+), exact AS (
+  SELECT 'exact_callable_shape' AS kind, 'direct' AS evidence, CASE WHEN count(DISTINCT scope) = 1 THEN min(scope) END AS scope, name AS names, '' AS shared_terms, count(*) AS symbols FROM c GROUP BY language, name, role, own HAVING count(DISTINCT (scope, file)) >= 2
+), g AS (SELECT *, language || '|' || role || '|' || scope AS grp FROM c WHERE typed
+), t AS (SELECT DISTINCT grp, s, unnest(terms) AS term FROM g
+), walk AS (
+  SELECT DISTINCT grp, s AS start, s FROM t UNION SELECT walk.grp, walk.start, b.s FROM walk JOIN t a ON a.grp = walk.grp AND a.s = walk.s JOIN t b ON b.grp = a.grp AND b.term = a.term
+), comp AS (SELECT grp, start AS s, min(s) AS component FROM walk GROUP BY grp, start
+), members AS (SELECT comp.grp, component, g.s, name, scope, file, terms FROM comp JOIN g ON g.grp = comp.grp AND g.s = comp.s
+), groups AS (
+  SELECT grp, component, min(scope) AS scope, string_agg(DISTINCT name, ',' ORDER BY name) AS names, count(*) AS symbols FROM members GROUP BY grp, component HAVING count(DISTINCT file) >= 2 AND count(DISTINCT name) >= 2
+), shared AS (
+  SELECT grp, component, string_agg(term, ',' ORDER BY term) AS shared_terms FROM (SELECT grp, component, term FROM (SELECT grp, component, name, unnest(terms) AS term FROM members) GROUP BY ALL HAVING count(DISTINCT name) >= 2) GROUP BY grp, component
+)
+SELECT * FROM exact UNION ALL SELECT 'shared_callable_role_shape', 'inferred', scope, names, coalesce(shared_terms, ''), symbols FROM groups LEFT JOIN shared USING (grp, component)
+""",
+    "grammar_pairs": """
+WITH o AS (
+  SELECT p_partkey % 8 AS k, p_name AS words, CASE WHEN p_size % 2 = 0 THEN 'typescript' ELSE 'rust' END || '|' || p_type || '|' || p_size % 6 AS form, p_size % 6 < 2 AS strong, p_size % 4 AS file FROM part
+), named AS (
+  SELECT words, form, strong, file, CASE WHEN k IN (0, 1, 2) THEN 'load' ELSE 'parse' END AS action, CASE WHEN k IN (0, 4) THEN 'action' WHEN k IN (1, 3) THEN 'actor' ELSE 'result' END AS construction,
+    CASE k WHEN 0 THEN 'load ' || words WHEN 1 THEN words || ' loader' WHEN 2 THEN words || ' loading' WHEN 3 THEN words || ' parser' WHEN 4 THEN 'parse ' || words WHEN 5 THEN words || ' parsing' END AS surface FROM o WHERE k < 6
+), pairs AS (
+  SELECT a.surface AS action_term, b.surface AS alternate_term, b.construction, a.form, bool_or(a.strong) AS strong FROM named a JOIN named b ON a.words = b.words AND a.action = b.action AND a.form = b.form AND a.file <> b.file AND a.construction = 'action' AND b.construction <> 'action' GROUP BY ALL
+)
+SELECT least(action_term, alternate_term) AS term_low, greatest(action_term, alternate_term) AS term_high, action_term, alternate_term, construction, count(*) AS n_shapes, CASE WHEN bool_or(strong) THEN 'strong_advisory' ELSE 'corroborated_advisory' END AS confidence
+FROM pairs GROUP BY action_term, alternate_term, construction
 """,
 }
