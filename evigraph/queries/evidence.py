@@ -121,7 +121,7 @@ def importers_of_symbols(spark: SparkSession, d: str) -> DataFrame:
 
 def package_consumers(spark: SparkSession, d: str) -> DataFrame:
     exports = table(spark, d, "part").select(F.col("p_brand").alias("package"), F.col("p_name").alias("name"), F.col("p_partkey").alias("symbol"), (F.col("p_size") <= 25).alias("public"))
-    asked = _lines(spark, d, "l_returnflag = 'R'").select(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o")).join(exports.select(F.col("symbol").alias("p"), "package", "name"), "p")
+    asked = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p"), F.col("l_orderkey").alias("o")).join(exports.select(F.col("symbol").alias("p"), "package", "name"), "p")
     statements = asked.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("importer")), "o").select("package", "name", "importer")
     return usage.importers(exports, statements, ["package", "name"]).groupBy("symbol").agg(F.count("*").alias("n_consumers"))
 
@@ -351,7 +351,7 @@ WITH said AS (SELECT DISTINCT p_brand, p_type, p_name, l_suppkey FROM lineitem J
 SELECT p_partkey AS symbol, count(*) AS n_importers, min(l_suppkey) AS first_importer FROM part JOIN said USING (p_brand, p_type, p_name) WHERE p_size > 5 GROUP BY p_partkey
 """,
     "package_consumers": """
-WITH said AS (SELECT DISTINCT p_brand, p_name, o_custkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R')
+WITH said AS (SELECT DISTINCT p_brand, p_name, o_custkey FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey)
 SELECT p_partkey AS symbol, count(*) AS n_consumers FROM part JOIN said USING (p_brand, p_name) WHERE p_size <= 25 GROUP BY p_partkey
 """,
     "unused_public_symbols": """

@@ -151,21 +151,21 @@ def glob_subject_match(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _observed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    lines = table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_returnflag", "l_quantity")
-    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
-    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("nation/"), F.col("c_nationkey").cast("string")).alias("context"))
-    seen = lines.filter("l_returnflag = 'R' AND l_quantity >= 48").join(orders, "l_orderkey").join(customer, "o_custkey").select(F.col("l_suppkey").alias("node"), "context").distinct()
-    supplier = table(spark, d, "supplier")
-    said = supplier.filter("s_suppkey % 4 = 1").select(F.col("s_suppkey").alias("node"), F.concat(F.lit("nation/"), F.col("s_nationkey").cast("string")).alias("context"))
-    confidence = F.when(F.col("s_acctbal") < -500, "low").when(F.col("s_acctbal") < 0, "medium").otherwise("high")
-    state = supplier.select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 10 != 9, F.concat(F.lit("project/"), F.col("s_nationkey").cast("string"))).alias("project"), confidence.alias("confidence"))
+    """Orders as symbols: returned lines were seen in their supplier's nation, accepted ones were declared there."""
+    context = lambda key: F.concat(F.lit("nation/"), F.col(key).cast("string")).alias("context")
+    lines = table(spark, d, "lineitem").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey"), "l_suppkey").select(F.col("l_orderkey").alias("node"), context("s_nationkey"), "l_returnflag")
+    seen, said = (lines.filter(F.col("l_returnflag") == flag).select("node", "context").distinct() for flag in ("R", "A"))
+    priority = F.col("o_orderpriority")
+    confidence = F.when(priority == "1-URGENT", "low").when(priority == "2-HIGH", "medium").otherwise("high")
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.concat(F.lit("project/"), F.col("c_nationkey").cast("string")).alias("owner"))
+    state = table(spark, d, "orders").join(customer, "o_custkey").select(F.col("o_orderkey").alias("node"), F.when(priority != "5-LOW", F.col("owner")).alias("project"), confidence.alias("confidence"), F.col("o_orderstatus").alias("status"))
     return seen, said, state
 
 
 def impact_selection(spark: SparkSession, d: str) -> DataFrame:
     seen, said, state = _observed(spark, d)
     nation = table(spark, d, "nation").select(F.concat(F.lit("project/"), F.col("n_nationkey").cast("string")).alias("project"), F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("context"))
-    return impact.impact(state.filter("node % 20 IN (3, 9)"), seen, said, nation, nation.select("context"))
+    return impact.impact(state.filter("status = 'P'"), seen, said, nation, nation.select("context"))
 
 
 def witness_status(spark: SparkSession, d: str) -> DataFrame:
@@ -279,11 +279,12 @@ _CUSTOMERS = f"""before AS (SELECT o_custkey, max(o_orderpriority) AS priority,
   SELECT coalesce(b.o_custkey, a.o_custkey) AS o_custkey, CASE WHEN b.o_custkey IS NULL THEN 'added' WHEN a.o_custkey IS NULL THEN 'removed' ELSE 'changed' END AS change
   FROM before b FULL JOIN after a ON a.o_custkey = b.o_custkey WHERE b.o_custkey IS NULL OR a.o_custkey IS NULL OR b.priority <> a.priority OR b.status <> a.status
 ), named AS (SELECT o_custkey, change, CASE change WHEN 'added' THEN 'additive' WHEN 'removed' THEN 'breaking' ELSE 'review' END AS severity FROM found)"""
-_SEEN = """seen AS (
-  SELECT DISTINCT l_suppkey AS node, 'nation/' || c_nationkey AS context FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey WHERE l_returnflag = 'R' AND l_quantity >= 48
-), said AS (SELECT s_suppkey AS node, 'nation/' || s_nationkey AS context FROM supplier WHERE s_suppkey % 4 = 1
+_SEEN = """lines AS (SELECT DISTINCT l_orderkey AS node, 'nation/' || s_nationkey AS context, l_returnflag FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
+), seen AS (SELECT node, context FROM lines WHERE l_returnflag = 'R'
+), said AS (SELECT node, context FROM lines WHERE l_returnflag = 'A'
 ), state AS (
-  SELECT s_suppkey AS node, CASE WHEN s_suppkey % 10 <> 9 THEN s_nationkey END AS project, CASE WHEN s_acctbal < -500 THEN 'low' WHEN s_acctbal < 0 THEN 'medium' ELSE 'high' END AS confidence FROM supplier)"""
+  SELECT o_orderkey AS node, o_orderstatus AS status, CASE WHEN o_orderpriority <> '5-LOW' THEN c_nationkey END AS project, CASE o_orderpriority WHEN '1-URGENT' THEN 'low' WHEN '2-HIGH' THEN 'medium' ELSE 'high' END AS confidence
+  FROM orders JOIN customer ON c_custkey = o_custkey)"""
 _EVENTS = """raw AS (
   SELECT event_type || '/' || (user_id % 50) AS operation, event_type, user_id, value > 99 AS failed, CAST(json_extract_string(props, '$.k') AS INT) % 10 AS k FROM events
 ), coded AS (SELECT *, CASE WHEN k < 5 THEN 200 WHEN k < 6 THEN 302 WHEN k < 7 THEN 401 WHEN k < 9 THEN 404 ELSE 500 END AS s FROM raw
@@ -349,7 +350,7 @@ SELECT page_id, max_by(root, length(root)) AS root FROM p JOIN r ON path = root
 SELECT l_orderkey, l_linenumber, owner, owner_line FROM m WHERE n = 1""",
     "glob_subject_match": """WITH g(subject, pattern, rx) AS (VALUES ('warm', '*red*', '[^/]*red[^/]*'), ('warm', '*o?ange*', '[^/]*o[^/]ange[^/]*'), ('cold', '*blue*', '[^/]*blue[^/]*'), ('cold', '{navy,sky}*', '(?:navy|sky)[^/]*'),
   ('size', 'part*[0-9]', 'part[^/]*\\[0-9\\]'), ('all', '**', '.*')) SELECT subject, pattern, count(*) AS n_parts FROM part JOIN g ON regexp_full_match(p_name, rx) GROUP BY ALL""",
-    "impact_selection": f"""WITH {_SEEN}, changed AS (SELECT * FROM state WHERE node % 20 IN (3, 9)), every AS (SELECT n_nationkey AS project, 'nation/' || n_nationkey AS context FROM nation)
+    "impact_selection": f"""WITH {_SEEN}, changed AS (SELECT * FROM state WHERE status = 'P'), every AS (SELECT n_nationkey AS project, 'nation/' || n_nationkey AS context FROM nation)
 SELECT context, 'observed' AS reason FROM changed JOIN seen USING (node) UNION SELECT context, 'declared' FROM changed JOIN said USING (node)
 UNION SELECT context, 'project' FROM changed JOIN every USING (project) WHERE confidence = 'medium'
 UNION SELECT context, 'workspace' FROM every WHERE EXISTS (SELECT 1 FROM changed WHERE confidence = 'low' OR project IS NULL)""",
