@@ -92,8 +92,10 @@ def states(bindings: DataFrame, facts: DataFrame, coverage: DataFrame) -> DataFr
     ``coverage``: (feature, level), any number of rows for an adapter. Facts are summed up before they meet bindings.
     """
     summed = facts.groupBy(F.col("target").alias("t"), F.col("binding").alias("b"), F.col("kind").alias("k")).agg(F.count("*").alias("n"), F.sum(F.col("inferred").cast("int")).alias("inferred"))
-    about = (F.col("t") == F.col("target")) & (F.col("b").isNull() | (F.col("b") == F.col("binding")))
-    counted = bindings.join(summed, about).groupBy("binding").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") != F.col("kind"), F.col("n")).otherwise(0)).alias("other"), F.sum("inferred").alias("inferred"))
+    named = bindings.select("binding", "target", "kind")
+    of_all = named.join(summed.filter("b IS NULL"), F.col("t") == F.col("target"))
+    of_one = named.join(summed.filter("b IS NOT NULL"), (F.col("t") == F.col("target")) & (F.col("b") == F.col("binding")))
+    counted = of_all.unionByName(of_one).groupBy("binding").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("k") != F.col("kind"), F.col("n")).otherwise(0)).alias("other"), F.sum("inferred").alias("inferred"))
     covered = coverage.groupBy(F.col("feature").alias("adapter")).agg(F.max(F.col("level").isin("unsupported", "unknown")).alias("lacking"), F.max(F.col("level") == "partial").alias("partial"))
     n = F.coalesce("n", F.lit(0))
     fits = F.when(F.col("cardinality") == "exactly_one", n == 1).when(F.col("cardinality") == "at_most_one", n <= 1).when(F.col("cardinality") == "one_or_more", n >= 1).otherwise(True)
@@ -124,16 +126,16 @@ def exceptions(results: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame
     """
     met = rules.alias("x").join(results.alias("r"), (F.col("x.constraint") == F.col("r.constraint")) & (F.col("x.scope") == F.col("r.scope")), "left")
     fits = F.col("r.result").isNotNull() & (F.col("r.severity") == "error") & F.col("x.approved") & (as_of < F.col("x.expires")) & (F.col("x.version") == F.col("r.version"))
-    first = F.row_number().over(Window.partitionBy("r.result", fits).orderBy("x.exception"))
+    first = met.filter(fits).groupBy(F.col("r.result").alias("held")).agg(F.min("x.exception").alias("first"))  # rules that meet nothing take no part
     state = (
         F.when(~F.col("x.approved"), "rejected")
         .when(as_of >= F.col("x.expires"), "expired")
         .when(F.col("r.result").isNull() | (F.col("r.severity") != "error"), "irrelevant")
         .when(F.col("x.version") != F.col("r.version"), "stale")
-        .when(first > 1, "irrelevant")
+        .when(F.col("x.exception") != F.col("first"), "irrelevant")
         .otherwise("applied")
     )
-    return met.select("r.result", "x.exception", state.alias("state"))
+    return met.join(first, F.col("r.result") == F.col("held"), "left").select("r.result", "x.exception", state.alias("state"))
 
 
 def approved_providers(relations: DataFrame) -> DataFrame:

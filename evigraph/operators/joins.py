@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
+from ..plans.iterate import fresh
 
 #: Patterns that one pass over the paths may try.
 MOST_PATTERNS = 10_000
@@ -18,18 +19,19 @@ def longest_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root:
     """
     parts = F.split(F.col(path), "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
-    keys = paths.columns
-    counted = paths.groupBy(*keys).agg(F.count("*").alias("__copies"))  # equal rows meet the roots once and come back as often as they were
-    each = counted.select("*", F.posexplode(ancestors).alias("__depth", "__at"))
-    met = each.join(roots, each["__at"] == roots[root])
-    best = met.groupBy(*keys, "__copies").agg(F.max(F.struct("__depth", *roots.columns)).alias("__best"))
-    return repeated(best.select(*keys, "__copies", *[F.col(f"__best.{c}").alias(c) for c in roots.columns]))
+    keys, copies, depth, at, best = paths.columns, *(fresh(paths, n) for n in ("copies", "depth", "at", "best"))
+    counted = paths.groupBy(*keys).agg(F.count("*").alias(copies))  # equal rows meet the roots once and come back as often as they were
+    each = counted.select("*", F.posexplode(ancestors).alias(depth, at))
+    held = F.struct(*[F.col(c) for c in roots.columns]).alias(best)
+    met = each.join(roots.select(F.col(root).alias(at), held), at)
+    found = met.groupBy(*keys, copies).agg(F.max(F.struct(F.col(depth), F.col(best))).alias(best))
+    return repeated(found.select(*keys, copies, *[F.col(best)[best][c].alias(c) for c in roots.columns]), copies)
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """Each row as often as its ``__copies`` says."""
-    held = [c for c in rows.columns if c != "__copies"]
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(*held)
+def repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as a column says, without that column."""
+    held, copy = [c for c in rows.columns if c != copies], fresh(rows, "copy")
+    return rows.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))).select(*held)
 
 
 def glob_join(paths: DataFrame, patterns: list[tuple[str, str]], path: str = "path") -> DataFrame:
@@ -71,13 +73,15 @@ def narrowest_interval(points: DataFrame, intervals: DataFrame, keys: list[str],
     Intervals are exploded to the bins they touch and points fall in one bin, so the join is on equality.
     """
     size = F.lit(bin_size) if not isinstance(bin_size, Column) else bin_size
-    bins = intervals.select("*", F.explode(F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))).alias("__bin"))
-    placed = points.groupBy(*points.columns).agg(F.count("*").alias("__copies")).withColumn("__bin", F.floor(F.col(at) / size))
-    met = placed.join(bins, [*keys, "__bin"]).filter(F.col(at).between(F.col(begin), F.col(end)))
+    copies, bin_, best = (fresh(points, n) for n in ("copies", "bin", "best"))
+    width = fresh(intervals, "width")
     held = [c for c in intervals.columns if c not in keys]
-    rank = F.struct((F.col(end) - F.col(begin)).alias("__width"), *order, *[c for c in held if c not in order])
-    best = met.groupBy(*points.columns, "__copies").agg(F.min(rank).alias("__best"))  # a point lies in one bin, so this is done before the shuffle
-    return repeated(best.select(*points.columns, "__copies", *[F.col(f"__best.{c}").alias(c) for c in held]))
+    span = F.struct((F.col(end) - F.col(begin)).alias(width), *order, *[c for c in held if c not in order]).alias(best)
+    bins = intervals.select(*keys, F.explode(F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))).alias(bin_), span)
+    placed = points.groupBy(*points.columns).agg(F.count("*").alias(copies)).withColumn(bin_, F.floor(F.col(at) / size))
+    met = placed.join(bins, [*keys, bin_]).filter(F.col(at).between(F.col(best)[begin], F.col(best)[end]))
+    found = met.groupBy(*points.columns, copies).agg(F.min(best).alias(best))  # a point lies in one bin, so this is done before the shuffle
+    return repeated(found.select(*points.columns, copies, *[F.col(best)[c].alias(c) for c in held]), copies)
 
 
 def full_outer(left: DataFrame, right: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

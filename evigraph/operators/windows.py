@@ -51,30 +51,22 @@ def prune_oldest(entries: DataFrame, most: int) -> DataFrame:
     return day.join(earlier, "day").withColumn("before", before).join(F.broadcast(total)).filter(F.col("total") - F.col("before") > most).select(*entries.columns)
 
 
-def pairwise_cases(sizes: list[int], cap: int) -> tuple[list[tuple[int, ...]], bool]:
-    """Cases of all pairs of dimension values over an all-zero baseline, in a sorted list, and whether the cap left none out.
+def pairwise_cases(dimensions: DataFrame, cap: int) -> DataFrame:
+    """(owner, case, complete): for each owner of dimensions (owner, dimension, size) the cases that try all pairs of values.
 
-    Baseline, then single deviations by dimension, then the grid of each pair of dimensions; the cap stops at the first
-    new case beyond it. Dimensions are few: this is input of a plan, not data.
+    A case is the array of (dimension, value) that differ from the baseline of zeros. First comes the baseline, then each dimension alone, then
+    the grid of each two dimensions; a case counts where it comes first, and the first ``cap`` stay. ``complete`` tells if that is all.
     """
-    base, seen, complete = [0] * len(sizes), {}, True
-
-    def cases():
-        yield ()
-        for d, n in enumerate(sizes):
-            yield from (((d, v),) for v in range(n))
-        for left in range(len(sizes)):
-            for right in range(left + 1, len(sizes)):
-                yield from (((left, a), (right, b)) for a in range(sizes[left]) for b in range(sizes[right]))
-
-    for changes in cases():
-        case = list(base)
-        for d, v in changes:
-            case[d] = v
-        if tuple(case) in seen:
-            continue
-        if len(seen) >= cap:
-            complete = False
-            break
-        seen[tuple(case)] = True
-    return sorted(seen), complete
+    point, count, kind = F.struct(F.col("dimension").alias("d"), F.col("v").alias("v")), dimensions.schema["size"].dataType, dimensions.schema["dimension"].dataType
+    values = lambda size: F.explode(F.when(F.col(size) > 0, F.sequence(F.lit(0).cast(count), F.col(size) - 1)))
+    zero = F.lit(0).cast(count)
+    none, nowhere = F.array().cast(f"array<struct<d:{kind.simpleString()},v:{count.simpleString()}>>"), F.lit(-1).cast(kind)
+    base = dimensions.select("owner").distinct().select("owner", none.alias("points"), F.struct(F.lit(0).alias("turn"), nowhere.alias("l"), nowhere.alias("r"), zero.alias("a"), zero.alias("b")).alias("rank"))
+    single = dimensions.select("owner", "dimension", values("size").alias("v")).select("owner", F.array(point).alias("points"), F.struct(F.lit(1).alias("turn"), F.col("dimension").alias("l"), nowhere.alias("r"), F.col("v").alias("a"), zero.alias("b")).alias("rank"))
+    left, right = (dimensions.select("owner", F.col("dimension").alias(n), F.col("size").alias(f"{n}_size")) for n in ("l", "r"))
+    grid = left.join(right, "owner").filter("l < r").select("owner", "l", "r", values("l_size").alias("a"), "r_size").select("owner", "l", "r", "a", values("r_size").alias("b"))
+    both = F.array(F.struct(F.col("l").alias("d"), F.col("a").alias("v")), F.struct(F.col("r").alias("d"), F.col("b").alias("v")))
+    pairs = grid.select("owner", both.alias("points"), F.struct(F.lit(2).alias("turn"), "l", "r", "a", "b").alias("rank"))
+    cases = base.unionByName(single).unionByName(pairs).select("owner", F.filter("points", lambda x: x["v"] > 0).alias("case"), "rank").groupBy("owner", "case").agg(F.min("rank").alias("rank"))
+    placed = cases.select("owner", "case", F.row_number().over(Window.partitionBy("owner").orderBy("rank")).alias("place"), F.count("*").over(Window.partitionBy("owner")).alias("all"))
+    return placed.filter(F.col("place") <= cap).select("owner", "case", (F.col("all") <= cap).alias("complete"))

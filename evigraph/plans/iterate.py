@@ -109,6 +109,14 @@ def tidied(function: Callable) -> Callable:
     return run
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def any_rows(df: DataFrame) -> bool:
     return bool(df.limit(1).count())
 

@@ -109,18 +109,15 @@ def migration_append(spark: SparkSession, d: str) -> DataFrame:
     return diff.migrations(state("o_orderkey % 3 <> 0 AND o_orderdate < '1998-01-01'"), state("o_orderkey % 5 <> 0"), "name", "digest")
 
 
-CATALOG_BEFORE = "('table', 'a', '1', false, false, false), ('column', 'a.x', '1', false, false, false), ('column', 'a.gone', '1', true, false, false), ('index', 'i1', '1', false, false, true)"
-CATALOG_AFTER = (
-    "('table', 'a', '1', false, false, false), ('table', 'b', '1', false, false, false), ('column', 'a.x', '2', false, false, false), ('column', 'a.n', '1', true, false, false), ('column', 'a.d', '1', false, true, false), "
-    "('column', 'a.r', '1', false, false, false), ('constraint', 'c', '1', false, false, false), ('index', 'i1', '1', false, false, true), ('index', 'i2', '1', false, false, true), ('index', 'i3', '1', false, false, false)"
-)
-
-
 def catalog_diff_rules(spark: SparkSession, d: str) -> DataFrame:
-    def state(values: str) -> DataFrame:
-        return spark.sql(f"SELECT * FROM VALUES {values} AS t(kind, key, digest, nullable, has_default, is_unique)")
+    """Parts as items of a catalog by name and kind: smaller ones before, larger ones after."""
+    kind = F.get(F.array(*[F.lit(k) for k in ("table", "column", "constraint", "index")]), (F.col("p_partkey") % 4).cast("int"))
+
+    def state(where: str) -> DataFrame:
+        rows = table(spark, d, "part").filter(where).groupBy(kind.alias("kind"), F.concat_ws("/", "p_name", "p_type").alias("key"))
+        return rows.agg(F.max("p_size").cast("string").alias("digest"), F.bool_or(F.col("p_brand") < "Brand#2").alias("nullable"), F.bool_or(F.col("p_retailprice") < 950).alias("has_default"), F.bool_and(F.col("p_size") % 2 == 0).alias("is_unique"))
 
-    return diff.catalog_items(state(CATALOG_BEFORE), state(CATALOG_AFTER))
+    return diff.catalog_items(state("p_size <= 30"), state("p_size >= 15"))
 
 
 def unique_match_join(spark: SparkSession, d: str) -> DataFrame:
@@ -226,8 +223,11 @@ def lru_prune(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pairwise_cases(spark: SparkSession, d: str) -> DataFrame:
-    cases, complete = windows.pairwise_cases([3, 4, 2, 3], 40)
-    return spark.createDataFrame([(*c, complete) for c in cases], "a long, b long, c long, d long, complete boolean")
+    """Brands vary their parts' types, sizes and names; the first cases of each brand."""
+    sizes = table(spark, d, "part").groupBy("p_brand").agg(*[F.countDistinct(c).alias(c) for c in ("p_type", "p_size", "p_name")])
+    dimensions = sizes.select(F.col("p_brand").alias("owner"), F.posexplode(F.array("p_type", "p_size", "p_name")).alias("dimension", "size"))
+    case = F.array_join(F.transform("case", lambda x: F.concat_ws("=", x["d"].cast("string"), x["v"].cast("string"))), ",")
+    return windows.pairwise_cases(dimensions, 1_000).select("owner", case.alias("case"), "complete")
 
 
 def json_props(spark: SparkSession, d: str) -> DataFrame:
@@ -333,10 +333,12 @@ FROM b FULL JOIN a ON a.o_custkey = b.o_custkey WHERE b.o_custkey IS NULL OR a.o
 SELECT coalesce(b.name, a.name) AS name, CASE WHEN b.name IS NULL THEN 'added' WHEN a.name IS NULL THEN 'removed' ELSE 'changed' END AS change,
   CASE WHEN b.name IS NULL AND a.name > (SELECT max(name) FROM b) THEN 'additive' ELSE 'breaking' END AS severity
 FROM b FULL JOIN a ON a.name = b.name WHERE b.name IS NULL OR a.name IS NULL OR a.n <> b.n""",
-    "catalog_diff_rules": f"""WITH b AS (SELECT * FROM (VALUES {CATALOG_BEFORE}) t(kind, key, digest, nullable, has_default, is_unique)), a AS (SELECT * FROM (VALUES {CATALOG_AFTER}) t(kind, key, digest, nullable, has_default, is_unique))
+    "catalog_diff_rules": """WITH s AS (SELECT ['table', 'column', 'constraint', 'index'][p_partkey % 4 + 1] AS kind, p_name || '/' || p_type AS key, * FROM part),
+b AS (SELECT kind, key, max(p_size) AS digest, bool_or(p_brand < 'Brand#2') AS nullable, bool_or(p_retailprice < 950) AS has_default, bool_and(p_size % 2 = 0) AS is_unique FROM s WHERE p_size <= 30 GROUP BY ALL),
+a AS (SELECT kind, key, max(p_size) AS digest, bool_or(p_brand < 'Brand#2') AS nullable, bool_or(p_retailprice < 950) AS has_default, bool_and(p_size % 2 = 0) AS is_unique FROM s WHERE p_size >= 15 GROUP BY ALL)
 SELECT coalesce(b.kind, a.kind) AS kind, coalesce(b.key, a.key) AS key, CASE WHEN b.key IS NULL THEN 'added' WHEN a.key IS NULL THEN 'removed' ELSE 'changed' END AS change,
   CASE WHEN b.key IS NULL AND (a.kind = 'table' OR a.kind = 'column' AND (a.nullable OR a.has_default) OR a.kind = 'index' AND NOT a.is_unique) THEN 'additive' ELSE 'breaking' END AS severity
-FROM b FULL JOIN a ON a.kind = b.kind AND a.key = b.key WHERE b.key IS NULL OR a.key IS NULL OR a.digest <> b.digest""",
+FROM b FULL JOIN a ON a.kind = b.kind AND a.key = b.key WHERE b.key IS NULL OR a.key IS NULL OR (a.digest, a.nullable, a.has_default, a.is_unique) <> (b.digest, b.nullable, b.has_default, b.is_unique)""",
     "unique_match_join": """WITH r AS (SELECT p_partkey AS ref, p_size, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS b, CASE WHEN p_partkey % 5 < 3 THEN p_type END AS t FROM part
 ), m AS (SELECT ref, count(p_partkey) AS matches, min(p_partkey) AS o FROM r LEFT JOIN part ON part.p_size = r.p_size AND (b IS NULL OR b = p_brand) AND (t IS NULL OR t = p_type) GROUP BY ref)
 SELECT ref, matches, CASE matches WHEN 1 THEN 'touch' WHEN 0 THEN 'no_static_definition' ELSE 'ambiguous' END AS outcome, CASE WHEN matches = 1 THEN o END AS p_partkey FROM m""",
@@ -374,12 +376,13 @@ FROM sums JOIN hist USING (operation)""",
     "event_totals_rollup": f"WITH {_EVENTS} SELECT event_type AS operation, {_SUMS} FROM rows_ GROUP BY ROLLUP (event_type)",
     "lru_prune": """WITH e AS (SELECT o_orderkey AS path, o_orderdate AS mtime, CAST(floor(o_totalprice) AS BIGINT) AS bytes FROM orders
 ), r AS (SELECT *, sum(bytes) OVER () - coalesce(sum(bytes) OVER (ORDER BY mtime, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM e) SELECT path, bytes FROM r WHERE remaining > 500000000""",
-    "pairwise_cases": """WITH g AS (SELECT 0 AS step, 0::BIGINT AS a, 0::BIGINT AS b, 0::BIGINT AS c, 0::BIGINT AS d, 0 AS x, 0 AS y
-  UNION ALL SELECT 1, i, 0, 0, 0, i, 0 FROM range(3) t(i) UNION ALL SELECT 2, 0, i, 0, 0, i, 0 FROM range(4) t(i) UNION ALL SELECT 3, 0, 0, i, 0, i, 0 FROM range(2) t(i) UNION ALL SELECT 4, 0, 0, 0, i, i, 0 FROM range(3) t(i)
-  UNION ALL SELECT 5, i, j, 0, 0, i, j FROM range(3) t(i), range(4) u(j) UNION ALL SELECT 6, i, 0, j, 0, i, j FROM range(3) t(i), range(2) u(j) UNION ALL SELECT 7, i, 0, 0, j, i, j FROM range(3) t(i), range(3) u(j)
-  UNION ALL SELECT 8, 0, i, j, 0, i, j FROM range(4) t(i), range(2) u(j) UNION ALL SELECT 9, 0, i, 0, j, i, j FROM range(4) t(i), range(3) u(j) UNION ALL SELECT 10, 0, 0, i, j, i, j FROM range(2) t(i), range(3) u(j)
-), f AS (SELECT a, b, c, d, min(struct_pack(step := step, x := x, y := y)) AS first FROM g GROUP BY a, b, c, d), n AS (SELECT *, row_number() OVER (ORDER BY first) AS place, count(*) OVER () AS total FROM f)
-SELECT a, b, c, d, total <= 40 AS complete FROM n WHERE place <= 40""",
+    "pairwise_cases": """WITH z AS (SELECT p_brand AS owner, count(DISTINCT p_type) AS n0, count(DISTINCT p_size) AS n1, count(DISTINCT p_name) AS n2 FROM part GROUP BY p_brand),
+g AS (SELECT owner, 0 AS turn, 0 AS l, 0 AS r, 0 AS a, 0 AS b FROM z
+  UNION ALL SELECT owner, 1, 0, 0, i, 0 FROM z, range(n0) t(i) UNION ALL SELECT owner, 1, 1, 0, i, 0 FROM z, range(n1) t(i) UNION ALL SELECT owner, 1, 2, 0, i, 0 FROM z, range(n2) t(i)
+  UNION ALL SELECT owner, 2, 0, 1, i, j FROM z, range(n0) t(i), range(n1) u(j) UNION ALL SELECT owner, 2, 0, 2, i, j FROM z, range(n0) t(i), range(n2) u(j) UNION ALL SELECT owner, 2, 1, 2, i, j FROM z, range(n1) t(i), range(n2) u(j)
+), c AS (SELECT owner, concat_ws(',', CASE WHEN turn > 0 AND a > 0 THEN l || '=' || a END, CASE WHEN turn = 2 AND b > 0 THEN r || '=' || b END) AS "case", struct_pack(turn, l, r, a, b) AS rank FROM g
+), f AS (SELECT owner, "case", min(rank) AS rank FROM c GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY owner ORDER BY rank) AS place, count(*) OVER (PARTITION BY owner) AS total FROM f)
+SELECT owner, "case", total <= 1000 AS complete FROM n WHERE place <= 1000""",
     "json_props": "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS sum_k, count(json_extract_string(props, '$.k')) AS n_k FROM events GROUP BY event_type",
     "stable_ids": "SELECT p_partkey, sha256('part/1|' || strlen(p_brand) || ':' || p_brand || '|' || strlen(p_name) || ':' || p_name) AS id FROM part",
     "project_language_counts": "SELECT source, count(*) FILTER (lang = 'de') AS de, count(*) FILTER (lang = 'en') AS en, count(*) FILTER (lang = 'es') AS es, count(*) FILTER (lang = 'fr') AS fr FROM documents GROUP BY source",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +40,8 @@ def artifacts(rows: DataFrame, body: list[str], path: str) -> DataFrame:
     try:
         known = spark.read.parquet(path).select("content_digest")
         named = named.join(known, "content_digest", "left_anti")
-    except Exception as e:  # nothing is stored yet
-        if "PATH_NOT_FOUND" not in str(e):
+    except AnalysisException as e:  # nothing is stored yet
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
     named.write.mode("append").partitionBy("shard").parquet(path)
     return spark.read.parquet(path)

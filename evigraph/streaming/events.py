@@ -18,7 +18,21 @@ def folded(events: DataFrame, operation: str) -> DataFrame:
     return events.groupBy(operation).agg(*outcome_sums()).withColumn("coverage", coverage())
 
 
-def start(events: DataFrame, operation: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the fold's current rows in the table ``name``; what is in the folder now is read and the query ends."""
-    out = folded(events, operation).writeStream.outputMode("complete").format("memory").queryName(name)
+def start(events: DataFrame, operation: str, path: str, checkpoint: str) -> StreamingQuery:
+    """Writes the fold's rows after each batch to a folder of that batch's number; what is in the folder now is read and the query ends.
+
+    A batch that is run again after a failure overwrites its own folder. The rows stay on the executors.
+    """
+
+    def store(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch:012}")
+
+    out = folded(events, operation).writeStream.outputMode("complete").foreachBatch(store)
     return out.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The fold after the last batch."""
+    rows = spark.read.parquet(path)
+    last = rows.agg({"batch": "max"}).first()[0]
+    return rows.filter(rows["batch"] == last).drop("batch")

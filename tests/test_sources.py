@@ -51,10 +51,28 @@ def test_openapi():
     assert http.schema_digest({}, {"type": "x", "title": "a"}) == http.schema_digest({}, {"title": "b", "type": "x"})
 
 
-def test_pairwise_cap():
-    cases, complete = windows.pairwise_cases([2, 2, 2], 100)
-    assert complete and len(cases) == 7 and cases[0] == (0, 0, 0)
-    assert windows.pairwise_cases([2, 2], 3) == ([(0, 0), (0, 1), (1, 0)], False)
+def plain_pairwise(sizes, cap):
+    """Cases in the order they come, as sets of (dimension, value)."""
+    seen = []
+    steps = [[()]] + [[((d, v),) for v in range(n)] for d, n in enumerate(sizes)]
+    steps += [[((l, a), (r, b)) for a in range(sizes[l]) for b in range(sizes[r])] for l in range(len(sizes)) for r in range(l + 1, len(sizes))]
+    for step in steps:
+        for changes in step:
+            case = tuple(c for c in changes if c[1])
+            if case not in seen:
+                seen.append(case)
+    return set(seen[:cap]), len(seen) <= cap
+
+
+@pytest.mark.parametrize("cap", [1, 3, 9, 40, 1_000])
+def test_pairwise_cases(spark, cap):
+    owners = {"a": [3, 4, 2, 3], "b": [2, 2], "c": [1], "d": [5, 1, 2]}
+    rows = spark.createDataFrame([(o, d, n) for o, sizes in owners.items() for d, n in enumerate(sizes)], "owner string, dimension int, size long")
+    got = {}
+    for r in windows.pairwise_cases(rows, cap).collect():
+        got.setdefault((r.owner, r.complete), set()).add(tuple((x.d, x.v) for x in r.case))
+    assert got == {(o, plain_pairwise(sizes, cap)[1]): plain_pairwise(sizes, cap)[0] for o, sizes in owners.items()}
+
 
 
 def test_text_functions(spark):
