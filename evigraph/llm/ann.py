@@ -3,6 +3,8 @@
 Equal vectors are one class first, with its smallest ids, so copies never meet each other. Unit vectors go through
 pseudo-rotations (random signs and fast Hadamard transforms, three times) to the nearest signed axis; a few tables of
 such cells are built, with a second hash when the classes are many, so that cells keep their size as the data grows.
+How many tables is measured: on a bounded sample the true neighbours are known, and tables are added until enough of them
+are met. Neighbours among all classes are nearer than those within a sample, so more of them are met.
 Queries probe the nearest axes of each table; what a cell holds is reranked by exact distance in double precision.
 Cells above a size are split, and their queries repeated for each part, so no cell has to fit one task. Queries whose
 cells hold fewer ids than are asked for are compared with all vectors of their length, in blocks.
@@ -24,7 +26,11 @@ from pyspark.sql import functions as F
 
 from .common import cut, seeded, small
 
-TABLES = 10  # for each hash that a cell takes
+#: Tables at first and at most; they double until RECALL of the neighbours within a sample is found.
+TABLES, MOST_TABLES = 10, 160
+RECALL = 0.95
+#: Classes that the number of tables is measured on, and queries among them.
+SAMPLE, SAMPLE_QUERIES = 8_000, 200
 #: Axes that a query probes in each hash.
 PROBES = 8
 #: Classes that a cell is meant to hold; a part of a split cell holds at most about CELL_PART.
@@ -62,13 +68,33 @@ def axes_for(count: int, size: int) -> list[int]:
     return out or [1]
 
 
-def cells(x: np.ndarray, axes: list[int], probes: int) -> np.ndarray:
+def tables_for(x: np.ndarray, axes: list[int], k: int, recall: float = RECALL) -> int:
+    """The least number of tables, doubled from TABLES, in which so large a share of the ``k`` nearest among the rows of ``x`` are met."""
+    queries = np.linspace(0, len(x) - 1, min(len(x), SAMPLE_QUERIES)).astype(int)
+    tables = TABLES * len(axes)
+    if len(x) <= k + 1:
+        return tables
+    d = ((x[queries] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[queries] @ x.T)
+    d[np.arange(len(queries)), queries] = np.inf
+    near = np.argpartition(d, k, axis=1)[:, :k]
+    met, done = np.zeros(near.shape, dtype=bool), 0
+    while True:
+        own, probed = cells(x, axes, 1, tables, done), cells(x[queries], axes, PROBES, tables, done)
+        probed = probed.reshape(len(queries), tables - done, -1)
+        for t in range(tables - done):
+            met |= (own[near, t][:, :, None] == probed[:, t][:, None, :]).any(axis=2)
+        if met.mean() >= recall or tables >= MOST_TABLES:
+            return tables
+        tables, done = 2 * tables, tables
+
+
+def cells(x: np.ndarray, axes: list[int], probes: int, tables: int, first: int = 0) -> np.ndarray:
     """For each vector and table the cells of its nearest ``probes`` signed axes per hash, best first in each."""
     full = 1 << max(0, (x.shape[1] - 1).bit_length())
     padded = np.zeros((len(x), full), dtype=np.float32)
     padded[:, : x.shape[1]] = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     out = []
-    for table in range(TABLES * len(axes)):
+    for table in range(first, tables):
         found = np.full((len(x), 1), table, dtype=np.int64)
         for k, kept in enumerate(axes):
             y = _rotated(padded, seeded(SEED, full, table, k))[:, :kept]
@@ -100,6 +126,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
     asked = queries.select("class", "v").distinct()
     counts = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count("*").alias("n")).collect()}  # one row a vector length
     axes = {size: axes_for(n, size) for size, n in counts.items()}
+    share = min(1.0, SAMPLE / max(1, sum(counts.values())))
+    drawn = classes.filter(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share * (1 << 30)).select("size", "v").toArrow()  # about SAMPLE rows
+    sampled: dict[int, list[np.ndarray]] = {size: [] for size in counts}
+    for batch in drawn.to_batches():
+        for size, v in zip(batch.column(0).to_pylist(), _vectors(batch.column(1)), strict=True):
+            sampled[size].append(v)
+    tables = {size: tables_for(np.stack(x) if x else np.zeros((0, size)), axes[size], k) for size, x in sampled.items()}
+    kind_of_number = "<f4" if vectors.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
 
     def hashed(probes: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,10 +143,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
                 found: list = [None] * len(vectors_)
                 for size in np.unique(sizes):
                     at = np.flatnonzero(sizes == size)
-                    got = cells(np.stack([vectors_[i] for i in at]), axes[int(size)], probes)
+                    got = cells(np.stack([vectors_[i] for i in at]), axes[int(size)], probes, tables[int(size)])
                     for i, row in zip(at, got, strict=True):
                         found[i] = row
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype("<f8").tobytes() for v in vectors_], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "v", "cells"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.astype(kind_of_number).tobytes() for v in vectors_], pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["id", "v", "cells"])
 
         return run
 
@@ -128,9 +162,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, vec_id: str = "ve
         out_q, out_c, out_d = [], [], []
         if left.num_rows and right.num_rows:
             ids = right.column("id").to_numpy()
-            x = np.frombuffer(b"".join(right.column("v").to_pylist()), dtype="<f8").reshape(len(ids), -1)
+            x = np.frombuffer(b"".join(right.column("v").to_pylist()), dtype=kind_of_number).reshape(len(ids), -1).astype(np.float64)
             for q, v in zip(left.column("id").to_pylist(), left.column("v").to_pylist(), strict=True):
-                d = np.sqrt(((x - np.frombuffer(v, dtype="<f8")) ** 2).sum(axis=1))
+                d = np.sqrt(((x - np.frombuffer(v, dtype=kind_of_number).astype(np.float64)) ** 2).sum(axis=1))
                 if len(d) > k + 1:
                     at = np.flatnonzero(d <= np.partition(d, k)[k])
                     at = at[np.lexsort((ids[at], d[at]))][: k + 1]

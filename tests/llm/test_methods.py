@@ -73,6 +73,7 @@ def test_short_lists_are_completed(spark, monkeypatch):
     """Cells of many hashes hold next to nothing: lists that would be short come from all vectors, whatever the blocks."""
     monkeypatch.setattr(ann, "axes_for", lambda count, size: [64, 64, 64])
     monkeypatch.setattr(ann, "TABLES", 1)
+    monkeypatch.setattr(ann, "MOST_TABLES", 1)
     monkeypatch.setattr(ann, "PROBES", 1)
     monkeypatch.setattr(ann, "CELL_PART", 70)
     x = np.random.default_rng(5).normal(size=(300, 64))
@@ -86,15 +87,23 @@ def test_short_lists_are_completed(spark, monkeypatch):
         assert [got[q, k] for k in range(1, 11)] == np.lexsort((np.arange(300), d))[:10].tolist()
 
 
-def test_tables_grow_with_the_hashes():
-    x = np.random.default_rng(7).normal(size=(2000, 64)).astype(np.float32)
-    one, two = ann.axes_for(10_000, 64), ann.axes_for(2_200_000, 64)
-    assert len(one) == 1 and ann.cells(x[:5], one, 1).shape[1] == ann.TABLES
-    held, asked = ann.cells(x, two, 1), ann.cells(x[:50], two, ann.PROBES).reshape(50, 2 * ann.TABLES, -1)
-    assert len(two) == 2 and held.shape[1] == 2 * ann.TABLES
-    near = x + np.random.default_rng(8).normal(size=x.shape).astype(np.float32) * 0.5
-    met = ann.cells(near[:50], two, 1)
-    assert sum((asked[i] == met[i][:, None]).any() for i in range(50)) >= 45
+def test_tables_grow_until_neighbours_are_met(spark, monkeypatch):
+    """With the two hashes of millions of vectors, neighbours without any clusters are still met."""
+    two = ann.axes_for(2_200_000, 64)
+    assert len(ann.axes_for(10_000, 64)) == 1 and len(two) == 2
+    x = np.random.default_rng(7).normal(size=(3_000, 64)).astype(np.float32)
+    assert ann.tables_for(x, two, 10) > ann.TABLES * 2 == ann.tables_for(x[:5], two, 10)
+    monkeypatch.setattr(ann, "axes_for", lambda count, size: two)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in ann.nearest(frame, F.col("vec_id") % 150 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 150):
+        d = ((x.astype(np.float64) - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 10 * 20
 
 
 def test_permutations_and_formats():
