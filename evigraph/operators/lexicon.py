@@ -156,3 +156,34 @@ def sibling_pairs(members: DataFrame, most: int) -> DataFrame:
     right = inside.select("key", F.col("member").alias("other"), F.col("item").alias("right"), F.col("r").alias("s"))
     at = F.col("before") + (F.col("r") - 1) * F.col("m") + F.col("s")
     return left.join(right, ["key", "other"]).filter(at <= most).select("key", "left", "right")
+
+
+def repository_relationships(terms: DataFrame, owners: DataFrame, domain: DataFrame, general: DataFrame, distinct_concepts: DataFrame, never_suggest: DataFrame) -> DataFrame:
+    """(basis, terms, concepts, n_subjects, n_evidence, n_domain, n_general): what ties the terms that several kinds of subjects use.
+
+    ``terms``: (term, subject, owner); ``owners``: (term, concept), one a term; ``domain`` and ``general``: (a, b, relation) between terms;
+    the last two: (a, b, reason), pairs of concepts or terms that are not suggested. exact_normalized_term: one term of two kinds of
+    subjects. declared_concept: two terms or more of a concept, of two kinds. pinned_domain_relation: two terms that a
+    relation pins, one of them used by a kind of subject that the other has besides or instead. Terms are summed up by subject before any join, so a
+    relation meets one row a term, however often that is used.
+    """
+    empty, low, high = F.array().cast("array<string>"), *pair(F.col("a"), F.col("b"))
+    used = cut(terms.groupBy("term", "subject").agg(F.count("*").alias("n")))
+    by_term = cut(used.groupBy("term").agg(F.collect_set("subject").alias("subjects"), F.sum("n").alias("n")).join(owners.select("term", "concept"), "term", "left"))
+    concepts_of = lambda *c: F.array_sort(F.array_distinct(F.array_compact(F.array(*c))))
+    exact = by_term.filter(F.size("subjects") >= 2).select(F.lit("exact_normalized_term").alias("basis"), F.array("term").alias("terms"), concepts_of("concept").alias("concepts"), F.size("subjects").alias("n_subjects"), F.col("n").alias("n_evidence"), F.lit(0).cast("long").alias("n_domain"), F.lit(0).cast("long").alias("n_general"))
+    held = by_term.filter("concept IS NOT NULL").groupBy("concept").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.array_distinct(F.flatten(F.collect_list("subjects"))).alias("subjects"), F.sum("n").alias("n"))
+    declared = held.filter((F.size("terms") >= 2) & (F.size("subjects") >= 2)).select(F.lit("declared_concept").alias("basis"), "terms", F.array("concept").alias("concepts"), F.size("subjects").alias("n_subjects"), F.col("n").alias("n_evidence"), F.lit(0).cast("long").alias("n_domain"), F.lit(0).cast("long").alias("n_general"))
+
+    def counted(rows: DataFrame, name: str) -> DataFrame:
+        return rows.select(low.alias("low"), high.alias("high"), "relation").distinct().groupBy("low", "high").agg(F.count("*").alias(name))
+
+    ends = [by_term.select(F.col("term").alias(end), F.col("subjects").alias(f"{end}_subjects"), F.col("n").alias(f"{end}_n"), F.col("concept").alias(f"{end}_concept")) for end in ("low", "high")]
+    met = counted(domain, "n_domain").join(ends[0], "low").join(ends[1], "high").join(counted(general, "n_general"), ["low", "high"], "left")
+    alone = (F.size("low_subjects") == 1) & (F.size("high_subjects") == 1) & (F.get("low_subjects", F.lit(0)) == F.get("high_subjects", F.lit(0)))
+    named = met.filter(~alone).withColumn("candidate", F.concat_ws("\x1f", "low", "high"))
+    two = (F.col("low_concept") != F.col("high_concept")) & F.col("low_concept").isNotNull() & F.col("high_concept").isNotNull()
+    asked = named.select("candidate", F.col("low").alias("term_a"), F.col("high").alias("term_b"), F.when(two, F.col("low_concept")).alias("concept_a"), F.when(two, F.col("high_concept")).alias("concept_b"))
+    left = named.join(suppressions(asked, distinct_concepts, never_suggest).select("candidate"), "candidate", "left_anti")
+    pinned = left.select(F.lit("pinned_domain_relation").alias("basis"), F.array("low", "high").alias("terms"), concepts_of("low_concept", "high_concept").alias("concepts"), F.size(F.array_union("low_subjects", "high_subjects")).alias("n_subjects"), (F.col("low_n") + F.col("high_n")).alias("n_evidence"), "n_domain", F.coalesce("n_general", F.lit(0)).cast("long").alias("n_general"))
+    return exact.withColumn("terms", F.coalesce("terms", empty)).unionByName(declared).unionByName(pinned)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import union_all
+from . import graph
 
 
 def importers(symbols: DataFrame, statements: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,3 +69,26 @@ def resolve_targets(queries: DataFrame, files: DataFrame, projects: DataFrame, s
     result = asked.select("query").join(best, "query", "left").withColumn("outcome", outcome)
     settled = F.col("outcome") == "resolved"
     return result.select("query", "outcome", F.when(settled, F.col("n_nodes")).otherwise(0).cast("long").alias("n_nodes"), F.when(settled, F.col("node")).alias("node"))
+
+
+def dependency_types(selected: DataFrame, references: DataFrame, requests: DataFrame, exports: DataFrame, reexports: DataFrame) -> DataFrame:
+    """(package, symbol, distance): symbols of other packages that the selected ones (package, symbol) need in their types.
+
+    ``references``: (package, symbol, target) inside a package; ``requests``: (package, symbol, to_package, imported) for names of local
+    packages; ``exports``: (package, name, symbol); ``reexports``: (package, name, to_package, imported), names that a package hands on under
+    another or the same name. Symbols and exported names are the nodes of one graph, so following them is its expansion: each pair
+    of package and name is looked at once.
+    """
+    node = lambda kind, package, name: F.struct(F.lit(kind).alias("kind"), F.col(package).alias("package"), F.col(name).alias("name"))
+    step = lambda rows, src, dst: rows.select(src.alias("src"), dst.alias("dst"))
+    steps = union_all(
+        [
+            step(references, node("symbol", "package", "symbol"), node("symbol", "package", "target")),
+            step(requests, node("symbol", "package", "symbol"), node("name", "to_package", "imported")),
+            step(exports, node("name", "package", "name"), node("symbol", "package", "symbol")),
+            step(reexports, node("name", "package", "name"), node("name", "to_package", "imported")),
+        ]
+    ).distinct()
+    own = selected.select("package").distinct()
+    found = graph.expand(selected.select(node("symbol", "package", "symbol").alias("node")).distinct(), steps, [], [])
+    return found.filter("node.kind = 'symbol'").select("node.package", F.col("node.name").alias("symbol"), "distance").join(own, "package", "left_anti")

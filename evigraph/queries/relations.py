@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..derive import table
@@ -42,6 +42,22 @@ def cross_subject_terms(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.shared_terms(_subject_terms(spark, d))
 
 
+def term_relationships(spark: SparkSession, d: str) -> DataFrame:
+    """What ties the terms of documents, pages and conversations: the terms themselves, stems as concepts, and that one follows another in its place of the alphabet."""
+    terms = _subject_terms(spark, d)
+    shown = terms.select("term").distinct()
+    owners = shown.select("term", F.substring("term", 1, 4).alias("concept")).filter(F.length("term") % 2 == 0)
+    following = shown.select(F.col("term").alias("b"), F.lead("term").over(Window.partitionBy(F.substring("term", 1, 2)).orderBy("term")).alias("a")).filter("a IS NOT NULL")
+    rhyming = following.filter(F.substring("a", -1, 1) == F.substring("b", -1, 1))
+    domain = following.withColumn("relation", F.lit("follows")).unionByName(rhyming.withColumn("relation", F.lit("rhymes")))
+    general = following.filter(F.length("a") == F.length("b")).withColumn("relation", F.lit("as long"))
+    never = following.filter(F.length("a") > F.length("b") + 4).withColumn("reason", F.lit("length"))
+    apart = owners.alias("x").join(following, F.col("x.term") == F.col("a")).join(owners.alias("y"), F.col("y.term") == F.col("b")).filter(F.col("x.concept").startswith("t") & (F.col("x.concept") != F.col("y.concept")))
+    distinct = apart.select(F.least("x.concept", "y.concept").alias("a"), F.greatest("x.concept", "y.concept").alias("b")).distinct().withColumn("reason", F.lit("declared"))
+    found = lexicon.repository_relationships(terms, owners, domain, general, distinct, never)
+    return found.select("basis", F.array_join("terms", ",").alias("terms"), F.array_join("concepts", ",").alias("concepts"), F.col("n_subjects").cast("long").alias("n_subjects"), "n_evidence", "n_domain", "n_general")
+
+
 def evidence_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return windows.round_robin(_subject_terms(spark, d), ["term"], "subject", ["owner"], 4).select("term", "subject", "owner", F.col("pick").cast("long").alias("pick"))
 
@@ -252,7 +268,7 @@ def worst_of_and_first_docs(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        term_usage, name_collisions, shape_aliases, cross_subject_terms, evidence_round_robin, sibling_nominations, grammar_anchors, term_windows, url_route_inventory, contract_set_diff,
+        term_usage, term_relationships, name_collisions, shape_aliases, cross_subject_terms, evidence_round_robin, sibling_nominations, grammar_anchors, term_windows, url_route_inventory, contract_set_diff,
         baseline_diff_orders, diff_summary, http_diff, migration_append, catalog_diff_rules, unique_match_join, owning_prefix, point_in_interval, glob_subject_match, impact_selection,
         witness_status, duplicate_scripts, constraint_exactly_one, conformance_states, exception_asof, event_fold_ops, event_totals_rollup, lru_prune, pairwise_cases, json_props,
         stable_ids, project_language_counts, worst_of_and_first_docs,
@@ -297,6 +313,19 @@ ORACLE_SQL = {
     "name_collisions": "SELECT p_name, count(DISTINCT p_type || '/' || p_size) AS n_shapes, count(DISTINCT p_brand) AS n_files FROM part GROUP BY p_name HAVING n_shapes >= 2 AND n_files >= 2",
     "shape_aliases": "SELECT p_type || '/' || p_size AS shape, count(DISTINCT p_name) AS n_names, min(p_name) AS first_name, max(p_name) AS last_name FROM part GROUP BY ALL HAVING count(DISTINCT p_name) >= 2",
     "cross_subject_terms": _SUBJECTS + " SELECT term, count(DISTINCT subject) AS n_subjects, string_agg(DISTINCT subject, ',' ORDER BY subject) AS subjects, count(*) AS n_evidence FROM terms GROUP BY term HAVING count(DISTINCT subject) >= 2",
+    "term_relationships": _SUBJECTS + """, used AS (SELECT term, list(DISTINCT subject) AS subjects, count(*) AS n FROM terms GROUP BY term
+), owned AS (SELECT *, CASE WHEN length(term) % 2 = 0 THEN term[1:4] END AS concept FROM used
+), f AS (SELECT * FROM (SELECT term AS low, lead(term) OVER (PARTITION BY term[1:2] ORDER BY term) AS high FROM used) WHERE high IS NOT NULL
+), apart AS (
+  SELECT DISTINCT least(x.concept, y.concept) AS a, greatest(x.concept, y.concept) AS b FROM f JOIN owned x ON x.term = f.high JOIN owned y ON y.term = f.low WHERE starts_with(x.concept, 't') AND x.concept <> y.concept
+), met AS (
+  SELECT l.term AS low, h.term AS high, l.subjects AS ls, h.subjects AS hs, l.n + h.n AS n, l.concept AS lc, h.concept AS hc, 1 + (l.term[-1:] = h.term[-1:])::INT AS n_domain, (length(l.term) = length(h.term))::INT AS n_general
+  FROM f JOIN owned l ON l.term = f.low JOIN owned h ON h.term = f.high
+)
+SELECT 'exact_normalized_term' AS basis, term AS terms, coalesce(concept, '') AS concepts, len(subjects) AS n_subjects, n AS n_evidence, 0::BIGINT AS n_domain, 0::BIGINT AS n_general FROM owned WHERE len(subjects) >= 2
+UNION ALL SELECT 'declared_concept', string_agg(term, ',' ORDER BY term), concept, len(list_distinct(flatten(list(subjects)))), sum(n)::BIGINT, 0, 0 FROM owned WHERE concept IS NOT NULL GROUP BY concept HAVING count(*) >= 2 AND len(list_distinct(flatten(list(subjects)))) >= 2
+UNION ALL SELECT 'pinned_domain_relation', low || ',' || high, array_to_string(list_sort(list_distinct(list_filter([lc, hc], lambda x: x IS NOT NULL))), ','), len(list_distinct(list_concat(ls, hs))), n, n_domain, n_general FROM met
+WHERE NOT (len(ls) = 1 AND len(hs) = 1 AND ls[1] = hs[1]) AND length(high) <= length(low) + 4 AND NOT (lc IS NOT NULL AND hc IS NOT NULL AND lc <> hc AND (least(lc, hc), greatest(lc, hc)) IN (SELECT (a, b) FROM apart))""",
     "evidence_round_robin": _SUBJECTS + """, turns AS (SELECT *, row_number() OVER (PARTITION BY term, subject ORDER BY owner) AS turn FROM terms
 ), picks AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY turn, subject) AS pick FROM turns) SELECT term, subject, owner, pick FROM picks WHERE pick <= 4""",
     "sibling_nominations": """WITH m AS (
