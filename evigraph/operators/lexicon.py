@@ -91,18 +91,6 @@ def term_matches(rows: DataFrame, key: str, text: str, known: DataFrame, longest
     return runs.join(known.select("term").distinct(), "term", "left_semi").select(key, "term")
 
 
-def sibling_verdict(facts: DataFrame, corroborations: list[str], counters: list[str]) -> DataFrame:
-    """Corroborations and counter-evidence (present, absent, unknown) to a disposition: a present counter separates, any unknown
-    leaves it open, two corroborations make it worth a review."""
-    count = sum((F.when(F.col(c) == "present", 1).otherwise(0) for c in corroborations), F.lit(0))
-    contrary, unknown = F.lit(False), F.lit(False)
-    for c in counters:
-        contrary = contrary | (F.col(c) == "present")
-        unknown = unknown | (F.col(c) == "unknown")
-    verdict = F.when(contrary, "separate").when(unknown, "inconclusive").when(count >= 2, "review_candidate").otherwise("insufficient")
-    return facts.select("*", count.alias("n_corroborations"), verdict.alias("disposition"))
-
-
 def semantic_scope(path: Column) -> Column:
     """The folder up to two levels below the first ``src`` above a file; null without one, or directly in it."""
     parts = F.split(path, "/")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..derive import table
-from ..operators import resolution, shapes
+from ..operators import resolution, shapes, siblings
 
 ENDINGS = (".ts", ".tsx", "/index.js", ".svelte", ".d.ts", ".mjs")
 
@@ -109,7 +109,30 @@ def grammar_pairs(spark: SparkSession, d: str) -> DataFrame:
     return shapes.grammar_candidates(rows)
 
 
-QUERIES = {f.__name__: f for f in (module_targets, named_references, customer_shapes, callable_candidates, grammar_pairs)}
+def sibling_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbouring parts of one name and type as siblings: lines lead to suppliers or out, orders lead to parts."""
+    part, k = table(spark, d, "part"), F.col("p_size")
+    node = lambda kind, key: F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
+    callables = part.select(
+        node("part", "p_partkey").alias("callable"), F.col("p_type").alias("project"), F.when(k % 13 == 0, "unknown").otherwise("public").alias("visibility"), (k % 3).cast("string").alias("shape"), (k % 4 > 0).alias("typed"), F.array((k % 2).cast("string")).alias("results"),
+        (k % 17 == 0).alias("unknown_results"), F.array("p_brand", F.concat(F.lit("m"), (k % 2).cast("string"))).alias("models"), F.when(k % 5 == 0, F.array(F.lit("write"))).otherwise(F.array().cast("array<string>")).alias("effects"), (k % 19 == 0).alias("unknown_effects"),
+        (k % 23 == 0).alias("unknown_types"), F.when(k % 7 > 0, F.when(k % 10 > 3, "open").otherwise("close")).alias("lifecycle"), F.array(F.concat(F.lit("c"), (k % 3).cast("string"))).alias("concepts"), F.lit(False).alias("incomplete"),
+    )
+    lines = table(spark, d, "lineitem")
+    odd = F.when(F.col("l_discount") > 0.09, "external").when((F.col("l_quantity") >= 50) & (F.col("l_tax") > 0.07), "dynamic_unknown").otherwise("node")
+    kind = F.lit("lexical_reference").alias("kind")
+    out = lines.select(node("part", "l_partkey").alias("src"), F.when(odd == "node", node("supplier", "l_suppkey")).otherwise("net").alias("dst"), kind, odd.alias("target_kind"))
+    into = lines.select(node("order", "l_orderkey").alias("src"), node("part", "l_partkey").alias("dst"), kind, F.lit("node").alias("target_kind"))
+    roles = table(spark, d, "supplier").select(node("supplier", "s_suppkey").alias("node"), F.concat(F.lit("r"), (F.col("s_nationkey") % 4).cast("string")).alias("role"))
+    roles = roles.unionByName(table(spark, d, "orders").select(node("order", "o_orderkey").alias("node"), F.col("o_orderstatus").alias("role")))
+    following = Window.partitionBy("p_name", "p_type").orderBy("p_partkey")
+    nomination = F.when(F.col("p_partkey") % 3 == 0, "same_declared_contract").when(F.col("p_partkey") % 3 == 1, "named_model_role").otherwise("canonical_action_object")
+    pairs = part.select(nomination.alias("nomination"), F.col("p_brand").alias("key"), node("part", "p_partkey").alias("left"), F.lead(node("part", "p_partkey")).over(following).alias("right")).filter("right IS NOT NULL")
+    found = siblings.sibling_evidence(pairs, siblings.sibling_facts(callables, out.unionByName(into), roles), spark.createDataFrame([("c0", "c1")], "a string, b string"))
+    return found.select("left", "right", F.array_join("corroborations", ",").alias("corroborations"), F.array_join(F.transform("counters", lambda x: x["state"]), ",").alias("counters"), "disposition")
+
+
+QUERIES = {f.__name__: f for f in (module_targets, named_references, customer_shapes, callable_candidates, grammar_pairs, sibling_evidence)}
 
 _EXT = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "svelte"]
 _DECL = ["d.ts", "d.mts", "d.cts"]
@@ -193,5 +216,28 @@ WITH o AS (
 )
 SELECT least(action_term, alternate_term) AS term_low, greatest(action_term, alternate_term) AS term_high, action_term, alternate_term, construction, count(*) AS n_shapes, CASE WHEN bool_or(strong) THEN 'strong_advisory' ELSE 'corroborated_advisory' END AS confidence
 FROM pairs GROUP BY action_term, alternate_term, construction
+""",
+    "sibling_evidence": """
+WITH lines AS (
+  SELECT l_partkey AS p, l_suppkey, l_orderkey, CASE WHEN l_discount > 0.09 THEN 'external' WHEN l_quantity >= 50 AND l_tax > 0.07 THEN 'dynamic_unknown' ELSE 'node' END AS k FROM lineitem
+), up AS (SELECT p, list_sort(list(DISTINCT 'r' || s_nationkey % 4)) AS producers FROM lines JOIN supplier ON s_suppkey = l_suppkey WHERE k = 'node' GROUP BY p
+), down AS (SELECT p, list_sort(list(DISTINCT o_orderstatus)) AS consumers FROM lines JOIN orders ON o_orderkey = l_orderkey GROUP BY p
+), out_ AS (SELECT p, bool_or(k = 'external') AS net, bool_or(k = 'dynamic_unknown') AS incomplete FROM lines GROUP BY p
+), f AS (
+  SELECT part.*, coalesce(producers, []) AS producers, coalesce(consumers, []) AS consumers, coalesce(net, false) AS net, coalesce(incomplete, false) AS incomplete, p_size AS z, CASE WHEN p_size % 7 > 0 THEN CASE WHEN p_size % 10 > 3 THEN 'open' ELSE 'close' END END AS life,
+    lead(p_partkey) OVER (PARTITION BY p_name, p_type ORDER BY p_partkey) AS following FROM part LEFT JOIN up ON up.p = p_partkey LEFT JOIN down ON down.p = p_partkey LEFT JOIN out_ ON out_.p = p_partkey
+), m AS (
+  SELECT a.p_partkey AS a, b.p_partkey AS b, list_filter([
+      CASE WHEN a.p_partkey % 3 <> 0 AND a.z % 4 > 0 AND b.z % 4 > 0 AND a.z % 3 = b.z % 3 THEN 'implementation_role_match' END, CASE WHEN a.z % 19 > 0 AND b.z % 19 > 0 AND a.z % 5 = 0 AND b.z % 5 = 0 THEN 'effect_set_match' END,
+      CASE WHEN a.z % 2 = b.z % 2 OR a.p_partkey % 3 <> 1 AND a.p_brand = b.p_brand THEN 'model_role_match' END, CASE WHEN len(a.producers) > 0 AND a.producers = b.producers THEN 'producer_position_match' END,
+      CASE WHEN len(a.consumers) > 0 AND a.consumers = b.consumers THEN 'consumer_position_match' END, CASE WHEN a.net AND b.net THEN 'dependency_role_match' END, CASE WHEN a.p_partkey % 3 <> 2 AND a.life = b.life THEN 'lifecycle_role_match' END], lambda x: x IS NOT NULL) AS speaks,
+    [CASE WHEN a.z % 19 = 0 OR b.z % 19 = 0 THEN 'unknown' WHEN (a.z % 5 = 0) = (b.z % 5 = 0) THEN 'absent' ELSE 'present' END, CASE WHEN a.z % 13 = 0 OR b.z % 13 = 0 THEN 'unknown' ELSE 'absent' END,
+      CASE WHEN a.life IS NULL OR b.life IS NULL THEN 'unknown' WHEN a.life = b.life THEN 'absent' ELSE 'present' END, CASE WHEN a.z % 17 = 0 OR b.z % 17 = 0 THEN 'unknown' WHEN a.z % 2 = b.z % 2 THEN 'absent' ELSE 'present' END,
+      CASE WHEN a.incomplete OR b.incomplete OR len(a.producers) + len(a.consumers) = 0 OR len(b.producers) + len(b.consumers) = 0 THEN 'unknown' WHEN list_has_any(a.producers, b.producers) OR list_has_any(a.consumers, b.consumers) THEN 'absent' ELSE 'present' END,
+      CASE WHEN a.incomplete OR b.incomplete THEN 'unknown' WHEN a.net = b.net THEN 'absent' ELSE 'present' END, CASE WHEN a.z % 3 + b.z % 3 = 1 THEN 'present' ELSE 'absent' END, CASE WHEN a.incomplete OR b.incomplete OR a.z % 23 = 0 OR b.z % 23 = 0 THEN 'present' ELSE 'absent' END] AS c
+  FROM f a JOIN f b ON b.p_partkey = a.following
+)
+SELECT 'part/' || a AS "left", 'part/' || b AS "right", array_to_string(speaks, ',') AS corroborations, array_to_string(c, ',') AS counters,
+  CASE WHEN list_contains(c[:7], 'present') THEN 'separate_by_evidence' WHEN NOT list_contains(c, 'unknown') AND c[8] = 'absent' AND len(speaks) >= 2 THEN 'review_candidate' ELSE 'inconclusive' END AS disposition FROM m
 """,
 }
