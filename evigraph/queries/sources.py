@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..derive import table
 from ..operators import resolution, shapes, siblings
+from ..sources import files
 
 ENDINGS = (".ts", ".tsx", "/index.js", ".svelte", ".d.ts", ".mjs")
 
@@ -132,7 +133,15 @@ def sibling_evidence(spark: SparkSession, d: str) -> DataFrame:
     return found.select("left", "right", F.array_join("corroborations", ",").alias("corroborations"), F.array_join(F.transform("counters", lambda x: x["state"]), ",").alias("counters"), "disposition")
 
 
-QUERIES = {f.__name__: f for f in (module_targets, named_references, customer_shapes, callable_candidates, grammar_pairs, sibling_evidence)}
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """The language of each page as a file, and whether it looks like a built asset."""
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), (F.col("page_id") % len(names)).cast("int"))
+    mark = F.translate(F.expr("substring(md5(url), 1, 6 + cast(page_id % 13 AS int))"), "abcd", "ABCD")
+    path = F.concat(pick(("public/assets/", "public_html/assets/js/", "assets/", "src/public/assets/", "public/x/assets/")), F.lit("app-"), mark, pick((".js", ".css", ".TS", ".rs", ".py", ".svelte", ".txt")))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).select("page_id", "path", files.language(F.col("path")).alias("language"), files.fingerprinted_bundle(F.col("path")).alias("bundle"))
+
+
+QUERIES = {f.__name__: f for f in (module_targets, named_references, customer_shapes, callable_candidates, grammar_pairs, sibling_evidence, file_kinds)}
 
 _EXT = ["ts", "tsx", "mts", "cts", "js", "jsx", "mjs", "cjs", "svelte"]
 _DECL = ["d.ts", "d.mts", "d.cts"]
@@ -239,5 +248,12 @@ WITH lines AS (
 )
 SELECT 'part/' || a AS "left", 'part/' || b AS "right", array_to_string(speaks, ',') AS corroborations, array_to_string(c, ',') AS counters,
   CASE WHEN list_contains(c[:7], 'present') THEN 'separate_by_evidence' WHEN NOT list_contains(c, 'unknown') AND c[8] = 'absent' AND len(speaks) >= 2 THEN 'review_candidate' ELSE 'inconclusive' END AS disposition FROM m
+""",
+    "file_kinds": """
+WITH p AS (
+  SELECT page_id, page_id % 5 AS k, translate(md5(url)[1:6 + page_id % 13], 'abcd', 'ABCD') AS mark, ['.js', '.css', '.TS', '.rs', '.py', '.svelte', '.txt'][page_id % 7 + 1] AS e FROM pages
+), q AS (SELECT *, ['public/assets/', 'public_html/assets/js/', 'assets/', 'src/public/assets/', 'public/x/assets/'][k + 1] || 'app-' || mark || e AS path, length(regexp_replace(mark, '[^A-Z]', '', 'g')) AS upper FROM p)
+SELECT page_id, path, CASE lower(e) WHEN '.js' THEN 'javascript' WHEN '.ts' THEN 'typescript' WHEN '.rs' THEN 'rust' WHEN '.py' THEN 'python' WHEN '.svelte' THEN 'svelte' END AS language,
+  k IN (0, 1, 3) AND length(mark) BETWEEN 8 AND 16 AND (upper >= 2 OR upper = 1 AND regexp_matches(mark, '[0-9]')) AS bundle FROM q
 """,
 }
