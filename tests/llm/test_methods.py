@@ -21,7 +21,7 @@ def docs(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "embeddings", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     frame = queries.QUERIES[name](spark, FOLDER)
     columns = sorted(frame.columns)
