@@ -14,11 +14,11 @@ from ..plans.iterate import any_rows, counted_cut, cut, laid_out, tidied, union_
 
 
 def traversable(edges: DataFrame, kinds: tuple[str, ...] | None = None, without: tuple[str, ...] = NOT_RUNTIME) -> DataFrame:
-    """(src, dst) of edges whose target is a node, of the given kinds (or all but some)."""
+    """(src, dst) of edges whose target is a node, of the given kinds (or all but some), as often as they are there."""
     keep = F.col("kind").isin(*kinds) if kinds else ~F.col("kind").isin(*without)
     if "target_kind" in edges.columns:
         keep = keep & (F.col("target_kind") == "node")
-    return edges.filter(keep).select("src", "dst").distinct()
+    return edges.filter(keep).select("src", "dst")
 
 
 @tidied
@@ -52,7 +52,7 @@ def expand(seeds: DataFrame, steps: DataFrame, keys: list[str], carried: list[st
 def runtime_steps(edges: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
     """(src, dst) that runtime reachability follows; a symbol (node, file) also reaches its file."""
     steps = traversable(edges)
-    return steps if symbols is None else steps.union(symbols.select(F.col("node").alias("src"), F.col("file").alias("dst"))).distinct()
+    return steps if symbols is None else steps.union(symbols.select(F.col("node").alias("src"), F.col("file").alias("dst")))
 
 
 def reachability(edges: DataFrame, contexts: DataFrame, roots: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -104,7 +104,7 @@ def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int, direction: str
         raise ValueError("depth must be between 0 and 16")
     plain = edges.select("src", "dst").filter(F.col("src") != F.col("dst"))
     back = plain.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    steps = {"outgoing": plain, "incoming": back, "both": plain.union(back)}[direction].distinct()
+    steps = {"outgoing": plain, "incoming": back, "both": plain.union(back)}[direction]
     return expand(roots.select("node"), steps, [], [], depth)
 
 

@@ -53,11 +53,14 @@ def counted_cut(df: DataFrame) -> tuple[DataFrame, int]:
 
 
 def laid_out(df: DataFrame, column: str) -> DataFrame:
-    """A written table in buckets of one column, sorted: joins on it, round after round, shuffle the other side only."""
+    """The distinct rows as a written table in buckets of one column, sorted: joins on it, round after round, shuffle the other side only.
+
+    Rows are dealt by that column before they are made distinct, so both take one shuffle.
+    """
     spark = df.sparkSession
     path, name = _place(df, catalogued=True)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    held = df.repartition(buckets, column).write.option("parquet.block.size", ROW_GROUP).option("path", path)
+    held = df.repartition(buckets, column).distinct().write.option("parquet.block.size", ROW_GROUP).option("path", path)
     held.format("parquet").bucketBy(buckets, column).sortBy(column).saveAsTable(name)
     return spark.table(name)
 

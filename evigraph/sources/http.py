@@ -104,14 +104,14 @@ def scan_openapi(files: DataFrame) -> DataFrame:
 
 
 def scan_routes(files: DataFrame) -> DataFrame:
-    """(path, line, detector, key) of routes that the detectors find in (path, language, text); one row a key and line."""
+    """(path, line, detector, key) of routes that the detectors find in (path, language, text); one row a key and line, with the first detector by name."""
     out = None
     lines = files.select("path", "language", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     for detector, languages, pattern in DETECTORS:
         method, target = F.regexp_extract("text", pattern, 1), F.regexp_extract("text", pattern, 2)
         found = lines.filter(F.col("language").isin(*languages) & F.col("text").rlike(pattern)).select("path", (F.col("line") + 1).alias("line"), F.lit(detector).alias("detector"), route_key(method, target).alias("key"))
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["key", "path", "line"])
+    return out.groupBy("path", "line", "key").agg(F.min("detector").alias("detector")).select("path", "line", "detector", "key")
 
 
 def check(contract: DataFrame, routes: DataFrame, complete: bool) -> DataFrame:
