@@ -208,3 +208,13 @@ def test_malformed_lines_are_kept(spark, tmp_path):
     log.write_text('{"operation": "a", "status": 200}\n{"operation": \n')
     got = {(r.operation, r.status, r.malformed) for r in manifests.event_lines(spark, str(log)).collect()}
     assert got == {("a", 200, None), (None, None, '{"operation": ')}
+
+
+def test_importer_counts_make_no_pairs(spark):
+    """20,000 symbols of one name with 20,000 importers: 400,000,000 pairs, but one count."""
+    n, keys = 20_000, ["package", "name"]
+    symbols = spark.range(n).selectExpr("id AS symbol", "'p' AS package", "'hot' AS name", "id % 2 = 0 AS public").unionByName(spark.createDataFrame([(n, "p", "one", True), (n + 1, "q", "hot", True)], "symbol long, package string, name string, public boolean"))
+    said = spark.range(n).selectExpr("'p' AS package", "'hot' AS name", "id + 5 AS importer")
+    said = said.unionByName(said).unionByName(spark.createDataFrame([("p", "one", 9)], "package string, name string, importer long"))
+    got = usage.importer_counts(symbols, said, keys).groupBy("n_importers", "first_importer").count()
+    assert rows(got) == [(1, 9, 1), (n, 5, n // 2)]
