@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph.operators import conformance, diff, findings, inventory, joins, lexicon, usage
+from evigraph.queries import evidence
 from evigraph.sources import files, manifests
 
 
@@ -218,3 +219,32 @@ def test_importer_counts_make_no_pairs(spark):
     said = said.unionByName(said).unionByName(spark.createDataFrame([("p", "one", 9)], "package string, name string, importer long"))
     got = usage.importer_counts(symbols, said, keys).groupBy("n_importers", "first_importer").count()
     assert rows(got) == [(1, 9, 1), (n, 5, n // 2)]
+
+
+def most_joined(frame):
+    """Rows that the largest join of a query gives out."""
+    execution = frame._jdf.queryExecution()
+    execution.executedPlan().executeCollect()
+    at, most = [execution.executedPlan()], 0
+    while at:
+        plan = at.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            at.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            at.append(plan.plan())
+        if "Join" in name:
+            most = max(most, plan.metrics().apply("numOutputRows").value())
+        at += [plan.children().apply(k) for k in range(plan.children().size())]
+    return most
+
+
+def test_package_consumers_make_no_pairs(spark, tmp_path):
+    """3,000 parts of one name, each asked for by 3,000 customers: 9,000,000 pairs; no join gives out more rows than its tables hold."""
+    n, d = 3_000, str(tmp_path)
+    spark.range(n).selectExpr("id AS p_partkey", "'b' AS p_brand", "'n' AS p_name", "10 AS p_size").write.parquet(f"{d}/part.parquet")
+    spark.range(n).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{d}/orders.parquet")
+    spark.range(n).selectExpr("id AS l_orderkey", "(id * 7) % 3000 AS l_partkey").write.parquet(f"{d}/lineitem.parquet")
+    got = evidence.package_consumers(spark, d)
+    assert rows(got.groupBy("n_consumers").count()) == [(n, n)]
+    assert most_joined(got) <= 4 * n
