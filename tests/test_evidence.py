@@ -248,3 +248,25 @@ def test_package_consumers_make_no_pairs(spark, tmp_path):
     got = evidence.package_consumers(spark, d)
     assert rows(got.groupBy("n_consumers").count()) == [(n, n)]
     assert most_joined(got) <= 4 * n
+
+
+def test_literal_reference_counts(spark):
+    import random
+
+    rng, schemas = random.Random(4), ("operation int, path string, key string, operation_id string", "site string, line int, value string, http_use boolean", "operation int, site string, line int")
+    operations = [(k, f"/{k % 4}", f"GET /{k}", None if k % 3 else f"id{k}") for k in range(24)] + [(3, "/3", "GET /3", "id3"), (30, "/9", "/1", "/2")]
+    literals = [(rng.choice("fgh"), rng.randint(1, 9), rng.choice([f"/{rng.randint(0, 5)}", f"GET /{rng.randint(0, 30)}", f"id{rng.randint(0, 30)}"]), rng.choice([True, False, None])) for _ in range(400)] + [(None, 1, "/1", True), ("f", None, "id3", False)]
+    declared = [(rng.randint(0, 30), rng.choice("fgh"), rng.randint(1, 9)) for _ in range(60)] * 2 + [(1, None, 1)]
+    frames = [spark.createDataFrame(r, s) for r, s in zip((operations, literals, declared), schemas, strict=True)]
+    got, want = usage.literal_reference_counts(*frames), usage.literal_references(*frames).groupBy("operation", "literal_kind").count()
+    assert rows(got) == rows(want) and len(rows(want)) > 30
+
+
+def test_literal_reference_counts_make_no_pairs(spark):
+    n = 3_000
+    operations = spark.range(n).selectExpr("id AS operation", "'/hot' AS path", "concat('GET ', id) AS key", "CAST(null AS string) AS operation_id")
+    literals = spark.range(n).selectExpr("id AS site", "1 AS line", "'/hot' AS value", "true AS http_use")
+    declared = spark.range(n).selectExpr("id AS operation", "id AS site", "1 AS line")
+    got = usage.literal_reference_counts(operations, literals, declared)
+    assert rows(got.groupBy("literal_kind", "n_sites").count()) == [("route", n - 1, n)]
+    assert most_joined(got) <= 4 * n
