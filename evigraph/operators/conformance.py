@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.iterate import any_rows, cut, union_all
+from ..plans.iterate import any_rows, cut, shuffled, union_all
+
+#: Pairs of a rule and a result that a task joins of one group.
+PART = 1_000_000
 
 
 def exactly_one(objects: DataFrame, relations: DataFrame, key: str) -> DataFrame:
@@ -118,24 +121,34 @@ def unexpected(facts: DataFrame, *declared: DataFrame) -> DataFrame:
     return out
 
 
-def exceptions(results: DataFrame, rules: DataFrame, as_of: Column) -> DataFrame:
+def exceptions(results: DataFrame, rules: DataFrame, as_of: Column, part: int = PART) -> DataFrame:
     """(result, exception, state): applied, stale, expired, irrelevant or rejected.
 
-    ``results``: (result, constraint, version, scope, severity); ``rules``: (exception, constraint, version, scope, approved, expires).
-    Only an error can be excepted and the first that applies, by id, does; a further one is irrelevant.
+    ``results``: (result, constraint, version, scope, severity), a result once; ``rules``: (exception, constraint, version, scope, approved, expires).
+    Only an error can be excepted and the first that applies, by id, does; a further one is irrelevant. The first is the same for all
+    results of a constraint, scope and version, so it is found before rules and results meet, and nothing is shuffled after. Rules of a constraint and scope
+    are dealt in parts, so that a task gives out about ``part`` rows of it; the result itself is as large as such groups make it.
     """
-    met = rules.alias("x").join(results.alias("r"), (F.col("x.constraint") == F.col("r.constraint")) & (F.col("x.scope") == F.col("r.scope")), "left")
-    fits = F.col("r.result").isNotNull() & (F.col("r.severity") == "error") & F.col("x.approved") & (as_of < F.col("x.expires")) & (F.col("x.version") == F.col("r.version"))
-    first = met.filter(fits).groupBy(F.col("r.result").alias("held")).agg(F.min("x.exception").alias("first"))  # rules that meet nothing take no part
+    keys = ["constraint", "scope"]
+    first = rules.filter(F.col("approved") & (as_of < F.col("expires"))).groupBy(*keys, "version").agg(F.min("exception").alias("first"))
+    sizes = cut(rules.groupBy(*keys).agg(F.count("*").alias("n")).join(results.groupBy(*keys).agg(F.count("*").alias("m")), keys))
+    pairs = sizes.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    tasks = max(-(-pairs // part), int(rules.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # as many as the result needs, since both sides are small
+    dealt = shuffled(sizes.filter(F.col("n") * F.col("m") > part).select(*keys, F.least(F.col("n"), F.ceil(F.col("n") * F.col("m") / part)).cast("int").alias("parts")))
+    many = F.coalesce("parts", F.lit(1))
+    left = rules.join(dealt, keys, "left").withColumn("part", F.pmod(F.xxhash64("exception"), many).cast("int")).drop("parts")
+    right = results.join(first, [*keys, "version"], "left").join(dealt, keys, "left").withColumn("part", F.explode(F.sequence(F.lit(0), many - 1))).drop("parts")
+    left, right = (rows.repartition(tasks, *keys, "part") for rows in (left, right))
+    met = shuffled(left).alias("x").join(right.alias("r"), [F.col(f"x.{k}") == F.col(f"r.{k}") for k in (*keys, "part")], "left")
     state = (
         F.when(~F.col("x.approved"), "rejected")
         .when(as_of >= F.col("x.expires"), "expired")
         .when(F.col("r.result").isNull() | (F.col("r.severity") != "error"), "irrelevant")
         .when(F.col("x.version") != F.col("r.version"), "stale")
-        .when(F.col("x.exception") != F.col("first"), "irrelevant")
+        .when(F.col("x.exception") != F.col("r.first"), "irrelevant")
         .otherwise("applied")
     )
-    return met.join(first, F.col("r.result") == F.col("held"), "left").select("r.result", "x.exception", state.alias("state"))
+    return met.select("r.result", "x.exception", state.alias("state"))
 
 
 def approved_providers(relations: DataFrame) -> DataFrame:

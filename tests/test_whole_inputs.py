@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evigraph import catalog, derive
+from evigraph.operators import conformance
 from evigraph.queries import graph as graph_queries
 from evigraph.queries import relations
 
@@ -125,3 +126,13 @@ def test_duplicate_scripts_compare_whole_texts(spark, rows, tmp_path):
     assert {tuple(r) for r in found} == {(opening + " two", 2), ("a b", 2), ("", 2)}
     plain = Counter(re.sub(r"[ \t\n\x0b\f\r]+", " ", t).strip(" ") for (t,) in rows("documents", "text"))
     assert got(spark, "duplicate_scripts", "command", "n_scripts") == Counter((t, n) for t, n in plain.items() if n > 1)
+
+
+def test_exceptions_deal_large_groups(spark):
+    """One group of 300 rules and 200 results in parts of 1,000 pairs: the same rows, from many tasks' keys; rules that meet nothing stay once."""
+    rules = spark.range(300).selectExpr("id AS exception", "1 AS constraint", "cast(id % 2 AS int) AS version", "7 AS scope", "id % 5 > 0 AS approved", "if(id % 3 = 0, 'a', 'z') AS expires")
+    rules = rules.unionByName(spark.createDataFrame([(900, None, 1, 7, True, "z"), (901, 1, 1, 8, True, "z")], "exception long, constraint int, version int, scope int, approved boolean, expires string"))
+    results = spark.range(200).selectExpr("id AS result", "1 AS constraint", "1 AS version", "7 AS scope", "if(id % 4 = 0, 'error', 'advisory') AS severity")
+    few, whole = (conformance.exceptions(results, rules, F.lit("m"), part=p) for p in (1_000, 10**9))
+    assert Counter(map(tuple, few.collect())) == Counter(map(tuple, whole.collect())) and few.count() == 300 * 200 + 2
+    assert few.filter("state = 'applied'").select("exception").distinct().collect() == [(1,)] and few.filter("state = 'applied'").count() == 50
