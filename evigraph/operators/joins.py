@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex
@@ -10,6 +10,8 @@ from ..plans.iterate import fresh
 
 #: Patterns that one pass over the paths may try.
 MOST_PATTERNS = 10_000
+#: Intervals of a bin that one row holds.
+LIST = 256
 
 
 def longest_prefix(paths: DataFrame, roots: DataFrame, path: str = "path", root: str = "root") -> DataFrame:
@@ -70,17 +72,22 @@ def wildcard_match(references: DataFrame, objects: DataFrame, ref: str, equal: l
 def narrowest_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, begin: str, end: str, bin_size: Column | float, order: list[str]) -> DataFrame:
     """Each point with the narrowest interval of its keys that holds it (begin and end included), ties by ``order``.
 
-    Intervals are exploded to the bins they touch and points fall in one bin, so the join is on equality.
+    Intervals are exploded to the bins they touch and points fall in one bin, so the join is on equality. A bin's intervals
+    are laid together in lists of at most LIST, the narrowest first: a point meets a row a list and keeps the first that
+    holds it, so no row for each point and interval is made or sorted.
     """
     size = F.lit(bin_size) if not isinstance(bin_size, Column) else bin_size
-    copies, bin_, best = (fresh(points, n) for n in ("copies", "bin", "best"))
+    copies, bin_, best, place = (fresh(points, n) for n in ("copies", "bin", "best", "place"))
     width = fresh(intervals, "width")
     held = [c for c in intervals.columns if c not in keys]
     span = F.struct((F.col(end) - F.col(begin)).alias(width), *order, *[c for c in held if c not in order]).alias(best)
     bins = intervals.select(*keys, F.explode(F.sequence(F.floor(F.col(begin) / size), F.floor(F.col(end) / size))).alias(bin_), span)
+    listed = bins.withColumn(place, F.floor((F.row_number().over(Window.partitionBy(*keys, bin_).orderBy(best)) - 1) / LIST))
+    lists = listed.groupBy(*keys, bin_, place).agg(F.array_sort(F.collect_list(best)).alias(best))
     placed = points.groupBy(*points.columns).agg(F.count("*").alias(copies)).withColumn(bin_, F.floor(F.col(at) / size))
-    met = placed.join(bins, [*keys, bin_]).filter(F.col(at).between(F.col(best)[begin], F.col(best)[end]))
-    found = met.groupBy(*points.columns, copies).agg(F.min(best).alias(best))  # a point lies in one bin, so this is done before the shuffle
+    first = F.get(F.filter(best, lambda s: F.col(at).between(s[begin], s[end])), F.lit(0))
+    met = placed.join(lists, [*keys, bin_]).select(*points.columns, copies, bin_, first.alias(best)).filter(F.col(best).isNotNull())
+    found = met.groupBy(*points.columns, copies, bin_).agg(F.min(best).alias(best))  # with the bin, rows stay where the join left them
     return repeated(found.select(*points.columns, copies, *[F.col(best)[c].alias(c) for c in held]), copies)
 
 

@@ -270,3 +270,17 @@ def test_literal_reference_counts_make_no_pairs(spark):
     got = usage.literal_reference_counts(operations, literals, declared)
     assert rows(got.groupBy("literal_kind", "n_sites").count()) == [("route", n - 1, n)]
     assert most_joined(got) <= 4 * n
+
+
+def test_points_meet_lists_of_intervals(spark):
+    """800 intervals of one key and bin, 300 points twice: 240,000 pairs of rows; a point meets a row for each 256 intervals."""
+    spans = [("k", (7 * i) % 40, 40 + (11 * i) % 59, i) for i in range(800)]
+    points = [("k", i % 100, i) for i in range(300)] * 2 + [("other", 5, 1), ("k", None, 2)]
+    got = joins.narrowest_interval(spark.createDataFrame(points, "k string, at int, p int"), spark.createDataFrame(spans, "k string, begin int, end int, name int"), ["k"], "at", "begin", "end", 100, ["name"])
+    want = []
+    for k, at, p in points:
+        held = [(e - b, name) for key, b, e, name in spans if key == k and at is not None and b <= at <= e]
+        if held:
+            want.append((p, at, min(held)[1]))
+    assert rows(got, "p", "at", "name") == sorted(want)
+    assert most_joined(got) <= 3_000
