@@ -18,14 +18,18 @@ def sibling_facts(callables: DataFrame, edges: DataFrame, node_roles: DataFrame)
     """The callables (callable, incomplete, ...) with producers, consumers and externals, arrays of what their lexical references lead to and
     from: roles (node, role) of known nodes, names of external ones. References that end at any other boundary make a callable incomplete.
 
-    ``edges``: (src, dst, kind, target_kind). Each side is summed up by callable before it meets the others.
+    ``edges``: (src, dst, kind, target_kind). Each side is summed up by callable before it meets the others, and its rows are made
+    distinct before they are gathered as lists: sets over all references would be sorted and spilled, and before a set
+    Spark leaves out what makes them distinct.
     """
     used = edges.filter("kind = 'lexical_reference'")
     roles = node_roles.select("node", "role").distinct()
     to_nodes = used.filter("target_kind = 'node'").select("src", "dst")
-    up = to_nodes.join(roles, F.col("dst") == F.col("node")).groupBy(F.col("src").alias("callable")).agg(_set("role", "producers"))
-    down = to_nodes.join(roles, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("callable")).agg(_set("role", "consumers"))
-    out = used.filter("target_kind <> 'node'").groupBy(F.col("src").alias("callable")).agg(F.array_sort(F.collect_set(F.when(F.col("target_kind") == "external", F.col("dst")))).alias("externals"), F.max(F.col("target_kind") != "external").alias("cut_off"))
+    up = to_nodes.join(roles, F.col("dst") == F.col("node")).select(F.col("src").alias("callable"), "role").distinct().groupBy("callable").agg(_listed("role", "producers"))
+    down = to_nodes.join(roles, F.col("src") == F.col("node")).select(F.col("dst").alias("callable"), "role").distinct().groupBy("callable").agg(_listed("role", "consumers"))
+    outside = F.col("target_kind") == "external"
+    ends = used.filter("target_kind <> 'node'").select(F.col("src").alias("callable"), F.when(outside, F.col("dst")).alias("external"), (~outside).alias("cut_off")).distinct()
+    out = ends.groupBy("callable").agg(_listed("external", "externals"), F.max("cut_off").alias("cut_off"))
     rows = callables
     for side in (up, down, out):
         rows = rows.join(side, "callable", "left")
@@ -34,8 +38,8 @@ def sibling_facts(callables: DataFrame, edges: DataFrame, node_roles: DataFrame)
     return rows.select(*held, (F.col("incomplete") | F.coalesce("cut_off", F.lit(False))).alias("incomplete"), *[F.coalesce(c, none).alias(c) for c in ("producers", "consumers", "externals")])
 
 
-def _set(column: str, name: str) -> Column:
-    return F.array_sort(F.collect_set(column)).alias(name)
+def _listed(column: str, name: str) -> Column:
+    return F.array_sort(F.collect_list(column)).alias(name)
 
 
 def sibling_evidence(pairs: DataFrame, facts: DataFrame, distinct_concepts: DataFrame) -> DataFrame:

@@ -60,3 +60,13 @@ def test_evidence_pair_by_pair(spark):
     got = {(r.nomination, r.key, r.left, r.right): (tuple(r.corroborations), tuple(x.state for x in r.counters), r.disposition) for r in found}
     want = {p: plain(p[0], p[1], known[p[2]], known[p[3]], [{"a", "b"}]) for p in pairs}
     assert got == want and {v[2] for v in want.values()} == {"separate_by_evidence", "inconclusive", "review_candidate"}
+
+
+def test_references_are_distinct_before_they_are_gathered(spark):
+    make = spark.createDataFrame
+    edges = make([("f", "n1", "lexical_reference", "node"), ("n1", "f", "lexical_reference", "node"), ("f", "net", "lexical_reference", "external"), ("f", "?", "lexical_reference", "unsupported")] * 3, "src string, dst string, kind string, target_kind string")
+    held = siblings.sibling_facts(make([("f", False), ("g", False)], "callable string, incomplete boolean"), edges, make([("n1", "core")], "node string, role string"))
+    assert sorted((r.callable, r.incomplete, r.producers, r.consumers, r.externals) for r in held.collect()) == [("f", True, ["core"], ["core"], ["net"]), ("g", False, [], [], [])]
+    plan = held._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    gathered = [k for k, line in enumerate(plan) if "collect_list" in line]
+    assert len(gathered) == 3 and all("Aggregate [" in plan[k + 1] for k in gathered)
