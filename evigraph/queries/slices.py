@@ -62,14 +62,14 @@ def forbidden_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def slice_page(spark: SparkSession, d: str) -> DataFrame:
     """What the second page of a nation's neighbourhood owns: contexts, projects, edges and boundaries, of how many in the slice."""
-    edges = derive.edges(spark, d).distinct().withColumn("target_kind", F.lit("node"))
+    edges = derive.edges(spark, d).withColumn("target_kind", F.lit("node"))
     hood = cut(graph.neighbourhood(edges, spark.createDataFrame([("nation/3",)], "node string"), 2))
     first = inspection.page_nodes(hood, 30).agg(F.max(F.struct("distance", "node")).alias("k")).first().k
     page = inspection.page_nodes(hood, 60, (first.distance, first.node))
     projects = inspection.owned(hood, page, derive.nodes(spark, d).select("project", "node"), "project")
     contexts = inspection.owned(hood, page, derive.roots(spark, d), "context")
     boundaries = inspection.owned_boundaries(hood, page, derive.boundaries(spark, d), projects)
-    rows = [projects.select(F.lit("project").alias("thing"), "owned"), contexts.select(F.lit("context").alias("thing"), "owned"), inspection.owned_edges(hood, page, edges).select(F.lit("edge").alias("thing"), "owned"), boundaries.select(F.lit("boundary").alias("thing"), "owned")]
+    rows = [projects.select(F.lit("project").alias("thing"), "owned"), contexts.select(F.lit("context").alias("thing"), "owned"), inspection.owned_edges(hood, page, edges).distinct().select(F.lit("edge").alias("thing"), "owned"), boundaries.select(F.lit("boundary").alias("thing"), "owned")]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
