@@ -122,3 +122,38 @@ def test_providers(spark):
     facts = [("approves", "ap", "p1"), ("covers", "ap", "cap"), ("provides", "p1", "cap"), ("provides", "p2", "cap"), ("contract", "p1", "c1")]
     got = conformance.approved_providers(spark.createDataFrame(facts, "predicate string, subject string, object string")).collect()
     assert [(r.capability, r.provider, r.contract, r.owner, r.duplicate) for r in got] == [("cap", "p1", "c1", None, False)]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_walks_lay_steps_out_only_for_many_rounds_or_rows(small, spark, monkeypatch, most):
+    """Few rows read the steps as they are, at most twice; results are the same when every round has too many rows."""
+    from evigraph.plans import iterate
+
+    laid = []
+    monkeypatch.setattr(graph, "laid_out", lambda *a, **k: laid.append(a[1]) or iterate.laid_out(*a, **k))
+    monkeypatch.setattr(graph, "MOST_BROADCAST", most)
+    monkeypatch.setattr(iterate, "MOST_BROADCAST", most)
+    edges, _, _ = small
+    twice = edges.unionByName(edges)
+    start = spark.createDataFrame([("a",)], "node string")
+    near = {(r.node, r.distance) for r in graph.neighbourhood(twice, start, 2, "outgoing").collect()}
+    assert near == {("a", 0), ("b", 1), ("c", 2)} and laid == ([] if most else ["src"])
+    far = {(r.node, r.distance) for r in graph.neighbourhood(twice, start, 9, "outgoing").collect()}
+    assert far == near | {("d", 3), ("e", 4)} and laid[-1] == "src" and len(laid) == (1 if most else 2)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_paths_and_facts_deal_their_steps_once(spark, monkeypatch, most):
+    from evigraph.plans import iterate
+
+    laid = []
+    monkeypatch.setattr(graph, "laid_out", lambda *a, **k: laid.append(a[1]) or iterate.laid_out(*a, **k))
+    monkeypatch.setattr(graph, "MOST_BROADCAST", most)
+    monkeypatch.setattr(iterate, "MOST_BROADCAST", most)
+    pairs = [("a", "c"), ("a", "b"), ("b", "e"), ("c", "d"), ("d", "z"), ("e", "z"), ("b", "a"), ("z", "a"), ("b", "e"), ("x", "c"), ("x", "b2"), ("b2", "d")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    sources = spark.createDataFrame([("a",), ("x",)], "node string")
+    paths = {(r.source, r.node): (r.hops, "".join(r.path)) for r in graph.shortest_paths(edges, sources).collect()}
+    assert paths["a", "z"] == (3, "abez") and paths["x", "d"] == (2, "xb2d") and paths["x", "e"] == (6, "xb2dzabe") and ("a", "a") not in paths and laid == ["src"]
+    facts = graph.propagate_facts(spark.createDataFrame([("z", "writes", "direct")], "node string, kind string, evidence string"), edges)
+    assert {(r.node, r.direct) for r in facts.collect()} == {("z", True), *((n, False) for n in ("a", "b", "b2", "c", "d", "e", "x"))} and laid == ["src", "callee"]
