@@ -146,17 +146,22 @@ def sibling_pairs(members: DataFrame, most: int) -> DataFrame:
     return left.join(right, ["key", "other"]).filter(at <= most).select("key", "left", "right")
 
 
+def counted_terms(terms: DataFrame) -> DataFrame:
+    """(term, subject, n) of terms (term, subject, owner)."""
+    return terms.groupBy("term", "subject").agg(F.count("*").alias("n"))
+
+
 def repository_relationships(terms: DataFrame, owners: DataFrame, domain: DataFrame, general: DataFrame, distinct_concepts: DataFrame, never_suggest: DataFrame) -> DataFrame:
     """(basis, terms, concepts, n_subjects, n_evidence, n_domain, n_general): what ties the terms that several kinds of subjects use.
 
-    ``terms``: (term, subject, owner); ``owners``: (term, concept), one a term; ``domain`` and ``general``: (a, b, relation) between terms;
+    ``terms``: (term, subject, owner), or counted (term, subject, n) as by ``counted_terms``; ``owners``: (term, concept), one a term; ``domain`` and ``general``: (a, b, relation) between terms;
     the last two: (a, b, reason), pairs of concepts or terms that are not suggested. exact_normalized_term: one term of two kinds of
     subjects. declared_concept: two terms or more of a concept, of two kinds. pinned_domain_relation: two terms that a
     relation pins, one of them used by a kind of subject that the other has besides or instead. Terms are summed up by subject before any join, so a
     relation meets one row a term, however often that is used.
     """
     empty, low, high = F.array().cast("array<string>"), *pair(F.col("a"), F.col("b"))
-    used = cut(terms.groupBy("term", "subject").agg(F.count("*").alias("n")))
+    used = terms if "n" in terms.columns else cut(counted_terms(terms))
     by_term = cut(used.groupBy("term").agg(F.collect_set("subject").alias("subjects"), F.sum("n").alias("n")).join(owners.select("term", "concept"), "term", "left"))
     concepts_of = lambda *c: F.array_sort(F.array_distinct(F.array_compact(F.array(*c))))
     exact = by_term.filter(F.size("subjects") >= 2).select(F.lit("exact_normalized_term").alias("basis"), F.array("term").alias("terms"), concepts_of("concept").alias("concepts"), F.size("subjects").alias("n_subjects"), F.col("n").alias("n_evidence"), F.lit(0).cast("long").alias("n_domain"), F.lit(0).cast("long").alias("n_general"))

@@ -9,6 +9,7 @@ from ..derive import table
 from ..functions import text
 from ..ids import digest
 from ..operators import conformance, diff, events, impact, joins, lexicon, windows
+from ..plans.iterate import MOST_BROADCAST, counted_cut, cut, union_all
 
 PATTERNS = [("warm", "*red*"), ("warm", "*o?ange*"), ("cold", "*blue*"), ("cold", "{navy,sky}*"), ("size", "part*[0-9]"), ("all", "**")]
 CUTOFF = "1997-01-01"
@@ -28,14 +29,28 @@ def shape_aliases(spark: SparkSession, d: str) -> DataFrame:
     return lexicon.aliases(shaped, "p_name", "shape")
 
 
-def _subject_terms(spark: SparkSession, d: str) -> DataFrame:
+def _subject_terms(spark: SparkSession, d: str, distinct: bool = True) -> DataFrame:
+    """(term, subject, owner). Terms are distinct in a row; only owners of several rows are made distinct by a shuffle, if asked for."""
     parts = [("documents", "doc_id", "text", "code"), ("pages", "page_id", "url", "http"), ("conversations", "conv_id", "text", "postgres")]
-    out = None
+    found = []
     for name, key, column, subject in parts:
-        rows = table(spark, d, name).select(F.col(key).alias("owner"), F.explode(F.array_distinct(text.tokens(F.col(column)))).alias("term"))
-        rows = rows.filter(text.reportable(F.col("term"))).distinct().select("term", F.lit(subject).alias("subject"), "owner")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+        rows = table(spark, d, name).select(F.col(key).alias("owner"), column)
+
+        def terms(of: DataFrame, column=column, subject=subject) -> DataFrame:
+            each = of.select("owner", F.explode(F.array_distinct(text.tokens(F.col(column)))).alias("term"))
+            return each.filter(text.reportable(F.col("term"))).select("term", F.lit(subject).alias("subject"), "owner")
+
+        if not distinct:
+            found.append(terms(rows))
+            continue
+        often, n = counted_cut(rows.filter("owner IS NOT NULL").groupBy("owner").agg(F.count("*").alias("n")).filter("n > 1").select("owner"))
+        if n > MOST_BROADCAST:
+            found.append(terms(rows).distinct())
+            continue
+        once = rows.filter("owner IS NOT NULL").join(F.broadcast(often), "owner", "left_anti")
+        more = rows.filter("owner IS NULL").unionByName(rows.join(F.broadcast(often), "owner", "left_semi"))
+        found += [terms(once), terms(more).distinct()]
+    return union_all(found)
 
 
 def cross_subject_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -44,8 +59,8 @@ def cross_subject_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def term_relationships(spark: SparkSession, d: str) -> DataFrame:
     """What ties the terms of documents, pages and conversations: the terms themselves, stems as concepts, and that one follows another in its place of the alphabet."""
-    terms = _subject_terms(spark, d)
-    shown = terms.select("term").distinct()
+    terms = cut(lexicon.counted_terms(_subject_terms(spark, d)))  # texts are read once, all else comes from the counts
+    shown = cut(terms.select("term").distinct())
     owners = shown.select("term", F.substring("term", 1, 4).alias("concept")).filter(F.length("term") % 2 == 0)
     following = shown.select(F.col("term").alias("b"), F.lead("term").over(Window.partitionBy(F.substring("term", 1, 2)).orderBy("term")).alias("a")).filter("a IS NOT NULL")
     rhyming = following.filter(F.substring("a", -1, 1) == F.substring("b", -1, 1))
@@ -59,7 +74,8 @@ def term_relationships(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_round_robin(spark: SparkSession, d: str) -> DataFrame:
-    return windows.round_robin(_subject_terms(spark, d), ["term"], "subject", ["owner"], 4).select("term", "subject", "owner", F.col("pick").cast("long").alias("pick"))
+    first = windows.first_keys(_subject_terms(spark, d, distinct=False), ["term", "subject"], ["owner"], 4)
+    return windows.round_robin(first, ["term"], "subject", ["owner"], 4).select("term", "subject", "owner", F.col("pick").cast("long").alias("pick"))
 
 
 def sibling_nominations(spark: SparkSession, d: str) -> DataFrame:

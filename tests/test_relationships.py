@@ -43,3 +43,27 @@ def test_types_across_packages_against_a_queue(spark):
     )
     want = {(p, n) for kind, p, n in seen if kind == "symbol" and p != "root"}
     assert {(r.package, r.symbol) for r in found.collect()} == want and len(want) > 3
+
+
+def test_texts_are_read_once(spark):
+    """What is left to do when terms are counted reads no texts."""
+    from evigraph.queries import relations
+
+    left = relations.term_relationships(spark, "/root/testdata/sf0.001").inputFiles()
+    assert left and not [f for f in left if "testdata" in f]
+
+
+def test_terms_of_owners_with_several_rows_or_none(spark, tmp_path):
+    from evigraph.queries import relations
+
+    texts = [(1, "alpha beta alpha"), (2, "alpha"), (2, "alpha gamma"), (None, "beta"), (None, "beta"), (3, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "/alpha/delta")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(7, "alpha"), (7, "alpha")], "conv_id long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = sorted((tuple(r) for r in relations._subject_terms(spark, str(tmp_path)).collect()), key=str)
+    want = [("alpha", "code", 1), ("alpha", "code", 2), ("beta", "code", 1), ("beta", "code", None), ("gamma", "code", 2), ("alpha", "http", 1), ("delta", "http", 1), ("alpha", "postgres", 7)]
+    assert got == sorted(want, key=str)
+    picks = relations.evidence_round_robin(spark, str(tmp_path))
+    assert sorted((r.owner, r.subject, r.pick) for r in picks.filter("term = 'alpha'").collect()) == [(1, "code", 1), (1, "http", 2), (2, "code", 4), (7, "postgres", 3)]
+    rows_dealt = [line for line in picks._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in line or "WindowGroupLimit" in line]
+    assert "WindowGroupLimit" in rows_dealt[-1]  # the first keys are taken before the first shuffle
