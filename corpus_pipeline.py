@@ -18,6 +18,8 @@ from evigraph.plans.iterate import cut, tidied
 
 #: Documents with at least this probability of label 1 are rejected.
 TOXIC = 0.5
+#: Words and texts that a worker of the last stage holds: executors still hold what the stages before it took.
+KEPT_WORDS, HELD_TEXTS = 100_000, 200
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, path("word_bpe_49k.json"))
+    return packing.pack(docs, path("word_bpe_49k.json"), kept=KEPT_WORDS, held=HELD_TEXTS)
 
 
 STAGES = [

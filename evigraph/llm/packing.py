@@ -36,6 +36,8 @@ TIERS = (2048, 1024, 512, 256)
 STEP_TOKENS = 1 << 19
 #: Word forms whose ids a worker keeps; beyond it they are forgotten and looked up anew.
 KEPT_WORDS = 500_000
+#: Texts whose words are held as objects at a time; a worker keeps the memory that the most of them took.
+HELD_TEXTS = 1000
 #: Bytes above which a word goes to the tokenizer itself: here every merge passes over the whole word.
 LONG_WORD = 128
 #: Rests that wait for a window; at most this many documents' ids are held beyond the batch.
@@ -55,11 +57,12 @@ class WordTokens:
     characters are split and merged here for thousands of words at once; any other goes to the tokenizer itself.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, kept: int = KEPT_WORDS, held: int = HELD_TEXTS):
         import regex
         from tokenizers import Tokenizer
 
         worker_threads()
+        self.kept, self.held = kept, held
         self.whole = Tokenizer.from_file(file)
         model = json.load(open(file, encoding="utf-8"))["model"]
         vocabulary, merges = model["vocab"], model["merges"]
@@ -161,9 +164,9 @@ class WordTokens:
         return [packed[i * width : i * width + 4 * k] for i, k in enumerate(length.tolist())]
 
     def _learn(self, words: list[bytes]) -> None:
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept:
             self.words.clear()
-        if len(self.pieces) > KEPT_WORDS:
+        if len(self.pieces) > self.kept:
             self.pieces.clear()
         one, more, other = [], [], []  # words of one piece, of several, and those for the tokenizer itself
         for w in words:
@@ -197,10 +200,10 @@ class WordTokens:
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian ids of each text."""
-        for at in range(0, len(texts), 1000):
-            split = [t.split() for t in texts[at : at + 1000]]
+        for at in range(0, len(texts), self.held):
+            split = [t.split() for t in texts[at : at + self.held]]
             seen = set().union(*split)
-            if len(self.words) + len(seen) > KEPT_WORDS:
+            if len(self.words) + len(seen) > self.kept:
                 self.words = {w: self.words[w] for w in seen if w in self.words}
             self._learn([*seen - self.words.keys()])
             get = self.words.__getitem__
@@ -299,15 +302,18 @@ class Windows:
         return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> DataFrame:
-    """One row a piece. ``tokenizer``: a tokenizer file that every worker can open. ``window`` is the longest tier."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, tiers: tuple[int, ...] = TIERS, kept: int = KEPT_WORDS, held: int = HELD_TEXTS) -> DataFrame:
+    """One row a piece. ``tokenizer``: a tokenizer file that every worker can open. ``window`` is the longest tier.
+
+    ``kept`` words keep their ids and ``held`` texts are split at a time: fewer take less of a worker's memory and more time, and give the same rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, windows = WordTokens(tokenizer), Windows(TaskContext.get().partitionId(), window, tiers)
+        words, windows = WordTokens(tokenizer, kept, held), Windows(TaskContext.get().partitionId(), window, tiers)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for at in range(0, batch.num_rows, 2 * held):
+                part = batch.slice(at, 2 * held)
                 for key, ids in zip(part.column(0).to_pylist(), words.encode(column_bytes(part.column(1))), strict=True):
                     windows.add(key, ids + end)
                 yield windows.rows()

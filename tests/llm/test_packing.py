@@ -91,3 +91,13 @@ def test_documents_of_one_tier_make_its_windows(n, tier):
     windows.close()
     lengths = {r[5]: r[7] for r in windows.out}
     assert lengths[0] == tier and sum(v == tier for v in lengths.values()) * tier > 0.5 * 200 * n
+
+
+def test_rows_are_the_same_whatever_a_worker_holds(spark):
+    from evigraph.llm import packing
+    from public_tokenizers import path
+
+    texts = [" ".join(f"w{(i * k) % 97}x{k}" for k in range(60)) for i in range(40)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    whole, least = (sorted(map(tuple, packing.pack(docs, path("word_bpe_49k.json"), **held).collect())) for held in ({}, {"kept": 5, "held": 3}))
+    assert whole == least and len(whole) >= 42
