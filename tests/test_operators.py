@@ -157,3 +157,36 @@ def test_paths_and_facts_deal_their_steps_once(spark, monkeypatch, most):
     assert paths["a", "z"] == (3, "abez") and paths["x", "d"] == (2, "xb2d") and paths["x", "e"] == (6, "xb2dzabe") and ("a", "a") not in paths and laid == ["src"]
     facts = graph.propagate_facts(spark.createDataFrame([("z", "writes", "direct")], "node string, kind string, evidence string"), edges)
     assert {(r.node, r.direct) for r in facts.collect()} == {("z", True), *((n, False) for n in ("a", "b", "b2", "c", "d", "e", "x"))} and laid == ["src", "callee"]
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+def test_shortest_paths_hold_no_paths_in_hash_tables(spark, monkeypatch, most):
+    """Random edges against brute force; no join lays paths out in hash tables of partitions, which can't be written to disk."""
+    import random
+
+    from evigraph.plans import iterate
+
+    plans = []
+    for name in ("cut", "counted_cut"):
+        kept = getattr(iterate, name)
+        monkeypatch.setattr(graph, name, lambda df, kept=kept: plans.append(df._jdf.queryExecution().executedPlan().toString()) or kept(df))
+    monkeypatch.setattr(graph, "MOST_BROADCAST", most)
+    monkeypatch.setattr(iterate, "MOST_BROADCAST", most)
+    draw = random.Random(4)
+    pairs = [(f"n{draw.randrange(30)}", f"n{draw.randrange(30)}") for _ in range(60)]
+    want = {}
+    for source in ("n1", "n2", "n17"):
+        seen, level = {source}, {source: (source,)}
+        while level:
+            reached = {}
+            for node, path in level.items():
+                for src, dst in pairs:
+                    if src == node and dst not in seen:
+                        reached[dst] = min(reached.get(dst, ("o",)), (*path, dst))
+            level, seen = reached, seen | reached.keys()
+            want |= {(source, node): path for node, path in level.items()}
+    sources = spark.createDataFrame([("n1",), ("n2",), ("n17",), ("n1",)], "node string")
+    found = [(r.source, r.node, r.hops, tuple(r.path)) for r in graph.shortest_paths(spark.createDataFrame(pairs, "src string, dst string"), sources).collect()]
+    assert sorted(found) == sorted((*k, len(p) - 1, p) for k, p in want.items()) and max(r[2] for r in found) > 3
+    with_paths = [p for p in plans if "path#" in p]
+    assert not any("ShuffledHashJoin" in p for p in with_paths) and any("SortMergeJoin" in p for p in with_paths) == (most == 0)
