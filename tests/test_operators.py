@@ -190,3 +190,18 @@ def test_shortest_paths_hold_no_paths_in_hash_tables(spark, monkeypatch, most):
     assert sorted(found) == sorted((*k, len(p) - 1, p) for k, p in want.items()) and max(r[2] for r in found) > 3
     with_paths = [p for p in plans if "path#" in p]
     assert not any("ShuffledHashJoin" in p for p in with_paths) and any("SortMergeJoin" in p for p in with_paths) == (most == 0)
+
+
+@pytest.mark.parametrize("columns", [["src", "dst"], ["src", "dst", "kind"]])
+def test_edges_send_no_uncounted_parts_through_the_driver(spark, monkeypatch, columns):
+    """Without their kinds, parts look small enough to be broadcast at any size of the tables."""
+    from evigraph import derive
+    from evigraph.plans import iterate
+
+    folder = "/root/testdata/sf0.001"
+    few = derive.edges(spark, folder).select(*columns)
+    monkeypatch.setattr(iterate, "MOST_BROADCAST", 0)
+    many = derive.edges(spark, folder).select(*columns)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (few, many)]
+    assert ["BroadcastHashJoin" in p for p in plans] == [True, False] and "ShuffledHashJoin" in plans[1]
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
